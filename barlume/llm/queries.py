@@ -3,18 +3,50 @@ digest columns from each operator's own output, with SQL where SQL can express t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlume.llm import simhash
+from barlume.llm import bpe, quality, secrets, simhash, spans, sst
 from barlume.llm.common import table
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rule_failed")
+
+
+def _of(found: str, kind: str):
+    return F.filter(found, lambda x: x["kind"] == kind)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda x: x["order"] < 3)
+    return found.select(
+        "doc_id",
+        *(F.size(_of("secrets", k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        spans.sha256_hex(spans.joined(base)).alias("base_sha256"),
+        spans.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sst.encoded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op7_simhash": op7_simhash,
+    "op10_sst": op10_sst,
 }
 
 ORACLE: dict[str, str] = {}
