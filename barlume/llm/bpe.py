@@ -311,21 +311,27 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_bytes binary")
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and returns digests
-    of both, in one pass, so that neither ids nor texts travel back."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids if wanted): encodes, decodes the ids, and
+    returns digests of both, in one pass."""
     path = path or default_path()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in _slices(batches):
             n, ids_sha, text_sha = [], [], []
-            for x in c.encode(b.column(1).to_pylist()):
+            encoded = c.encode(b.column(1).to_pylist())
+            for x in encoded:
                 ids = np.frombuffer(x, np.int32)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(c.digits_of(ids)[:-1]).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = _input(df, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -97,6 +97,27 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     return rows.mapInArrow(run, f"doc_id long, stratum string, {_COUNTS}")
 
 
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns. Counts are taken once more rather than joined, so
+    texts are not shuffled."""
+    measured = materialize(measure(docs, id_col, text_col, stratum_col), "quality-counts")
+    cutoffs = fit(measured, labels, alpha=alpha, delta=delta)
+    at, n = docs.columns.index(text_col), len(docs.columns)
+    names = [f"__in{i}" for i in range(n)]
+    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, docs.schema.fields, strict=True)), _COUNTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [counts(t.as_py()) for t in b.column(at)]
+            columns = zip(*found, strict=True) if found else [()] * 6
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*names, *(x.split()[0] for x in _COUNTS.split(", "))])
+
+    rows = docs.mapInArrow(run, schema)
+    stratum = F.col(names[docs.columns.index(stratum_col)]).cast("string") if stratum_col else F.lit("")
+    kept = judge(rows.withColumn("stratum", stratum), cutoffs).where("kept")
+    return kept.select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
+
+
 def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 

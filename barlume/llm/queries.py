@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlume.llm import bpe, chat, licenses, pii, quality, secrets, simhash, spans, sst, url_lm
+from barlume.llm import bpe, chat, decontam, licenses, pii, quality, secrets, simhash, spans, sst, url_lm
 from barlume.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ def op10_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_lm": op1_url_lm,
+    "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
