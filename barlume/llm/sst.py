@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -46,46 +47,89 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 END_ID = 1
-KEPT = 250_000
-KEPT_CHARS = 48
-SLICE = 512
+SLICE = 10_000  # documents whose stretches are numbered together
+GATHERED = 256
 
 
 # --- encoding ----------------------------------------------------------------------------------
 
 
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library, each distinct stretch between spaces once.
+    """Encodes whole texts with the tokenizers library, each distinct stretch between ASCII white
+    space once a slice; Arrow splits and numbers the stretches, numpy puts the ids together again.
 
     Sound where the vocabulary's pre-tokenizer drops white space and never joins across it.
+    Stretches of letters only, and of letters and then marks, go to the library many to a call,
+    separated by spaces; their ids part again at the ends of words. All else goes alone.
     """
 
+    JOINED = 128
+    MARKS = ".,!?;:*$%&#|)"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.table: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for s in split:
-            new.update(s)
-        new.difference_update(self.table)
-        todo = list(new)
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.table[c] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.table.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if len(self.table) > KEPT:
-            self.table.clear()
-        else:
-            for c in new:
-                if len(c) > KEPT_CHARS:
-                    del self.table[c]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _alone(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per stretch)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], dtype="<u4"), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _together(self, some: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+        """``some``: stretches of so many words each."""
+        step, ids, lens = self.JOINED, [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        joined = [" ".join(some[at : at + step]) for at in range(0, len(some), step)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            part = some[k * step : (k + 1) * step]
+            x = np.array(e.ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[x]) + 1
+            if len(cut) == words * len(part):
+                n = np.diff(cut[words - 1 :: words], prepend=0)
+            else:
+                x, n = self._alone(part)
+            ids.append(x)
+            lens.append(n)
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def _unique(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length): the ids of words[i] are ids[start[i]:][:length[i]]."""
+        kinds: tuple[list[int], ...] = ([], [], [])
+        one, two, rest = (x.append for x in kinds)
+        marks = self.MARKS
+        for i, w in enumerate(words):
+            (one if w.isalpha() else two if w.rstrip(marks).isalpha() else rest)(i)
+        pick = lambda which: [words[i] for i in which]
+        parts = [self._together(pick(kinds[0]), 1), self._together(pick(kinds[1]), 2), self._alone(pick(kinds[2]))]
+        order = np.concatenate([np.array(k, dtype=np.int64) for k in kinds])
+        lens, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        each = np.concatenate([n for _, n in parts])
+        lens[order], start[order] = each, np.cumsum(each) - each
+        return np.concatenate([x for x, _ in parts]), start, lens
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids; a null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        offsets = split.offsets.to_numpy()
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(split) else None
+        if coded is None or not len(coded):
+            return [np.empty(0, "<u4")] * len(texts)
+        at = coded.indices.to_numpy()
+        ids, start, lens = self._unique(coded.dictionary.to_pylist())
+        edges, out = (offsets - offsets[0]).tolist(), []
+        for i in range(0, len(texts), GATHERED):  # so that the ids of all texts are not there at once twice
+            part = edges[i : i + GATHERED + 1]
+            w = at[part[0] : part[-1]]
+            n = lens[w]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = ids[np.arange(ends[-1]) + np.repeat(start[w] - ends[:-1], n)]
+            bounds = ends[np.array(part) - part[0]].tolist()
+            out += [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         return out
 
 
@@ -270,18 +314,18 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, out, name, end = encoder(path), None, None, "", np.array([end_id], "<u4").tobytes()
+        enc, writer, out, name, end = encoder(path), None, None, "", np.array([end_id], "<u4")
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     if writer is None:
                         files, where = _open(folder)
                         name = f"{where.rstrip('/')}/{key_bytes(doc_id).hex()}-{uuid.uuid4().hex}.sst"
                         files.create_dir(where, recursive=True)
                         out = files.open_output_stream(name)
                         writer = Writer(out)
-                    writer.add(key_bytes(doc_id), np.frombuffer(ids + end, "<u4"))
+                    writer.add(key_bytes(doc_id), np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             out.close()
