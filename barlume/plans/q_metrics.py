@@ -199,7 +199,7 @@ def month_matrix(spark, sf):
     return _rounded(M.month_matrix(M.periodic(equity(spark, sf), trades(spark, sf), RUN, INITIAL, "month"), RUN))
 
 
-def _histogram(name: str, spark_value, sql_value: str):
+def _histogram(name: str, spark_value: str, sql_value: str):
     @query(
         f"g9_histogram_{name}",
         sql(
@@ -211,12 +211,12 @@ def _histogram(name: str, spark_value, sql_value: str):
         ),
     )
     def run(spark, sf):
-        return _rounded(M.histogram(trades(spark, sf), spark_value, RUN))
+        return _rounded(M.histogram(trades(spark, sf), F.expr(spark_value), RUN))
 
 
-_histogram("pnl", F.col("net_pnl"), "net_pnl")
-_histogram("r", F.col("net_pnl") / F.col("initial_risk"), _R)
-_histogram("duration", F.expr("(exit_time_ns - entry_time_ns) / 60000000000D"), _MIN)
+_histogram("pnl", "net_pnl", "net_pnl")
+_histogram("r", "net_pnl / initial_risk", _R)
+_histogram("duration", "(exit_time_ns - entry_time_ns) / 60000000000D", _MIN)
 
 
 @query(
