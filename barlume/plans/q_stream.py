@@ -10,6 +10,7 @@ from barlume.operators import fold
 from barlume.operators.book import Rules
 from barlume.plans.adapters import bars, sql, ticks
 from barlume.plans.q_fold import profiles
+from barlume.plans.q_series import T10, T20
 from barlume.plans.registry import query
 from barlume.sources.shared import shared_path
 from barlume.streaming import live
@@ -45,7 +46,8 @@ def late_rows(spark, sf):
 def stream_fold(spark, sf):
     rows = fold.bar_rows(bars(spark, sf, "H1").withColumn("run_id", F.concat("symbol", F.lit("/3/10"))))
     path, out = shared_path(spark, "bar-rows"), shared_path(spark, "stream-fold")
-    rows.repartitionByRange(4, "at_ns").write.parquet(path)
+    for a, b in ((0, T10), (T10, T20), (T20, 2**63 - 1)):  # one file after the other: the source takes them by age
+        rows.where((F.col("at_ns") >= a) & (F.col("at_ns") < b)).coalesce(1).write.mode("append").parquet(path)
     from barlume.plans.q_fold import grid
 
     rules = Rules(balance=D(100_000), spread_points=2, hedging=False)
