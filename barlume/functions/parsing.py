@@ -48,11 +48,13 @@ def header_error(header: Column, daily: bool = False) -> Column:
 def scaled_integer(text: Column, digits: int) -> Column:
     """An exact decimal text times 10^digits as BIGINT; null unless it is a number whose further digits are all zero."""
     t = F.trim(text)
-    whole, frac = F.regexp_extract(t, r"^[+-]?([0-9]+)", 1), F.regexp_extract(t, r"\.([0-9]+)$", 1)
-    ok = F.rlike(t, F.lit(r"^[+-]?[0-9]+(\.[0-9]+)?$")) & F.rlike(F.substring(frac, digits + 1, 1 << 20), F.lit("^0*$"))
+    ok = F.rlike(t, F.lit(rf"^[+-]?[0-9]+(\.(?=[0-9])[0-9]{{0,{digits}}}0*)?$"))  # the one regular expression
+    signed = F.startswith(t, F.lit("-")) | F.startswith(t, F.lit("+"))
+    plain = F.when(signed, F.substring(t, 2, 1 << 20)).otherwise(t)
+    frac = F.when(F.contains(plain, F.lit(".")), F.substring_index(plain, ".", -1)).otherwise(F.lit(""))
+    whole = F.substring_index(plain, ".", 1)
     number = F.concat(whole, F.rpad(F.substring(frac, 1, digits), digits, "0")) if digits else whole
-    sign = F.when(F.startswith(t, F.lit("-")), -1).otherwise(1)
-    return F.when(ok, sign * number.try_cast("bigint"))
+    return F.when(ok, number.try_cast("bigint") * F.when(F.startswith(t, F.lit("-")), -1).otherwise(1))
 
 
 def whole_number(text: Column) -> Column:
