@@ -10,6 +10,12 @@ from barlume.functions import parsing as P
 from barlume.schema import NS, TIMEFRAMES
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed: a filter above cannot be pushed into their expressions, which it would
+    otherwise repeat many times over."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__x")).select("__x.*")
+
+
 def parse_rows(raw: DataFrame, timeframe: str, zone: str, digits: int, tick_points: int = 1) -> DataFrame:
     """Raw text rows (source_row, date, time, open, high, low, close, tickvol, vol, spread and key columns) to typed
     ones with ``reject_code`` (null: accepted). Prices become ticks of ``tick_points`` points."""
@@ -17,13 +23,13 @@ def parse_rows(raw: DataFrame, timeframe: str, zone: str, digits: int, tick_poin
     volumes = {"tick_volume": P.whole_number(F.col("tickvol")), "real_volume": P.whole_number(F.col("vol")), "source_spread_points": P.whole_number(F.col("spread"))}
     keys = [c for c in raw.columns if c not in ("date", "time", "open", "high", "low", "close", "tickvol", "vol", "spread")]
     rows = raw.select(*keys, P.local_datetime(F.col("date"), F.col("time")).alias("local_time"), *(c.alias(k) for k, c in (prices | volumes).items()))
-    rows = rows.withColumn("open_time_ns", P.localize_ns(F.col("local_time"), zone))
+    rows = _settled(_settled(rows).withColumn("open_time_ns", P.localize_ns(F.col("local_time"), zone)))
     rows = rows.withColumn("close_time_ns", P.close_ns(F.col("local_time"), F.col("open_time_ns"), timeframe, zone))
     parsed = F.lit(True)
     for c in (*prices, *volumes, "open_time_ns", "close_time_ns"):
         parsed = parsed & F.col(c).isNotNull()
     code = P.reject_code([F.col(c) for c in prices], tick_points, [F.col(c) for c in volumes], P.aligned(F.col("local_time"), timeframe), parsed)
-    rows = rows.withColumn("reject_code", code)
+    rows = _settled(rows).withColumn("reject_code", code)
     return rows.withColumns({f"{c}_ticks": F.expr(f"{c}_points div {tick_points}") for c in ("open", "high", "low", "close")}).drop(*prices)
 
 
@@ -86,9 +92,11 @@ def cross_audit(base: DataFrame, targets: DataFrame, tolerance: int = 0, volume:
     timeframe by bucket, an equality join since a fixed timeframe's intervals are its buckets."""
     from barlume.operators.bars import OHLC
 
-    length = targets.groupBy("timeframe").agg(F.max(F.col("close_time_ns") - F.col("open_time_ns")).alias("length"))
+    # a row per timeframe: at most the 21 that exist
+    lengths = targets.groupBy("timeframe").agg(F.max(F.col("close_time_ns") - F.col("open_time_ns")).alias("length")).limit(len(TIMEFRAMES)).collect()
     cover = base.groupBy("symbol").agg(F.min("open_time_ns").alias("lo"), F.max("close_time_ns").alias("hi"))
-    dealt = base.join(F.broadcast(length.withColumnRenamed("timeframe", "target")))  # a row per timeframe: at most the 21 that exist
+    each = [F.struct(F.lit(r.timeframe).alias("target"), F.lit(r.length).cast("bigint").alias("length")) for r in lengths]
+    dealt = base.withColumn("__t", F.explode(F.array(*each) if each else F.array().cast("array<struct<target:string,length:bigint>>"))).select("*", "__t.target", "__t.length")
     start = F.col("open_time_ns") - F.pmod("open_time_ns", F.col("length"))
     made = dealt.groupBy("symbol", F.col("target").alias("timeframe"), start.alias("open_time_ns")).agg(
         F.min_by("open_ticks", "open_time_ns").alias("b_open_ticks"), F.max("high_ticks").alias("b_high_ticks"), F.min("low_ticks").alias("b_low_ticks"), F.max_by("close_ticks", "open_time_ns").alias("b_close_ticks"), F.sum("tick_volume").alias("b_tick_volume")

@@ -269,8 +269,8 @@ def compare_runs(spark, sf):
 )
 def cursor_analytics(spark, sf):
     t = trades(spark, sf)
-    cursor = t.select(F.expr("percentile_disc(0.5) within group (order by exit_time_ns)").cast("bigint").alias("at"))
-    return _rounded(M.run_totals(t.join(F.broadcast(cursor), F.col("exit_time_ns") <= F.col("at")).drop("at"), RUN, INITIAL))
+    cursor = t.select(F.expr("percentile_disc(0.5) within group (order by exit_time_ns)").cast("bigint")).first()[0]
+    return _rounded(M.run_totals(t.where(F.col("exit_time_ns") <= cursor), RUN, INITIAL))
 
 
 @query(

@@ -249,13 +249,16 @@ def audit_summary(spark, sf):
     return Q.audit_summary(_audited(spark, sf))
 
 
-_MANIFEST = """--cte actual AS (SELECT symbol, timeframe, sha256(string_agg(open_time_ns || ',' || close_ticks, chr(10) ORDER BY open_time_ns)) AS sha256, CAST(sum(tick_volume) AS BIGINT) AS size_bytes, count(*) AS row_count, min(open_time_ns) AS start_ns, max(open_time_ns) AS end_ns FROM bars GROUP BY symbol, timeframe)"""
+_MANIFEST = """--cte n AS (SELECT *, (row_number() OVER w - 1) // 1000 AS blk FROM bars WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY open_time_ns)),
+    p AS (SELECT symbol, timeframe, blk, sha256(string_agg(open_time_ns || ',' || close_ticks, chr(10) ORDER BY open_time_ns)) AS d FROM n GROUP BY ALL),
+    q AS (SELECT symbol, timeframe, sha256(string_agg(d, chr(10) ORDER BY blk)) AS sha256 FROM p GROUP BY symbol, timeframe),
+    actual AS (SELECT symbol, timeframe, q.sha256, CAST(sum(tick_volume) AS BIGINT) AS size_bytes, count(*) AS row_count, min(open_time_ns) AS start_ns, max(open_time_ns) AS end_ns FROM bars JOIN q USING (symbol, timeframe) GROUP BY symbol, timeframe, q.sha256)"""
 
 
 def _actual(spark, sf):
     from barlume.sources.manifest import build_manifest
 
-    return build_manifest(bars(spark, sf), F.col("tick_volume"))
+    return build_manifest(bars(spark, sf), F.col("tick_volume"), 1000)
 
 
 @query("s6_s7_manifest", sql(_MANIFEST + " SELECT * FROM actual", "bars"))

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barlume.functions.text import run_digest
 
-def build_manifest(bars: DataFrame, size: Column) -> DataFrame:
-    """(symbol, timeframe, sha256, size_bytes, row_count, start_ns, end_ns) of canonical bars."""
-    line = F.struct("open_time_ns", F.concat_ws(",", F.col("open_time_ns").cast("string"), F.col("close_ticks").cast("string")).alias("l"))
-    return bars.groupBy("symbol", "timeframe").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n"), 256).alias("sha256"),
-        F.sum(size).alias("size_bytes"),
-        F.count("*").alias("row_count"),
-        F.min("open_time_ns").alias("start_ns"),
-        F.max("open_time_ns").alias("end_ns"),
-    )
+
+def build_manifest(bars: DataFrame, size: Column, block: int = 10_000) -> DataFrame:
+    """(symbol, timeframe, sha256, size_bytes, row_count, start_ns, end_ns) of canonical bars.
+
+    The hash is that of the hashes of blocks of ``block`` bars in time order, so a series of any length is
+    hashed by many tasks and no task gathers it."""
+    keys = ["symbol", "timeframe"]
+    line = F.concat_ws(",", F.col("open_time_ns").cast("string"), F.col("close_ticks").cast("string"))
+    digest = run_digest(bars, keys, ["open_time_ns"], line, block).select(*keys, F.col("digest").alias("sha256"))
+    told = bars.groupBy(*keys).agg(F.sum(size).alias("size_bytes"), F.count("*").alias("row_count"), F.min("open_time_ns").alias("start_ns"), F.max("open_time_ns").alias("end_ns"))
+    return digest.join(told, keys)
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:

@@ -15,8 +15,9 @@ RESERVED = ("active", "active_long", "active_short", "entries", "exits", "stop_e
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per symbol and timeframe (both prune scans), sorted by open time (row groups skip)."""
-    bars.repartition("symbol", "timeframe").sortWithinPartitions("symbol", "timeframe", "open_time_ns").write.mode(mode).option("compression", "zstd").partitionBy("symbol", "timeframe").parquet(path)
+    """One folder per symbol and timeframe (both prune scans), sorted by open time (row groups skip). Dealt by
+    range, so a series of any length is written by many tasks and each file holds a stretch of time."""
+    bars.repartitionByRange("symbol", "timeframe", "open_time_ns").sortWithinPartitions("symbol", "timeframe", "open_time_ns").write.mode(mode).option("compression", "zstd").partitionBy("symbol", "timeframe").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
