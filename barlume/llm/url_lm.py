@@ -9,8 +9,9 @@ below it.
 
 Counts are over all distinct labelled urls and grow with them. Per position the longest known
 n-gram gives the logarithm of the ratio, each longer known context its back-off weight; both come
-from equality joins. The model is broadcast while it has at most ``BROADCAST_ROWS`` rows (counted);
-beyond that the joins shuffle. Everything is native.
+from equality joins with the distinct n-grams of all urls. Their results go to the positions in one
+more join: broadcast while they are at most ``BROADCAST_ROWS`` rows (counted), shuffled beyond
+that, where Spark splits the frequent n-grams. Everything is native.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, and is
 scored by its text (a null or empty one scores 0); without labelled urls of both kinds no url
@@ -95,20 +96,33 @@ def train(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.select("ord", "ctx", "ch", (F.log("p1") - F.log("p0")).alias("ratio"), "p1", "p0"), contexts.select("ord", "ctx", "back")
 
 
-def score(urls: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(url, score): the log-likelihood difference per character of each distinct url's text."""
-    small = (lambda d: F.broadcast(d)) if grams.count() <= BROADCAST_ROWS else (lambda d: d)
-    rows = _positions(urls.select("url", "text"), "url")
-    for k in range(ORDER + 1):
+def ratios(needed: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(g, at): the log ratio of each distinct stretch of ``ORDER`` characters and the one that follows."""
+    last = ORDER + 1
+    rows = needed.select("g", F.substring("g", F.lit(last), F.lit(1)).alias("ch"), *(F.substring("g", F.lit(last - k), F.lit(k)).alias(f"c{k}") for k in range(last)))
+    for k in range(last):
         g = grams.where(F.col("ord") == k).select(F.col("ctx").alias(f"c{k}"), "ch", F.col("ratio").alias(f"r{k}"))
-        rows = rows.join(small(g), [f"c{k}", "ch"], "left")
+        rows = rows.join(g, [f"c{k}", "ch"], "left")
         if k:
             c = contexts.where(F.col("ord") == k).select(F.col("ctx").alias(f"c{k}"), F.col("back").alias(f"b{k}"))
-            rows = rows.join(small(c), f"c{k}", "left")
+            rows = rows.join(c, f"c{k}", "left")
     at = F.coalesce("r0", F.lit(0.0))  # a character never seen tells nothing
-    for k in range(1, ORDER + 1):
+    for k in range(1, last):
         at = F.when(F.col(f"r{k}").isNotNull(), F.col(f"r{k}")).otherwise(at + F.coalesce(f"b{k}", F.lit(0.0)))
-    return rows.groupBy("url").agg(F.round(F.avg(at), 9).alias("score"))
+    return rows.select("g", at.alias("at"))
+
+
+def score(urls: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(url, score): the log-likelihood difference per character of each distinct url's text.
+
+    What a position adds depends on its last ``ORDER`` + 1 characters only, so the model is joined to the
+    distinct ones of all urls, and their results, once, to the positions."""
+    padded = F.concat(F.lit(_PAD * ORDER), F.col("text"), F.lit(_STOP))
+    rows = urls.select("url", padded.alias("t"), F.explode(F.sequence(F.lit(1), F.length("text") + 1)).alias("i"))
+    rows = rows.select("url", F.substring("t", F.col("i"), F.lit(ORDER + 1)).alias("g"))
+    found = materialize(ratios(materialize(rows.select("g").distinct(), "url-needed"), grams, contexts), "url-ratios")
+    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return rows.join(small, "g").groupBy("url").agg(F.round(F.avg("at"), 9).alias("score"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, alpha: float = ALPHA) -> DataFrame:
