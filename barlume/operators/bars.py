@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barlume.operators.joins import asof_join, last_n
 from barlume.schema import DAY_NS, NS, TIMEFRAMES
 
+#: As-of joins cut a symbol's time into stretches of this length, so no symbol is one task.
+SEGMENT_NS = 30 * DAY_NS
 OHLC = ["open_ticks", "high_ticks", "low_ticks", "close_ticks"]
 
 
@@ -86,7 +88,7 @@ def window(bars: DataFrame, at_ns: int, n: int) -> DataFrame:
 
 def with_latest_closed(points: DataFrame, bars: DataFrame, columns: list[str], time: str = "time_ns") -> DataFrame:
     """Every point with the bar of its symbol that closed last at or before it."""
-    return asof_join(points, bars, ["symbol"], time, "close_time_ns", columns)
+    return asof_join(points, bars, ["symbol"], time, "close_time_ns", columns, segment_ns=SEGMENT_NS)
 
 
 def close_batches(*series: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def close_batches(*series: DataFrame) -> DataFrame:
 def boundaries(base: DataFrame, targets: DataFrame) -> DataFrame:
     """Base bars with the interval of the target bar that holds them whole (boundary_open_ns, boundary_close_ns)."""
     spans = targets.select("symbol", F.col("open_time_ns").alias("boundary_open_ns"), F.col("close_time_ns").alias("boundary_close_ns"))
-    got = asof_join(base, spans, ["symbol"], "open_time_ns", "boundary_open_ns", ["boundary_open_ns", "boundary_close_ns"])
+    got = asof_join(base, spans, ["symbol"], "open_time_ns", "boundary_open_ns", ["boundary_open_ns", "boundary_close_ns"], segment_ns=SEGMENT_NS)
     return got.where(F.col("close_time_ns") <= F.col("boundary_close_ns"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barlume.operators.bars import SEGMENT_NS
 from barlume.operators.joins import asof_join, interval_join
 
 HORIZONS = (4, 16, 32, 96)
@@ -23,7 +24,7 @@ def overlaps(bars: DataFrame, trades: DataFrame, width_ns: int) -> DataFrame:
 def event_bars(trades: DataFrame, bars: DataFrame, event: str, prefix: str) -> DataFrame:
     """``trades`` with the bar (sequence, close) whose (lower, close] holds the event; null outside all bars."""
     b = bounded(bars).select("symbol", F.col("close_time_ns").alias(f"{prefix}_close_ns"), F.col("sequence").alias(f"{prefix}_sequence"), F.col("lower_ns").alias("__lo"))
-    got = asof_join(trades, b, ["symbol"], event, f"{prefix}_close_ns", [f"{prefix}_close_ns", f"{prefix}_sequence", "__lo"], forward=True)
+    got = asof_join(trades, b, ["symbol"], event, f"{prefix}_close_ns", [f"{prefix}_close_ns", f"{prefix}_sequence", "__lo"], forward=True, segment_ns=SEGMENT_NS)
     inside = F.col("__lo") < F.col(event)
     return got.withColumns({c: F.when(inside, F.col(c)) for c in (f"{prefix}_close_ns", f"{prefix}_sequence")}).drop("__lo")
 

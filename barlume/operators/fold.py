@@ -4,7 +4,9 @@ Bars and commands of all runs are one stream of rows, dealt by run and sorted by
 reads its rows as a stream and holds only the state of the run at hand, so a run may be of any length;
 a run itself is sequential and never split. Parallelism comes from many runs.
 
-Rows: (run_id, at_ns, rank, kind, body). A command made at t comes before the bar that opens at t.
+Rows: (run_id, at_ns, rank, kind, tie, body), by the time at which they are known. Of one time, bars that are
+only seen and forming bars come first, then bars that execute, then commands: a command made at t is there
+before the bar that opens at t. Callbacks see all that closed at their time: events first, then bars.
 Output: (run_id, seq, kind, time_ns, ref, payload) with the payload as JSON; ``trades``, ``fills`` and
 ``equity`` read it back as columns.
 """
@@ -50,7 +52,7 @@ class Market:
     """Closed bars per series, the newest last; never one that has not closed."""
 
     def __init__(self, depth: int = 5_000):
-        self.depth, self.series = depth, {}
+        self.depth, self.series, self.unfinished = depth, {}, {}
 
     def add(self, bar: Bar) -> None:
         s = self.series.setdefault((bar.symbol, bar.timeframe), deque(maxlen=self.depth))
@@ -68,6 +70,11 @@ class Market:
         s = self.series.get((symbol, timeframe), ())
         return [s[i] for i in range(max(0, len(s) - n), len(s))]
 
+    def forming(self, symbol: str, timeframe: str, now: int) -> dict[str, int] | None:
+        """The unfinished bar of a longer timeframe as last observed, while it is unfinished."""
+        f = self.unfinished.get((symbol, timeframe))
+        return f if f and f["observed_time_ns"] <= now < f["boundary_close_ns"] else None
+
     def count(self, symbol: str, timeframe: str) -> int:
         return len(self.series.get((symbol, timeframe), ()))
 
@@ -153,8 +160,9 @@ class Run:
 
     ROUNDS = 8
 
-    def __init__(self, run_id: str, rules: Rules, profiles: dict[str, Profile], strategy: Strategy | None, account_every: int):
-        self.run_id, self.book = run_id, Book(rules, profiles)
+    def __init__(self, run_id: str, rules: Rules, profiles: dict[str, Profile], strategy: Strategy | None, account_every: int, start_ns: int = 0):
+        self.run_id, self.book, self.start = run_id, Book(rules, profiles), start_ns
+        self.seen: list[Bar] = []  # closed, not yet called back
         self.strategy, self.context = strategy, Context(self.book)
         self.seq, self.every, self.last = 0, account_every, 0
         self.out: list[tuple] = []
@@ -181,30 +189,54 @@ class Run:
         self.context.actions = 0
         return events
 
-    def _feedback(self, now: int, bar: Bar | None) -> None:
-        """Events first, then the bar; orders that callbacks make come back as events, a bounded number of rounds."""
+    def _feedback(self, now: int) -> None:
+        """Events first, then the bars; orders that callbacks make come back as events, a bounded number of rounds."""
+        bars, self.seen = self.seen, []
         events = self._flush(now)
         if not self.strategy:
             return
         for _ in range(self.ROUNDS):
             for kind, _time, ref, values in events:
                 self.strategy.on_order(self.context, kind, ref, values)
-            if bar is not None:
-                self.strategy.on_bar(self.context, bar)
-                bar = None
+            for b in bars:
+                self.strategy.on_bar(self.context, b)
+            bars = []
             events = self._flush(now)
             if not events:
                 return
         raise RuntimeError("callbacks keep answering each other")
 
     def bar(self, b: Bar, execute: bool) -> None:
+        """Bars that close by the start only warm up the market."""
+        self.catch_up(b.close_time_ns)
+        self.context.market.add(b)
+        if b.close_time_ns <= self.start:
+            return
+        self.context.now = self.last = max(self.last, b.close_time_ns)
+        self.seen.append(b)
         if execute:
             self.book.bar(b.symbol, b.open_time_ns, b.close_time_ns, b.open_ticks, b.high_ticks, b.low_ticks, b.close_ticks, b.source_spread_points, b.sequence)
-        self.context.now = self.last = max(self.last, b.close_time_ns)
-        self.context.market.add(b)
-        self._feedback(b.close_time_ns, b)
+            self._feedback(b.close_time_ns)
+
+    def forming(self, f: dict[str, Any]) -> None:
+        self.context.market.unfinished[f["symbol"], f["timeframe"]] = f
+
+    def catch_up(self, now: int) -> None:
+        """Calls back bars of an earlier time at which nothing executed."""
+        if self.seen and self.seen[-1].close_time_ns < now:
+            self._feedback(self.seen[-1].close_time_ns)
+
+    def row(self, at: int, kind: str, body: str) -> None:
+        values = json.loads(body)
+        if kind == "bar":
+            self.bar(Bar(*(values.get(k) for k in BAR)), values["x"])
+        elif kind == "forming":
+            self.forming(values)
+        else:
+            self.command(at, values)
 
     def command(self, at: int, c: dict[str, Any]) -> None:
+        self.catch_up(at + 1)
         what = c.pop("do", "submit")
         try:
             if what == "submit":
@@ -220,9 +252,10 @@ class Run:
         self._flush(at)
 
     def finish(self, liquidate: bool) -> list[tuple]:
+        self.catch_up(self.last + 1)
         if liquidate and self.book.positions:
             self.book.finish(self.last)
-        self._feedback(self.last, None)
+        self._feedback(self.last)
         if self.strategy:
             self.strategy.on_stop(self.context, "end_of_data")
             self._flush(self.last)
@@ -232,19 +265,24 @@ class Run:
 
 
 def bar_rows(bars: DataFrame, execution_timeframe: str | None = None) -> DataFrame:
-    """Bars (run_id and ``BAR``) as stream rows. Bars of the execution timeframe are placed at their open, before
-    which commands of that time come; others at their close, when a strategy may see them."""
+    """Bars (run_id and ``BAR``) as stream rows at their close; those of the execution timeframe (default: all) execute."""
     execute = F.lit(True) if execution_timeframe is None else F.col("timeframe") == execution_timeframe
-    body = F.to_json(F.struct(execute.alias("x"), *BAR))
-    return bars.select("run_id", F.when(execute, F.col("open_time_ns")).otherwise(F.col("close_time_ns")).alias("at_ns"), F.when(execute, 2).otherwise(0).alias("rank"), F.lit("bar").alias("kind"), F.col("symbol").alias("tie"), body.alias("body"))
+    tie = F.concat_ws("/", F.lpad(F.col("open_time_ns").cast("string"), 20, "0"), "symbol", "timeframe")
+    return bars.select("run_id", F.col("close_time_ns").alias("at_ns"), F.when(execute, 2).otherwise(0).alias("rank"), F.lit("bar").alias("kind"), tie.alias("tie"), F.to_json(F.struct(execute.alias("x"), *BAR)).alias("body"))
+
+
+def forming_rows(forming: DataFrame, timeframe: str) -> DataFrame:
+    """Unfinished bars (``bars.forming`` with run_id) as stream rows at the time they were observed."""
+    body = F.to_json(F.struct("symbol", F.lit(timeframe).alias("timeframe"), "boundary_open_ns", "boundary_close_ns", "observed_time_ns", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "tick_volume"))
+    return forming.select("run_id", F.col("observed_time_ns").alias("at_ns"), F.lit(1).alias("rank"), F.lit("forming").alias("kind"), F.concat_ws("/", "symbol", F.lit(timeframe)).alias("tie"), body.alias("body"))
 
 
 def command_rows(commands: DataFrame) -> DataFrame:
     """Commands (run_id, at_ns, tie, body: JSON of the book's arguments, ``do`` for all but submissions)."""
-    return commands.select("run_id", "at_ns", F.lit(1).alias("rank"), F.lit("command").alias("kind"), F.col("tie").cast("string").alias("tie"), "body")
+    return commands.select("run_id", "at_ns", F.lit(3).alias("rank"), F.lit("command").alias("kind"), F.col("tie").cast("string").alias("tie"), "body")
 
 
-def simulate(rows: DataFrame, rules: Rules, profiles: dict[str, Profile], strategy: str | None = None, parameters: Callable[[str], dict] | None = None, account_every: int = 1, liquidate: bool = True) -> DataFrame:
+def simulate(rows: DataFrame, rules: Rules, profiles: dict[str, Profile], strategy: str | None = None, parameters: Callable[[str], dict] | None = None, account_every: int = 1, liquidate: bool = True, start_ns: int = 0) -> DataFrame:
     """Folds stream rows of any number of runs. ``parameters`` makes a run's strategy parameters from its id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +300,8 @@ def simulate(rows: DataFrame, rules: Rules, profiles: dict[str, Profile], strate
                     if run is not None:
                         out += run.finish(liquidate)
                     made = load(strategy)(**(parameters(run_id) if parameters else {})) if strategy else None
-                    run = Run(run_id, rules, profiles, made, account_every)
-                values = json.loads(body)
-                if kind == "bar":
-                    run.bar(Bar(*(values.get(k) for k in BAR)), values["x"])
-                else:
-                    run.command(at, values)
+                    run = Run(run_id, rules, profiles, made, account_every, start_ns)
+                run.row(at, kind, body)
                 out += run.out
                 run.out.clear()
             if len(out) >= 10_000:

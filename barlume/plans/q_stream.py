@@ -55,7 +55,7 @@ def stream_fold(spark, sf):
     return fold.trades(spark.read.parquet(out)).select("run_id", "trade_id", "side", "entry_time_ns", "exit_time_ns", "exit_reason")
 
 
-@query("l2_l10_seek", sql("SELECT symbol AS run_id, count(*) AS bars FROM bars WHERE open_time_ns < 1705276800000000000 GROUP BY symbol", "bars:H1"))
+@query("l2_l10_seek", sql("SELECT symbol AS run_id, count(*) AS bars FROM bars WHERE close_time_ns <= 1705276800000000000 GROUP BY symbol", "bars:H1"))
 def seek(spark, sf):
     rows = fold.bar_rows(bars(spark, sf, "H1").withColumn("run_id", F.col("symbol")))
     out = live.seek(rows, 1_705_276_800_000_000_000, rules=Rules(), profiles=profiles(spark, sf))

@@ -7,7 +7,6 @@ batch fold up to a time.
 
 from __future__ import annotations
 
-import json
 import pickle
 from collections.abc import Iterator
 
@@ -92,11 +91,7 @@ def live_runs(rows: DataFrame, rules: Rules, profiles: dict[str, Profile], strat
             run = fold.Run(key[0], rules, profiles, made, account_every)
         every = pd.concat(list(frames)).sort_values(["at_ns", "rank", "tie"], kind="stable")
         for r in every.itertuples(index=False):
-            values = json.loads(r.body)
-            if r.kind == "bar":
-                run.bar(fold.Bar(*(values.get(k) for k in fold.BAR)), values["x"])
-            else:
-                run.command(r.at_ns, values)
+            run.row(r.at_ns, r.kind, r.body)
         out, run.out = run.out, []
         state.update((pickle.dumps(run),))
         yield pd.DataFrame(out, columns=["run_id", "seq", "kind", "time_ns", "ref", "payload"])
@@ -120,7 +115,7 @@ def latest_frame(df: DataFrame, keys: list[str], path: str, order: str) -> Strea
 
 def seek(rows: DataFrame, until_ns: int, **options) -> DataFrame:
     """The state at a time, by folding again up to it."""
-    return fold.simulate(rows.where(F.col("at_ns") < until_ns), liquidate=False, **options)
+    return fold.simulate(rows.where(F.col("at_ns") <= until_ns), liquidate=False, **options)
 
 
 def delay_ns(minutes: int) -> int:

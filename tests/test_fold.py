@@ -93,3 +93,34 @@ def test_structure_hunt():
     assert h.step(4, 103, 119, 102, 104, 5, 9, None, None) is None  # not beyond 120
     h.step(5, 104, 125, 103, 124, 5, 9, None, None)
     assert not h.levels[True][0].valid  # closed beyond the bodies
+
+
+class Watcher(signals.Strategy):
+    """Logs what each callback can see."""
+
+    def on_bar(self, context, bar):
+        f = context.market.forming(bar.symbol, "H4", context.now)
+        h = context.market.latest(bar.symbol, "H4")
+        context.log("info", "seen", timeframe=bar.timeframe, close=bar.close_time_ns, forming=f["observed_time_ns"] if f else None, volume=f["tick_volume"] if f else None, last=h.close_time_ns if h else None, known=context.market.count(bar.symbol, bar.timeframe))
+
+
+def test_several_timeframes_forming_bars_and_warm_up(spark):
+    from barlume.operators import bars as B
+
+    m, h = (adapters.bars(spark, SF, tf).where("symbol = 'view'").withColumn("run_id", F.lit("v")) for tf in ("H1", "H4"))
+    start = m.agg(F.expr("percentile_disc(0.3) within group (order by close_time_ns)")).first()[0]
+    rows = fold.bar_rows(m.unionByName(h), "H1").unionByName(fold.forming_rows(B.forming(m, h).withColumn("run_id", F.lit("v")), "H4"))
+    out = fold.simulate(rows, Rules(), {"view": Profile("view")}, "tests.test_fold:Watcher", start_ns=int(start))
+    seen = [r[0] for r in out.where("kind = 'log'").orderBy("seq").select(F.from_json("payload", "timeframe string, close long, forming long, volume long, last long, known long")).collect()]
+    bars4 = {r.close_time_ns: r.open_time_ns for r in h.collect()}
+    closes1 = sorted(r.close_time_ns for r in m.collect())
+    assert [s.close for s in seen if s.timeframe == "H1"] == [c for c in closes1 if c > start]
+    assert [s.close for s in seen if s.timeframe == "H4"] == sorted(c for c in bars4 if c > start)
+    for s in seen:
+        done = [c for c in bars4 if c <= s.close]
+        assert s.last == (max(done) if done else None)
+        if s.timeframe == "H1":
+            assert s.known == sum(c <= s.close for c in closes1)
+            inside = [c for c, o in bars4.items() if o < s.close < c]
+            assert s.forming == (s.close if inside else None)
+    assert fold.reports(out).first().bars == sum(c > start for c in closes1)
