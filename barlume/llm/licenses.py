@@ -53,10 +53,9 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
 
 
 def _positions(spark: SparkSession) -> DataFrame:
-    rows = [(i, label, base, len(w) - K + 1, t, *w[t : t + K]) for i, label, base, w in templates() for t in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, grams int, tpos int, w0 string, w1 string").select(
-        F.xxhash64("w0", "w1").alias("gram"), F.col("w0").alias("t0"), F.col("w1").alias("t1"), "template", "label", "base", "grams", "tpos"
-    )
+    """The templates' 2-grams as a literal table."""
+    rows = ", ".join(f"({i}, '{label}', {base}, {len(w) - K + 1}, {t}, '{w[t]}', '{w[t + 1]}')" for i, label, base, w in templates() for t in range(len(w) - K + 1))
+    return spark.sql(f"SELECT xxhash64(t0, t1) AS gram, t0, t1, template, label, base, grams, tpos FROM VALUES {rows} AS t(template, label, base, grams, tpos, t0, t1)")
 
 
 def words(text: Column) -> Column:
