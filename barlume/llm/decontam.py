@@ -170,15 +170,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", piece: int = PIECE, unit_words: int = UNIT_WORDS) -> DataFrame:
     """Rows of ``docs`` that hold no item; decided row by row, without a shuffle."""
-    kept = docs
-    for block in _blocks(benchmark, options.pop("item_col", "item_id"), options.pop("item_text_col", "text")):
+    kept, at = docs, docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(block)
-        at = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held.value, piece, unit_words)
             for b in batches:
                 yield b.filter(pa.array([not matcher.match(t.as_py()) for t in b.column(at)], pa.bool_()))
 

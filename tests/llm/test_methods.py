@@ -89,12 +89,13 @@ def test_kept_follows_the_cutoffs(spark):
     langs = sorted({v[0] for i, v in measured.items() if i in label and not failed[i]})
     for alpha in (0.02, 0.3):
         for lang in langs:
+            left = [i for i, (x, _) in measured.items() if x == lang and i in label and not failed[i]]
             for k in range(4):
                 good, bad = [0] * (quality.BINS + 1), [0] * (quality.BINS + 1)
-                for i, (s, bins) in measured.items():
-                    if s == lang and i in label and not failed[i]:
-                        (good if label[i] > 0 else bad)[bins[k]] += 1
-                cutoffs[lang, k] = quality.choose(good, bad, alpha, quality.DELTA / (len(langs) * 4))
+                for i in left:
+                    (good if label[i] > 0 else bad)[measured[i][1][k]] += 1
+                cut = cutoffs[lang, k] = quality.choose(good, bad, alpha, quality.DELTA / (len(langs) * 4))
+                left = [i for i in left if cut is None or measured[i][1][k] <= cut]
         got = {r.doc_id: (r.base_failed, r.kept) for r in quality.assess(docs, labels, alpha=alpha).collect()}
         for i, (lang, bins) in measured.items():
             over = any(cutoffs.get((lang, k)) is not None and bins[k] > cutoffs[lang, k] for k in range(4))
