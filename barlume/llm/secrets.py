@@ -60,7 +60,7 @@ def window_entropy(run: Column, window: int = WINDOW) -> Column:
             counts = F.transform(acc["counts"], lambda c, j: c + (j == come).cast("int") - F.coalesce((j == go).cast("int"), F.lit(0)))
             return F.struct(counts.alias("counts"), s.alias("s"), F.when(i >= window - 1, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(at["codes"]) - 1), start(at), step, lambda acc: F.lit(float(window)) * 0 + F.log2(F.lit(float(window))) - acc["least"] / window)
+        return F.aggregate(F.sequence(F.lit(0), F.size(at["codes"]) - 1), start(at), step, lambda acc: F.log2(F.lit(float(window))) - acc["least"] / window)
 
     chars = F.split(run, "")
     coded = F.array(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("alphabet")))
