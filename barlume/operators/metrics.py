@@ -78,7 +78,10 @@ def behavior(trades: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(n > 0).alias("wins"),
         F.count_if(n < 0).alias("losses"),
         F.count_if(n == 0).alias("breakeven"),
+        F.count_if(F.col("side") == "LONG").alias("long_trades"),
+        F.count_if(F.col("side") == "SHORT").alias("short_trades"),
         (F.count_if(n > 0) * 100.0 / F.count("*")).alias("win_rate_percent"),
+        (F.count_if(n < 0) * 100.0 / F.count("*")).alias("loss_rate_percent"),
         F.count_if("intrabar_ambiguous").alias("ambiguous"),
         F.avg(held).alias("average_minutes"),
         F.median(held).alias("median_minutes"),
@@ -194,20 +197,25 @@ def _ratios(values: Column, n: Column, agg, annual: int, free_percent: float) ->
     }
 
 
-def risk(equity: DataFrame, by: Sequence[str], initial: float, annual: int = 252, free_percent: float = 0.0) -> DataFrame:
-    """Drawdown, Ulcer index, value at risk and ratios of one run per row."""
+def risk(equity: DataFrame, by: Sequence[str], initial: float, annual: int = 252, free_percent: float = 0.0, least_days: int = 30) -> DataFrame:
+    """Drawdown, its lengths, Ulcer index, value at risk (a loss is positive) and ratios of one run per row."""
     dd = drawdowns(equity, by).groupBy(*by).agg(
         F.max("drawdown_amount").alias("max_drawdown_amount"),
         F.max("drawdown_percent").alias("max_drawdown_percent"),
         F.avg("drawdown_percent").alias("average_drawdown_percent"),
         F.sqrt(F.avg(F.pow("drawdown_percent", F.lit(2)))).alias("ulcer_index"),
         (F.max_by("equity", "time_ns") - initial).alias("net_pnl"),
+        ((F.max("time_ns") - F.min("time_ns")) / float(DAY_NS)).alias("__span"),
     )
+    lengths = episodes(equity, by).groupBy(*by).agg(F.max("duration_minutes").alias("longest_drawdown_minutes"), F.max("recovery_minutes").alias("longest_recovery_minutes"))
     days = daily(equity, by, initial)
     value = F.percentile("return_percent", F.lit(0.05))
-    at_risk = days.groupBy(*by).agg(value.alias("var_95_percent"), F.max("return_percent").alias("best_day_percent"), F.min("return_percent").alias("worst_day_percent"), F.count("*").alias("days"), *(c.alias(k) for k, c in _ratios(F.col("return_percent"), F.count("*"), lambda c: c, annual, free_percent).items()))
-    tail = days.join(at_risk.select(*by, "var_95_percent"), [*by]).where("return_percent <= var_95_percent").groupBy(*by).agg(F.avg("return_percent").alias("cvar_95_percent"))
-    out = dd.join(at_risk, [*by]).join(tail, [*by], "left")
+    at_risk = days.groupBy(*by).agg(value.alias("__q"), F.max("return_percent").alias("best_day_percent"), F.min("return_percent").alias("worst_day_percent"), F.count("*").alias("days"), *(c.alias(k) for k, c in _ratios(F.col("return_percent"), F.count("*"), lambda c: c, annual, free_percent).items()))
+    tail = days.join(at_risk.select(*by, "__q"), [*by]).where("return_percent <= __q").groupBy(*by).agg(F.greatest(F.lit(0.0), -F.avg("return_percent")).alias("cvar_95_percent"))
+    out = dd.join(at_risk, [*by]).join(tail, [*by], "left").join(lengths, [*by], "left")
+    final = (F.lit(initial) + F.col("net_pnl")).cast("double")
+    cagr = F.when((F.col("__span") >= least_days) & (final > 0), (F.pow(final / initial, YEAR_DAYS / F.col("__span")) - 1) * 100)
+    out = out.withColumns({"var_95_percent": F.greatest(F.lit(0.0), -F.col("__q")), "longest_drawdown_minutes": F.coalesce("longest_drawdown_minutes", F.lit(0.0)), "calmar": F.when(F.col("max_drawdown_percent") > 0, cagr / F.col("max_drawdown_percent"))}).drop("__q", "__span")
     return out.withColumn("recovery_factor", F.when(F.col("max_drawdown_amount") > 0, _div(F.col("net_pnl"), F.col("max_drawdown_amount"))))
 
 

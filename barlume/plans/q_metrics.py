@@ -42,6 +42,7 @@ def performance(spark, sf):
     "g2_behavior",
     sql(
         f"""SELECT symbol, count(*) AS trades, CAST(count_if(net_pnl > 0) AS BIGINT) AS wins, CAST(count_if(net_pnl < 0) AS BIGINT) AS losses, CAST(count_if(net_pnl = 0) AS BIGINT) AS breakeven,
+        CAST(count_if(side = 'LONG') AS BIGINT) AS long_trades, CAST(count_if(side = 'SHORT') AS BIGINT) AS short_trades, round(count_if(net_pnl < 0) * 100.0 / count(*), 6) AS loss_rate_percent,
         round(count_if(net_pnl > 0) * 100.0 / count(*), 6) AS win_rate_percent, CAST(count_if(intrabar_ambiguous) AS BIGINT) AS ambiguous, round(avg({_MIN}), 6) AS average_minutes, round(median({_MIN}), 6) AS median_minutes,
         round(max({_MIN}), 6) AS longest_minutes, round(avg(mae), 6) AS average_mae, round(avg(mfe), 6) AS average_mfe, round(avg(gross_pnl * 100.0 / mfe) FILTER (gross_pnl > 0 AND mfe > 0), 6) AS mfe_capture_percent
         FROM trades GROUP BY symbol""",
@@ -104,18 +105,29 @@ def equity_daily(spark, sf):
 _DD = """, dd AS (SELECT *, max(equity) OVER w AS peak, max(equity) OVER w - equity AS gap, (max(equity) OVER w - equity) / CAST(max(equity) OVER w AS DOUBLE) * 100 AS pct FROM equity WINDOW w AS (PARTITION BY symbol ORDER BY time_ns))"""
 
 
+_EPISODES = """--cte m AS (SELECT *, max(equity) OVER w AS peak, lead(time_ns) OVER w AS nxt, max(time_ns) OVER (PARTITION BY symbol) AS fin FROM equity WINDOW w AS (PARTITION BY symbol ORDER BY time_ns)),
+    i AS (SELECT *, sum(CASE WHEN equity >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY time_ns) AS isle FROM m),
+    e AS (SELECT symbol, isle, min(time_ns) AS start_time_ns, arg_max(time_ns, (peak - equity, -time_ns)) AS trough_time_ns, arg_max_null(nxt, time_ns) AS recovery_time_ns, max(peak - equity) AS max_drawdown_amount, max(peak) AS peak, max(fin) AS fin
+        FROM i GROUP BY symbol, isle HAVING max(peak - equity) > 0),
+    episodes AS (SELECT symbol, start_time_ns, trough_time_ns, recovery_time_ns, max_drawdown_amount, round(max_drawdown_amount / CAST(peak AS DOUBLE) * 100, 6) AS max_drawdown_percent,
+        round((coalesce(recovery_time_ns, fin) - start_time_ns) / 60000000000.0, 6) AS duration_minutes, round((recovery_time_ns - trough_time_ns) / 60000000000.0, 6) AS recovery_minutes FROM e)"""
+
+
 @query(
     "g6_risk",
     sql(
         _DAILY
         + _DD
-        + f""", a AS (SELECT symbol, max(gap) AS max_drawdown_amount, round(max(pct), 6) AS max_drawdown_percent, round(avg(pct), 6) AS average_drawdown_percent, round(sqrt(avg(pct * pct)), 6) AS ulcer_index,
-            arg_max(equity, time_ns) - {INITIAL} AS net_pnl FROM dd GROUP BY symbol),
+        + _EPISODES.replace("--cte ", ", ", 1)
+        + f""", a AS (SELECT symbol, max(gap) AS max_drawdown_amount, max(pct) AS mp, round(avg(pct), 6) AS average_drawdown_percent, round(sqrt(avg(pct * pct)), 6) AS ulcer_index,
+            arg_max(equity, time_ns) - {INITIAL} AS net_pnl, (max(time_ns) - min(time_ns)) / 86400000000000.0 AS span FROM dd GROUP BY symbol),
+        l AS (SELECT symbol, max(duration_minutes) AS longest_drawdown_minutes, max(recovery_minutes) AS longest_recovery_minutes FROM episodes GROUP BY symbol),
         r AS (SELECT symbol, quantile_cont(return_percent, 0.05) AS v, max(return_percent) AS b, min(return_percent) AS w, count(*) AS days, avg(return_percent / 100) / stddev_samp(return_percent / 100) * sqrt(252) AS sh,
             avg(return_percent / 100) / sqrt(avg(pow(least(0, return_percent / 100), 2))) * sqrt(252) AS so, stddev_samp(return_percent / 100) * sqrt(252) * 100 AS vo FROM days GROUP BY symbol)
-        SELECT symbol, max_drawdown_amount, max_drawdown_percent, average_drawdown_percent, ulcer_index, net_pnl, round(v, 6) AS var_95_percent, round(b, 6) AS best_day_percent, round(w, 6) AS worst_day_percent, days,
-            round(sh, 6) AS sharpe, round(so, 6) AS sortino, round(vo, 6) AS volatility_percent, (SELECT round(avg(return_percent), 6) FROM days d WHERE d.symbol = r.symbol AND d.return_percent <= r.v) AS cvar_95_percent,
-            round(net_pnl / CAST(max_drawdown_amount AS DOUBLE), 6) AS recovery_factor FROM a JOIN r USING (symbol)""",
+        SELECT symbol, max_drawdown_amount, round(mp, 6) AS max_drawdown_percent, average_drawdown_percent, ulcer_index, net_pnl, round(greatest(0.0, -v), 6) AS var_95_percent, round(b, 6) AS best_day_percent, round(w, 6) AS worst_day_percent, days,
+            round(sh, 6) AS sharpe, round(so, 6) AS sortino, round(vo, 6) AS volatility_percent, (SELECT round(greatest(0.0, -avg(return_percent)), 6) FROM days d WHERE d.symbol = r.symbol AND d.return_percent <= r.v) AS cvar_95_percent,
+            round(net_pnl / CAST(max_drawdown_amount AS DOUBLE), 6) AS recovery_factor, coalesce(longest_drawdown_minutes, 0) AS longest_drawdown_minutes, longest_recovery_minutes,
+            round(CASE WHEN span >= 30 THEN (pow(({INITIAL} + net_pnl) / {INITIAL}.0, 365.2425 / span) - 1) * 100 / mp END, 6) AS calmar FROM a JOIN r USING (symbol) LEFT JOIN l USING (symbol)""",
         "equity",
     ),
 )
@@ -145,14 +157,6 @@ def drawdowns(spark, sf):
     return _rounded(M.drawdowns(equity(spark, sf), RUN))
 
 
-_EPISODES = """--cte m AS (SELECT *, max(equity) OVER w AS peak, lead(time_ns) OVER w AS nxt, max(time_ns) OVER (PARTITION BY symbol) AS fin FROM equity WINDOW w AS (PARTITION BY symbol ORDER BY time_ns)),
-    i AS (SELECT *, sum(CASE WHEN equity >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY time_ns) AS isle FROM m),
-    e AS (SELECT symbol, isle, min(time_ns) AS start_time_ns, arg_max(time_ns, (peak - equity, -time_ns)) AS trough_time_ns, arg_max_null(nxt, time_ns) AS recovery_time_ns, max(peak - equity) AS max_drawdown_amount, max(peak) AS peak, max(fin) AS fin
-        FROM i GROUP BY symbol, isle HAVING max(peak - equity) > 0),
-    episodes AS (SELECT symbol, start_time_ns, trough_time_ns, recovery_time_ns, max_drawdown_amount, round(max_drawdown_amount / CAST(peak AS DOUBLE) * 100, 6) AS max_drawdown_percent,
-        round((coalesce(recovery_time_ns, fin) - start_time_ns) / 60000000000.0, 6) AS duration_minutes, round((recovery_time_ns - trough_time_ns) / 60000000000.0, 6) AS recovery_minutes FROM e)"""
-
-
 @query("w3_drawdown_episodes", sql(_EPISODES + " SELECT * FROM episodes", "equity"))
 def episodes(spark, sf):
     return _rounded(M.episodes(equity(spark, sf), RUN))
