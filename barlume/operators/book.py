@@ -32,6 +32,47 @@ LIVE = ("ACCEPTED", "ACTIVE")
 POLICIES = ("CONSERVATIVE", "STOP_FIRST", "OPTIMISTIC", "TARGET_FIRST", "NEAREST_OPEN", "REJECT_AMBIGUOUS")
 
 
+class Why:
+    """Why an order is refused or cancelled; fixed values of the order contract."""
+
+    BELOW_MIN = "calculated volume is below volume_min"
+    NO_VOLUME = "strategy-defined sizing requires requested volume"
+    NO_STOP = "risk-based sizing requires stop_loss_ticks"
+    NO_DISTANCE = "risk-based sizing requires non-zero stop distance"
+    NO_RISK = "risk per lot must be positive"
+    STOP_LEVEL = "stop loss violates stops_level_points"
+    TARGET_LEVEL = "take profit violates stops_level_points"
+    STALE = "stale_order_time"
+    UNKNOWN = "unknown_symbol"
+    DUPLICATE = "duplicate_client_order_id"
+    OFF_GRID = "volume_not_aligned"
+    OCO_GROUP = "OCO ambiguous policy requires an OCO group"
+    CLOSE_NONE = "reduce_only_position_not_found"
+    CLOSE_SYMBOL = "reduce_only_symbol_mismatch"
+    CLOSE_SIDE = "reduce_only_side_mismatch"
+    CLOSE_VOLUME = "reduce_only_volume_exceeds_position"
+    MODIFY_EARLY = "modification time precedes order creation"
+    MODIFY_MARKET = "market order price cannot be modified"
+    MODIFY_EXPIRY = "expiration must be later than modification time"
+    MODIFY_NOTHING = "order modification contains no changes"
+    REWARD_STOP = "execution risk/reward requires non-zero stop distance"
+    REWARD_TARGET = "execution risk/reward target distance is zero"
+    LATE_CLOSE_NONE = "reduce-only position does not exist"
+    LATE_CLOSE_VOLUME = "reduce-only volume exceeds current position"
+    LATE_CLOSE_SIDE = "reduce-only side does not close the position"
+    PYRAMID = "pyramiding is disabled"
+    MOST_POSITIONS = "max_open_positions exceeded"
+    MOST_SYMBOL = "max_symbol_positions exceeded"
+    FREE_MARGIN = "insufficient_free_margin"
+    MOST_MARGIN = "max_margin_usage_percent exceeded"
+    OCO_AMBIGUOUS = "oco_intrabar_ambiguous"
+    OCO_SIBLING = "oco_sibling_terminal"
+    REPLACED = "protection_replaced_or_position_closed"
+    STOP_SIDE = "{} stop loss must be {} entry"
+    TARGET_SIDE = "{} take profit must be {} entry"
+    SIDE_OFF = "{} trading is disabled"
+
+
 class Refused(Exception):
     """An order that cannot be carried out; its text is the reason."""
 
@@ -61,7 +102,7 @@ class Profile:
     def volume(self, lots: Decimal) -> Decimal:
         """Clamped and floored onto the grid."""
         if lots < self.volume_min:
-            raise Refused("calculated volume is below volume_min")
+            raise Refused(Why.BELOW_MIN)
         steps = ((min(lots, self.volume_max) - self.volume_min) / self.volume_step).to_integral_value(ROUND_FLOOR)
         return self.volume_min + steps * self.volume_step
 
@@ -123,18 +164,18 @@ class Rules:
         mode, amount = self.sizing
         if mode == "STRATEGY_DEFINED":
             if wanted is None:
-                raise Refused("strategy-defined sizing requires requested volume")
+                raise Refused(Why.NO_VOLUME)
             return p.volume(wanted)
         if mode == "FIXED_LOT":
             return p.volume(amount)
         if stop is None:
-            raise Refused("risk-based sizing requires stop_loss_ticks")
+            raise Refused(Why.NO_STOP)
         if entry == stop:
-            raise Refused("risk-based sizing requires non-zero stop distance")
+            raise Refused(Why.NO_DISTANCE)
         cash = equity * amount / HUNDRED if mode == "RISK_PERCENT" else amount
         per_lot = p.money(D(entry - stop), D(1), False)
         if per_lot <= 0:
-            raise Refused("risk per lot must be positive")
+            raise Refused(Why.NO_RISK)
         return p.volume(cash / per_lot)
 
     def spread(self, points: int, p: Profile) -> int:
@@ -281,13 +322,13 @@ class Book:
         name, least = ("long" if long else "short"), p.ticks(p.stops_level_points)
         sign = 1 if long else -1
         if stop is not None and (entry - stop) * sign <= 0:
-            raise Refused(f"{name} stop loss must be {'below' if long else 'above'} entry")
+            raise Refused(Why.STOP_SIDE.format(name, "below" if long else "above"))
         if target is not None and (target - entry) * sign <= 0:
-            raise Refused(f"{name} take profit must be {'above' if long else 'below'} entry")
+            raise Refused(Why.TARGET_SIDE.format(name, "above" if long else "below"))
         if stop is not None and abs(entry - stop) < least:
-            raise Refused("stop loss violates stops_level_points")
+            raise Refused(Why.STOP_LEVEL)
         if target is not None and abs(entry - target) < least:
-            raise Refused("take profit violates stops_level_points")
+            raise Refused(Why.TARGET_LEVEL)
 
     # --- commands ------------------------------------------------------------------------------------
 
@@ -309,18 +350,18 @@ class Book:
     def _check_submission(self, o: Order) -> None:
         p = self.profiles.get(o.symbol)
         if o.created < self.now:
-            raise Refused("stale_order_time")
+            raise Refused(Why.STALE)
         if p is None:
-            raise Refused("unknown_symbol")
+            raise Refused(Why.UNKNOWN)
         if o.client in self.clients:
-            raise Refused("duplicate_client_order_id")
+            raise Refused(Why.DUPLICATE)
         if p.volume(o.lots) != o.lots:
-            raise Refused("volume_not_aligned")
+            raise Refused(Why.OFF_GRID)
         if o.price is not None:
             self._check_levels(o.buy, o.price, o.stop, o.target, p)
         x = o.extra
         if x.get("oco_cancel_all") and not x.get("oco"):
-            raise Refused("OCO ambiguous policy requires an OCO group")
+            raise Refused(Why.OCO_GROUP)
         for ratio in ("reward_risk", "reverse_reward"):
             if x.get(ratio) is not None and (D(x[ratio]) <= 0 or o.reduce_only or o.stop is None):
                 raise Refused(f"{ratio} needs a positive ratio and a stop loss")
@@ -329,13 +370,13 @@ class Book:
         if o.reduce_only:
             pos = self.positions.get(o.position)
             if pos is None:
-                raise Refused("reduce_only_position_not_found")
+                raise Refused(Why.CLOSE_NONE)
             if pos.symbol != o.symbol:
-                raise Refused("reduce_only_symbol_mismatch")
+                raise Refused(Why.CLOSE_SYMBOL)
             if pos.long == o.buy:
-                raise Refused("reduce_only_side_mismatch")
+                raise Refused(Why.CLOSE_SIDE)
             if o.lots > pos.lots:
-                raise Refused("reduce_only_volume_exceeds_position")
+                raise Refused(Why.CLOSE_VOLUME)
 
     def _own(self, order_id: int) -> Order:
         o = self.live.get(order_id)
@@ -349,14 +390,14 @@ class Book:
     def modify(self, order_id: int, time: int, price: int | None = None, stop: int | None = None, target: int | None = None, expires: int | None = None) -> None:
         o = self._own(order_id)
         if time < o.created:
-            raise Refused("modification time precedes order creation")
+            raise Refused(Why.MODIFY_EARLY)
         if price is not None and o.kind == "MARKET":
-            raise Refused("market order price cannot be modified")
+            raise Refused(Why.MODIFY_MARKET)
         if expires is not None and expires <= time:
-            raise Refused("expiration must be later than modification time")
+            raise Refused(Why.MODIFY_EXPIRY)
         new = {k: v for k, v in (("price", price), ("stop", stop), ("target", target), ("expires", expires)) if v is not None}
         if not new:
-            raise Refused("order modification contains no changes")
+            raise Refused(Why.MODIFY_NOTHING)
         if new.get("price", o.price) is not None:
             self._check_levels(o.buy, new.get("price", o.price), new.get("stop", o.stop), new.get("target", o.target), self.profiles[o.symbol])
         for k, v in new.items():
@@ -473,14 +514,14 @@ class Book:
             opening = [x for x in hits if x[1][3]]
             if not opening and len(hits) > 1 and members[0].extra.get("oco_cancel_all"):
                 for o in members:
-                    self._to(o, "CANCELLED", close_ns, "oco_intrabar_ambiguous")
+                    self._to(o, "CANCELLED", close_ns, Why.OCO_AMBIGUOUS)
                 continue
             o, hit = (opening or hits)[0]
             at = fill(o, hit)
             if o.state in ("FILLED", "REJECTED"):
                 for other in members:
                     if other is not o and other.state in LIVE:
-                        self._to(other, "CANCELLED", at, "oco_sibling_terminal")
+                        self._to(other, "CANCELLED", at, Why.OCO_SIBLING)
         return inside
 
     def _execute(self, o: Order, hit: Hit, spread: int, at: int) -> list[int]:
@@ -511,10 +552,10 @@ class Book:
         """Target and size again from the price of execution."""
         distance = abs(price - o.stop)
         if not distance:
-            raise Refused("execution risk/reward requires non-zero stop distance")
+            raise Refused(Why.REWARD_STOP)
         reach = int((D(distance) * D(o.extra["reward_risk"])).to_integral_value(ROUND_HALF_UP))
         if not reach:
-            raise Refused("execution risk/reward target distance is zero")
+            raise Refused(Why.REWARD_TARGET)
         target = price + reach if o.buy else price - reach
         lots = self.rules.size(self.equity, price, o.stop, self.profiles[o.symbol], o.lots)
         if (lots, target) != (o.lots, o.target):
@@ -529,31 +570,31 @@ class Book:
         if o.reduce_only:
             pos = self.positions.get(o.position)
             if pos is None:
-                raise Refused("reduce-only position does not exist")
+                raise Refused(Why.LATE_CLOSE_NONE)
             if o.lots > pos.lots:
-                raise Refused("reduce-only volume exceeds current position")
+                raise Refused(Why.LATE_CLOSE_VOLUME)
             if pos.long == o.buy:
-                raise Refused("reduce-only side does not close the position")
+                raise Refused(Why.LATE_CLOSE_SIDE)
             return
         if not (r.allow_long if o.buy else r.allow_short):
-            raise Refused(f"{'long' if o.buy else 'short'} trading is disabled")
+            raise Refused(Why.SIDE_OFF.format("long" if o.buy else "short"))
         mine = [x for x in self.positions.values() if x.symbol == o.symbol]
         same = [x for x in mine if x.long == o.buy]
         opening = o.lots if r.hedging or not mine or same else max(ZERO, o.lots - mine[0].lots)
         if not opening:
             return
         if same and not r.pyramiding:
-            raise Refused("pyramiding is disabled")
+            raise Refused(Why.PYRAMID)
         if r.hedging:
             if len(self.positions) >= r.max_positions:
-                raise Refused("max_open_positions exceeded")
+                raise Refused(Why.MOST_POSITIONS)
             if len(mine) >= r.max_symbol_positions:
-                raise Refused("max_symbol_positions exceeded")
+                raise Refused(Why.MOST_SYMBOL)
         needed = sum((x.margin for x in self.positions.values()), ZERO) + self.profiles[o.symbol].margin(D(price), opening, r.leverage)
         if self.equity <= 0 or needed > self.equity:
-            raise Refused("insufficient_free_margin")
+            raise Refused(Why.FREE_MARGIN)
         if needed / self.equity * HUNDRED > r.max_margin_percent:
-            raise Refused("max_margin_usage_percent exceeded")
+            raise Refused(Why.MOST_MARGIN)
 
     # --- positions -----------------------------------------------------------------------------------
 
@@ -616,7 +657,7 @@ class Book:
         for name in ("stop_order", "target_order"):
             o = self.live.get(getattr(pos, name) or 0)
             if o is not None and o.id != but:
-                self._to(o, "CANCELLED", at, "protection_replaced_or_position_closed")
+                self._to(o, "CANCELLED", at, Why.REPLACED)
             setattr(pos, name, None)
 
     def _close(self, pos: Position, lots: Decimal, price: int, at: int, order: int, costs: tuple[Decimal, Decimal, Decimal], why: str, ambiguous: bool) -> None:
