@@ -124,3 +124,17 @@ def test_several_timeframes_forming_bars_and_warm_up(spark):
             inside = [c for c, o in bars4.items() if o < s.close < c]
             assert s.forming == (s.close if inside else None)
     assert fold.reports(out).first().bars == sum(c > start for c in closes1)
+
+
+def test_frames_pacing_and_late_rows(spark, tmp_path):
+    schema = "k string, t long, v long"
+    for part in ([("a", 1, 1), ("a", 3, 2), ("b", 1, 3)], [("a", 2, 4), ("b", 5, 5)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = lambda: live.read_ticks(spark, f"{tmp_path}/in", schema, 1)
+    live.run_to_end(live.split_late(rows(), ["k"], "t"), f"{tmp_path}/late")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/late").where("late").collect())) == [("a", 2, 4, True)]
+    live.latest_frame(rows(), ["k"], f"{tmp_path}/frames", "t")
+    got = spark.read.parquet(f"{tmp_path}/frames")
+    assert sorted((r.frame, r.k, r.v) for r in got.collect()) == [(0, "a", 2), (0, "b", 3), (1, "a", 4), (1, "b", 5)]
+    assert [live.publish_rate(s) for s in (1, 1_000, 10_000, 1_000_000)] == [30, 20, 12, 8]
+    assert live.pace(600, 10) == {"maxFilesPerTrigger": 3, "trigger": {"processingTime": "50 milliseconds"}}
