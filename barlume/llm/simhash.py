@@ -214,13 +214,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_each(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``docs`` for each id in ``kept`` (__kept_id), and all rows without an id."""
+    rows = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("__row = 1").drop("__row")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id names their group: one document of each group of near duplicates.
 
     Of rows that repeat the kept id one stays; rows without an id stay (nothing names them).
     """
     kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = materialize(kept, "simhash-kept")
-    rows = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
-    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("__row = 1").drop("__row")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    return one_each(docs, materialize(kept, "simhash-kept"), id_col)

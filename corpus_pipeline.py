@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlume.llm import bpe, decontam, pii, quality, simhash
+from barlume.llm import bpe, decontam, minhash, pii, quality
 from barlume.llm.common import materialize, table
 from barlume.plans.deploy import ship
 
@@ -33,8 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of documents alike in 0.8 or more of their five-word shingles the smallest id stays."""
+    return minhash.keep_first(docs)
 
 
 @_stage
