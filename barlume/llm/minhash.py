@@ -1,16 +1,26 @@
-"""Near-duplicate documents by Jaccard similarity of their word shingles.
+"""Near-duplicate documents by Jaccard similarity of their word shingles: SimHash fingerprints
+and min-hash bands as candidates, whole sets as proof.
 
 Two documents link when the sets of their ``k``-word shingles have a similarity of ``similarity``
-or more; groups are the components of all links. Candidates share a band: ``BANDS`` times ``ROWS``
-minima of the shingles' hashes under as many linear maps, so a pair at 0.8 is a candidate with
-probability 0.99994, a more similar one with a higher one. Nothing else is left to chance:
-every candidate pair is compared by its whole sets (64-bit hashes of the shingles).
+or more; groups are the components of all links. A candidate group is a component of
 
-Equal texts are one row. Members of a band bucket are linked to its first one only; the components
-of these are the candidate groups, which no link leaves. Each group's texts move once, to one task,
-where a search over its buckets compares pairs: a member that is reached is never a target again,
-so m near copies need about m comparisons, and only unlinked members of a bucket are compared
-with all. Sets beyond ``HELD`` bytes lie in a temporary file.
+* fingerprints of the sets that differ in at most three bits (``simhash.links``), and
+* bands: ``BANDS`` times ``ROWS`` minima of the shingles' hashes under as many linear maps. A pair
+  at 0.8 shares one with probability 0.99994, a more similar one with a higher one. Fingerprints
+  alone cannot reach 0.8: a bit of theirs differs with probability 0.15 there, so segments with
+  one open bit would need 57 segments of 21 bits, 1,197 rows a document, for a like probability.
+
+Nothing else is left to chance. Equal texts are one row; within a candidate group sets are
+compared whole (64-bit hashes of the shingles), in tasks of at most about ``MEMBERS`` members or
+``SHINGLES`` shingles:
+
+* A group that fits is one task; its texts move once.
+* A larger one is dealt into chunks by hash. All chunks also get the same ``PIVOTS`` members, so
+  that the parts of one cluster find each other. What is then outside the group's largest
+  component asks again, in blocks, all members that share a signature with it.
+
+A member that is reached is never a target again, so m near copies of each other need about m
+comparisons; only the unlinked are compared with all that share a signature.
 
 Defined results: words are split at ASCII white space and A-Z lower-cased; a text of fewer than
 ``k`` words is one shingle; null and empty texts have no shingles and are alike; a null id takes
@@ -19,22 +29,25 @@ part in linking, but the smallest non-null id names the group; rows without an i
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barlume.llm.common import materialize
-from barlume.llm.simhash import SEED, components, one_each
+from barlume.llm.simhash import MAX_BITS, SEED, components, links, majority, one_each
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
-HELD = 1 << 25
+MEMBERS = 1024
+SHINGLES = 1 << 20
+PIVOTS = 32
+#: The one element of the set of a text without words.
+NO_WORDS = np.zeros(1, np.uint64)
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -45,7 +58,7 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the text's shingles, sorted."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.empty(0, np.uint64)
+        return NO_WORDS
     grams = [b" ".join(words)] if len(words) < k else map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
     digest = xxhash.xxh64_intdigest
     return np.unique(np.array([digest(g, SEED) for g in grams], dtype=np.uint64))
@@ -62,154 +75,192 @@ def bands(found: np.ndarray) -> np.ndarray:
     return (key * _C[:, 0] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if not len(a) and not len(b):
-        return True
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
-class _Sets:
-    """Sets of one group, in memory up to ``HELD`` bytes, then in a temporary file."""
-
-    def __init__(self) -> None:
-        self.sizes: list[int] = []
-        self.held: list[np.ndarray] = []
-        self.bytes, self.file = 0, None
-
-    def add(self, found: np.ndarray) -> None:
-        self.sizes.append(len(found))
-        self.held.append(found)
-        self.bytes += found.nbytes
-        if self.bytes > HELD:
-            self.file = self.file or tempfile.TemporaryFile()
-            for x in self.held:
-                self.file.write(x.tobytes())
-            self.held, self.bytes = [], 0
-
-    def close(self) -> None:
-        self.ends = np.cumsum(self.sizes)
-        self.first = len(self.sizes) - len(self.held)
-        if self.file:
-            self.file.flush()
-
-    def get(self, i: int) -> np.ndarray:
-        if i >= self.first:
-            return self.held[i - self.first]
-        self.file.seek(8 * int(self.ends[i] - self.sizes[i]))
-        return np.frombuffer(self.file.read(8 * self.sizes[i]), np.uint64)
-
-
-def link(sets: _Sets, keys: np.ndarray, similarity: float) -> np.ndarray:
-    """The component of every member, over links between members that share a key."""
-    sets.close()
-    n = len(keys)
-    sizes = np.array(sets.sizes)
-    if not sets.file:
-        # shingles by number: one gather counts what a member has in common with all others
-        words, flat = np.unique(np.concatenate(sets.held), return_inverse=True)
-        mark = np.zeros(len(words), bool)
-    _, at = np.unique(keys.ravel(), return_inverse=True)
-    at = at.reshape(keys.shape)
-    order = np.argsort(at.ravel(), kind="stable") // keys.shape[1]
-    buckets = np.split(order, np.cumsum(np.bincount(at.ravel()))[:-1])
-    of = np.full(n, -1)
-    for i in range(n):
+class _Targets:
+    """Members not yet reached, as one row of numbered shingles; those that ask come first."""
+
+    def __init__(self, sets: list[np.ndarray], asks: np.ndarray) -> None:
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sizes = np.array([len(s) for s in sets])
+        ends = np.cumsum(self.sizes)
+        self.own = [flat[e - n : e] for e, n in zip(ends.tolist(), self.sizes.tolist(), strict=True)]
+        self.mark = np.zeros(int(flat.max()) + 1, bool)
+        self.asks, self.left = asks, np.ones(len(sets), bool)
+        self.pack(np.argsort(~asks, kind="stable"))
+
+    def pack(self, members: np.ndarray) -> None:
+        self.members = members
+        self.asking = int(self.asks[members].sum())
+        self.flat = np.concatenate([self.own[m] for m in members.tolist()]) if len(members) else np.empty(0, np.int64)
+        self.starts = np.cumsum(self.sizes[members]) - self.sizes[members]
+
+    def reach(self, members: np.ndarray) -> None:
+        self.left[members] = False
+        if 2 * (now := int(self.left[self.members].sum())) < len(self.members) or not now:
+            self.pack(self.members[self.left[self.members]])
+
+    def alike(self, u: int, similarity: float) -> np.ndarray:
+        """Members left that are alike to ``u``; for one that doesn't ask, of those that do."""
+        n = len(self.members) if self.asks[u] else self.asking
+        if not n:
+            return np.empty(0, np.int64)
+        upto = self.starts[n] if n < len(self.members) else len(self.flat)
+        self.mark[self.own[u]] = True
+        both = np.add.reduceat(self.mark[self.flat[:upto]], self.starts[:n], dtype=np.int64)
+        self.mark[self.own[u]] = False
+        at = self.members[:n]
+        return at[(both >= similarity * (self.sizes[at] + self.sizes[u] - both)) & self.left[at]]
+
+
+def link(sets: list[np.ndarray], asks: np.ndarray, known: np.ndarray, similarity: float) -> np.ndarray:
+    """The component of every member (a member's number), over links with a member that ``asks`` and over equal ``known``."""
+    of = np.full(len(sets), -1)
+    _, part = np.unique(known, return_inverse=True)
+    order = np.argsort(part, kind="stable")
+    parts = np.split(order, np.cumsum(np.bincount(part))[:-1])
+    targets = _Targets(sets, asks)
+    for i in np.flatnonzero(asks).tolist():
         if of[i] >= 0:
             continue
-        of[i], front = i, [i]
-        while front:
-            u = front.pop()
-            near = []
-            for b in at[u]:
-                if len(buckets[b]):
-                    buckets[b] = buckets[b][of[buckets[b]] < 0]
-                    near.append(buckets[b])
-            todo = np.unique(np.concatenate(near)) if near else []
-            if not len(todo):
-                continue
-            todo = todo[np.minimum(sizes[todo], sizes[u]) >= similarity * np.maximum(sizes[todo], sizes[u])]
-            if sets.file:
-                mine = sets.get(u)
-                hit = [v for v in todo.tolist() if alike(mine, sets.get(v), similarity)]
-            else:
-                own = flat[sets.ends[u] - sizes[u] : sets.ends[u]]
-                mark[own] = True
-                if len(todo) * 3000 > len(flat):
-                    upto = np.concatenate([[0], np.cumsum(mark[flat])])
-                    both = upto[sets.ends[todo]] - upto[sets.ends[todo] - sizes[todo]]
-                else:
-                    both = np.array([np.count_nonzero(mark[flat[sets.ends[v] - sizes[v] : sets.ends[v]]]) for v in todo.tolist()], np.int64)
-                mark[own] = False
-                hit = todo[both >= similarity * (sizes[todo] + sizes[u] - both)].tolist()
-            of[np.array(hit, np.int64)] = i
-            front += hit
+        new = [parts[part[i]]]
+        front: list[int] = []
+        while new or front:
+            for members in new:
+                of[members] = i
+                targets.reach(members)
+                front += members.tolist()
+            hit = targets.alike(front.pop(), similarity)
+            new = [parts[p] for p in np.unique(part[hit]).tolist()]
+    alone = of < 0
+    of[alone] = np.array([p[0] for p in parts])[part[alone]]
     return of
 
 
-def _named(k: int, similarity: float):
-    """Over rows (root, t, first_id, keys, text) sorted by root: (t, least_id)."""
+def _linked(k: int, similarity: float):
+    """Over rows (task, asks, t, known, text) sorted by task: (t, least), t linked to the least t of its component in that task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ts, ids, keys, sets = None, [], [], [], _Sets()
+        task, ts, asks, known, sets = None, [], [], [], []
 
         def close() -> pa.RecordBatch:
-            of = link(sets, np.array(keys), similarity)
-            least: dict[int, int | None] = {}
-            for c, x in zip(of.tolist(), ids, strict=True):
-                least[c] = min((y for y in (x, least.get(c)) if y is not None), default=None)
-            return pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array([least[c] for c in of.tolist()], pa.int64())], names=["t", "least_id"])
+            of = link(sets, np.array(asks, bool), np.array(known, np.int64), similarity)
+            t = np.array(ts, np.int64)
+            least = np.full(len(t), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, t)
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(least[of])], names=["t", "least"])
 
         for b in batches:
-            of_keys = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-            for j, (r, t, i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4), strict=True)):
-                if r == root and t == ts[-1]:
-                    continue  # a repeated row
-                if r != root:
+            for r, a, t, x, text in zip(*(b.column(j).to_pylist() for j in range(4)), b.column(4), strict=True):
+                if r != task:
                     if ts:
                         yield close()
-                    root, ts, ids, keys, sets = r, [], [], [], _Sets()
+                    task, ts, asks, known, sets = r, [], [], [], []
                 ts.append(t)
-                ids.append(i)
-                keys.append(of_keys[j].copy())
-                sets.add(shingles(text.as_py(), k))
+                asks.append(a)
+                known.append(x)
+                sets.append(shingles(text.as_py(), k))
         if ts:
             yield close()
 
     return run
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _compare(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (t, least) of ``members`` (task, asks, t, known), whose texts are joined by ``t``."""
+    rows = members.join(texts, "t").select("task", "asks", "t", "known", "text")
+    rows = rows.repartition("task").sortWithinPartitions("task", "t")
+    return rows.mapInArrow(_linked(k, similarity), "t long, least long")
+
+
+def _chunks(members: int, weight: F.Column, n: F.Column) -> F.Column:
+    return F.greatest(F.ceil(weight / SHINGLES), F.ceil(n / members))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
     """(t, component_id) for every distinct text, by its hash ``t``: the smallest id of its group."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [bands(shingles(x.as_py(), k)) for x in b.column(2)]
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "t", "keys"])
-
-    sketched = rows.mapInArrow(sketch, "doc_id long, t long, keys array<long>")
-    distinct = materialize(sketched.groupBy("t").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "minhash-distinct")
-    met = distinct.select("t", F.explode("keys").alias("key"))
-    met = met.select(F.first("t").over(Window.partitionBy("key").orderBy("t")).alias("a"), F.col("t").alias("b")).where("a <> b")
-    edges = materialize(met.distinct(), "minhash-edges")
+            sets = [shingles(x.as_py(), k) for x in b.column(2)]
+            flat = pa.array(np.concatenate([bands(s) for s in sets]) if sets else np.empty(0, np.int64))
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+            fp = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, fp, pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "t", "n", "fp", "keys"])
+
+    sketched = rows.mapInArrow(sketch, "doc_id long, t long, n long, fp long, keys array<long>")
+    distinct = sketched.groupBy("t").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")))
+    distinct = materialize(distinct, "similar-distinct")
+
+    # candidates: the first member of a band or fingerprint stands for it, so that a cluster gets edges, not pairs
+    held = distinct.select("t", F.explode("keys").alias("key"))
+    first = held.groupBy("key").agg(F.min("t").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
+    met = held.join(first, "key").where("a <> t").select("a", F.col("t").alias("b"))
+    prints = materialize(distinct.groupBy("fp").agg(F.min("t").alias("a"), F.count("*").alias("size")), "similar-prints")
+    same = distinct.join(prints.where("size > 1").select("fp", "a"), "fp").where("a <> t").select("a", F.col("t").alias("b"))
+    near = links(prints.select("fp"), MAX_BITS)
+    name = prints.select("fp", F.col("a").alias("t"))
+    near = near.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
+    edges = materialize(met.union(same).union(near).distinct(), "similar-candidates")
     roots = components(edges)
     roots = roots.union(roots.select("root", "root").distinct()).toDF("t", "root")
-    asked = materialize(distinct.join(roots, "t").select("root", "t", "first_id", "keys"), "minhash-asked")
-    texts = rows.withColumnsRenamed({"t": "of", "doc_id": "id"})
-    found = asked.join(texts, (F.col("of") == F.col("t")) & F.col("id").eqNullSafe(F.col("first_id"))).select("root", "t", "first_id", "keys", "text")
-    found = found.repartition("root").sortWithinPartitions("root", "t")
-    found = materialize(found.mapInArrow(_named(k, similarity), "t long, least_id long"), "minhash-named")
-    return distinct.select("t", "first_id").join(found, "t", "left").select("t", F.coalesce("least_id", "first_id").alias("component_id"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    asked = materialize(distinct.select("t", "n", "first_id").join(roots, "t").select("root", "t", "n", "first_id"), "similar-asked")
+
+    sizes = asked.groupBy("root").agg(_chunks(members, F.sum("n"), F.count("*")).alias("chunks"))
+    dealt = materialize(asked.join(sizes, "root").select("root", "t", "n", "chunks"), "similar-dealt")
+    texts = rows.join(asked.select("t", "first_id").toDF("of", "id"), (F.col("of") == F.col("t")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    texts = materialize(texts.dropDuplicates(["t"]).select("t", "text"), "similar-texts")
+    whole = dealt.where("chunks = 1").select(F.col("root").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"))
+    found = materialize(_compare(whole, texts, k, similarity), "similar-linked")
+    large = dealt.where("chunks > 1")
+    if not large.isEmpty():
+        found = found.union(_large(large, distinct, texts, k, similarity, members))
+    first_ids = distinct.select("t", "first_id").join(found, "t", "left").withColumn("least", F.coalesce("least", "t"))
+    least = first_ids.groupBy("least").agg(F.min("first_id").alias("component_id"))
+    return first_ids.join(least, "least").select("t", "component_id")
+
+
+def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, similarity: float, members: int) -> DataFrame:
+    """(t, least) for the members of groups that are more than one task."""
+    chunk = F.pmod(F.xxhash64("t", F.lit(1)), "chunks")
+    pivots = large.withColumn("slot", F.pmod(F.xxhash64("t", F.lit(2)), F.lit(PIVOTS))).groupBy("root", "slot").agg(F.min("t").alias("t"), F.first("chunks").alias("chunks"))
+    pivots = pivots.select("root", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    dealt = large.select("root", "t", chunk.alias("chunk")).union(pivots.select("root", "t", "chunk")).distinct()
+    dealt = dealt.select(F.xxhash64("root", "chunk").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"))
+    linked = materialize(_compare(dealt, texts, k, similarity), "similar-chunks")
+    edges = linked.where("t <> least").toDF("a", "b").distinct()
+    known = large.join(components(edges).toDF("t", "known"), "t", "left").select("root", "t", "n", F.coalesce("known", "t").alias("known"))
+    known = materialize(known, "similar-known")
+    parts = known.groupBy("root", "known").agg(F.count("*").alias("size"))
+    main = parts.groupBy("root").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
+    rest = known.join(main, "root").where("known <> main").drop("main")
+
+    # what is outside the largest part asks, in blocks, the members that share a signature with it
+    blocks = rest.groupBy("root").agg(_chunks(members, F.sum("n"), F.count("*")).alias("blocks"))
+    rest = rest.join(blocks, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("t", F.lit(3)), "blocks")))
+    rest = materialize(rest.select("block", "t", "n", "known"), "similar-rest")
+    signs = materialize(known.join(distinct.select("t", "keys"), "t").select("t", "n", "known", F.explode("keys").alias("key")), "similar-signs")
+    asking = rest.select("block", "t").join(signs.select("t", "key"), "t").select("block", "key").distinct()
+    answer = signs.join(asking, "key").select("block", "t", "n", "known").distinct()
+    answer = answer.join(rest.select("block", "t"), ["block", "t"], "left_anti")
+    answer = materialize(answer, "similar-answer")
+    parts = answer.groupBy("block").agg(_chunks(members, F.sum("n"), F.count("*")).alias("parts"))
+    answer = answer.join(parts, "block").select("block", F.pmod(F.xxhash64("t", F.lit(4)), "parts").alias("part"), F.lit(False).alias("asks"), "t", "known")
+    everywhere = rest.join(parts, "block", "left").select(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(True).alias("asks"), "t", "known"
+    )
+    asked = answer.union(everywhere).select(F.xxhash64("block", "part").alias("task"), "asks", "t", "known")
+    more = materialize(_compare(asked, texts, k, similarity), "similar-more")
+    edges = edges.union(more.where("t <> least").toDF("a", "b")).distinct()
+    return large.join(components(materialize(edges, "similar-edges")).toDF("t", "least"), "t", "left").select("t", F.coalesce("least", "t").alias("least"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
     """Rows of ``docs`` whose id names their group: one document of each group of near duplicates.
 
-    Of rows that repeat the kept id one stays; rows without an id stay (nothing names them).
+    Of rows that repeat the kept id the one with the least text hash stays; rows without an id
+    stay (nothing names them).
     """
-    kept = groups(docs, id_col, text_col, k, similarity).where("component_id is not null").select(F.col("component_id").alias("__kept_id")).distinct()
-    return one_each(docs, materialize(kept, "minhash-kept"), id_col)
+    kept = groups(docs, id_col, text_col, k, similarity, members).where("component_id is not null").select(F.col("component_id").alias("__kept_id")).distinct()
+    return one_each(docs, materialize(kept, "similar-kept"), id_col, text_col)

@@ -46,7 +46,11 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return majority(np.array([digest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of ``h``."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         votes += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -172,7 +176,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> Da
     return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots: root is the component's smallest node.
 
     Alternating large-star and small-star steps; every step is a minimum by key and a join.
@@ -183,7 +187,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     was = None
-    for _ in range(rounds):
+    while True:  # every step lowers a node's neighbour or leaves all as it was, so this ends
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-low")
         large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "star-large")
@@ -194,7 +198,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == was:
             return now.toDF("node", "root")
         was = seen
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -214,17 +217,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_each(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """One row of ``docs`` for each id in ``kept`` (__kept_id), and all rows without an id."""
+def one_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each id in ``kept`` (__kept_id), the one with the least hash of
+    text and then of the whole row, and all rows without an id."""
     rows = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
-    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("__row = 1").drop("__row")
+    order = [F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])]
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("__row = 1").drop("__row")
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id names their group: one document of each group of near duplicates.
 
-    Of rows that repeat the kept id one stays; rows without an id stay (nothing names them).
+    Of rows that repeat the kept id the one with the least text hash stays; rows without an id
+    stay (nothing names them).
     """
     kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return one_each(docs, materialize(kept, "simhash-kept"), id_col)
+    return one_each(docs, materialize(kept, "simhash-kept"), id_col, text_col)

@@ -75,15 +75,33 @@ def test_awkward_rows(spark):
     assert minhash.keep_first(docs.limit(0)).count() == 0
 
 
-def test_sets_in_a_file_link_alike(monkeypatch):
+def test_groups_over_many_tasks_are_those_of_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = plain_kept({r.doc_id: r.text for r in docs.collect()})
+    for members in (3, 10):  # most groups are dealt into chunks, rests and blocks
+        kept = minhash.keep_first(docs, members=members)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_links_are_those_of_all_pairs_that_ask():
     rng = np.random.default_rng(1)
-    base = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(5)]
-    found = [np.unique(np.where(rng.random(200) < 0.05, rng.integers(0, 1 << 63, 200, dtype=np.uint64), b)) for b in base for _ in range(8)]
-    got = []
-    for held in (1 << 26, 3000):
-        monkeypatch.setattr(minhash, "HELD", held)
-        sets = minhash._Sets()
-        for x in found:
-            sets.add(x)
-        got.append(minhash.link(sets, np.array([minhash.bands(x) for x in found]), 0.8).tolist())
-    assert got[0] == got[1] == [8 * (i // 8) for i in range(40)]
+    base = [rng.integers(1, 1 << 63, 40, dtype=np.uint64) for _ in range(4)]
+    for _ in range(30):
+        sets = [np.unique(np.where(rng.random(40) < 0.1, rng.integers(1, 1 << 63, 40, dtype=np.uint64), b)) for b in base for _ in range(8)]
+        sets.append(minhash.NO_WORDS)
+        asks = rng.random(len(sets)) < 0.5
+        known = rng.integers(0, 25, len(sets))
+        want = list(range(len(sets)))
+        for i, j in combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            alike = (asks[i] or asks[j]) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+            if alike or known[i] == known[j]:
+                want = [want[i] if x == want[j] else x for x in want]
+        got = minhash.link(sets, asks, known, 0.8).tolist()
+        assert [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
+def test_of_rows_that_repeat_an_id_the_same_one_stays(spark):
+    rows = [(1, "a b c d e"), (1, "f g h i j"), (1, "k l m n o"), (2, "f g h i j")]
+    kept = [minhash.keep_first(spark.createDataFrame(r, "doc_id long, text string").repartition(n)).collect() for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1

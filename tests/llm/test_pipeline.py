@@ -5,8 +5,9 @@ import re
 
 import pytest
 
-from barlume.llm import decontam, pii, quality, simhash
+from barlume.llm import decontam, pii, quality
 from tests.llm.test_contracts import ODD
+from tests.llm.test_minhash import plain_kept
 
 import corpus_pipeline
 
@@ -106,18 +107,8 @@ def test_stages(spark, tmp_path):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     good = [i for i in before if labels.get(i) == 1 and i not in failed]
     assert sum(i not in kept for i in good) <= 0.02 * len(good)
-    fps = {i: simhash.fingerprint(before[i].text) for i in sorted(kept)}
-    first, ids = {}, sorted(fps)
-    for i in ids:
-        if i in first:
-            continue
-        todo = [i]
-        while todo:
-            u = todo.pop()
-            if u not in first:
-                first[u] = i
-                todo += [v for v in ids if v not in first and (fps[u] ^ fps[v]).bit_count() <= 3]
-    assert {r.doc_id for r in frames["near_duplicates"].collect()} == {i for i in ids if first[i] == i}
+    want = plain_kept({i: before[i].text for i in kept})
+    assert {r.doc_id for r in frames["near_duplicates"].collect()} == want
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     held = {i for i in before if any(decontam.normalise(t) in decontam.normalise(before[i].text) for _, t in items)}
     left = {r.doc_id: r for r in frames["personal_data"].collect()}
