@@ -29,6 +29,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -60,7 +61,8 @@ class WordEncoder:
 
     Sound where the vocabulary's pre-tokenizer drops white space and never joins across it.
     Stretches of letters only, and of letters and then marks, go to the library many to a call,
-    separated by spaces; their ids part again at the ends of words. All else goes alone.
+    separated by spaces; their ids part again at the ends of words. All else goes alone. A text
+    that holds an added token's string goes whole, since the library looks for those first.
     """
 
     JOINED = 128
@@ -70,7 +72,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
@@ -114,6 +116,16 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids; a null is empty."""
+        whole = reduce(pc.or_, (pc.match_substring(texts, a) for a in self.added), pa.repeat(False, len(texts)))
+        whole = np.flatnonzero(pc.fill_null(whole, False).to_numpy(zero_copy_only=False)).tolist()
+        if whole:
+            alone = self.tokenizer.encode_batch_fast([texts[i].as_py() for i in whole], add_special_tokens=False)
+            alone = {i: np.array(e.ids, "<u4") for i, e in zip(whole, alone, strict=True)}
+            rest = self._split_up(pc.if_else(pc.is_in(pa.array(range(len(texts))), pa.array(whole)), "", texts))
+            return [alone.get(i, ids) for i, ids in enumerate(rest)]
+        return self._split_up(texts)
+
+    def _split_up(self, texts: pa.Array) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         offsets = split.offsets.to_numpy()
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(split) else None
