@@ -23,6 +23,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from barlume.llm import spans
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -157,25 +159,15 @@ def parse(formatted: Column) -> Column:
             F.length(p).alias("n"),
         )
 
-    def place(at: Column) -> Column:
-        # a linear running total: the structure is an array of (lead, n), its sums come from one fold
-        def add(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["lead"]
-            return F.struct(
-                (acc["at"] + x["n"] + len(END)).alias("at"),
-                F.array_append(acc["out"], F.struct(begin.alias("start"), (acc["at"] + x["n"]).alias("end"))).alias("out"),
-            )
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        return F.aggregate(at, zero, add, lambda acc: acc["out"])
-
-    held = F.array(F.transform(pieces, one))
-    return F.flatten(
-        F.transform(
+    def place(held: Column) -> Column:
+        before = spans.running(F.transform(held, lambda t: t["n"] + len(END)))
+        return F.zip_with(
             held,
-            lambda ts: F.zip_with(ts, place(ts), lambda t, p: F.struct(t["role"].alias("role"), t["text"].alias("text"), p["start"].alias("start"), p["end"].alias("end"))),
+            before,
+            lambda t, at: F.struct(t["role"].alias("role"), t["text"].alias("text"), (at + t["lead"]).alias("start"), (at + t["n"]).alias("end")),
         )
-    )
+
+    return spans.bound(F.transform(pieces, one), place)
 
 
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -197,5 +189,5 @@ def format_chat(records: DataFrame, columns: list[str] | None = None, learn: tup
     """``records`` with ``formatted`` and ``loss_spans`` (the places of the texts of the roles in ``learn``)."""
     out = canonical(records, columns)
     out = out.withColumn("formatted", render(F.col("canonical_turns")))
-    spans = F.transform(F.filter(parse(F.col("formatted")), lambda t: t["role"].isin(*learn)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return out.withColumn("loss_spans", spans)
+    learnt = F.filter(parse(F.col("formatted")), lambda t: t["role"].isin(*learn))
+    return out.withColumn("loss_spans", F.transform(learnt, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))

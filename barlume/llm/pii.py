@@ -1,16 +1,25 @@
 """Personal data: fixed patterns, and boosted trees over high-recall candidates.
 
-Base spans come from strict patterns with checks (octets, Luhn, digit counts). Besides, three
-generous generators propose overlapping candidates: strings around an at sign, dotted number groups
-and long groups of digits with separators. Each is described by eight small integers of format and
-context. Gradient-boosted trees of depth two learn, from all candidates of the corpus, to tell those
-that a strict pattern confirms from the others without seeing the check itself; on documents
-held out by hash an isotonic fit turns scores into probabilities, and the lowest score whose
-probability is ``SURE`` or more is the threshold for redacting candidates that no base span covers.
-
-The features take at most ``3 * 6 * 5 * 2 * 4 * 3 * 3 * 2`` = 12,960 values, so the counts per value
-(of all candidates) are all that training needs; that table, and nothing that grows with the corpus,
-comes to the driver. Scanning and scoring are native expressions without a shuffle.
+Base spans come from strict patterns with checks (octets, Luhn, digit counts). Besides, four
+generous generators propose overlapping candidates: strings around an at sign, dotted number groups,
+long groups of digits with separators, and addresses whose marks are spelled out. Each is
+described by eight small integers of format and context. Gradient-boosted trees of depth two tell
+personal data from the rest. What they learn from is not what the patterns know alone:
+
+* positive are candidates that a pattern confirms, each also with the mark gone by which
+  the pattern knows it (a phone number without its plus and country code, an address with its
+  marks spelled out), so that the format and context around remain to be learnt;
+* negative are candidates that no pattern confirms and before which no word of contact stands;
+* unconfirmed ones after such a word are neither: they are judged, not learnt from.
+
+On documents held out by hash an isotonic fit turns scores into probabilities, and the lowest score
+whose probability is ``SURE`` or more is the threshold for redacting candidates that no base span
+covers. A corpus where a format mostly stands for something else thus keeps it unredacted.
+
+The features take at most ``SIZES`` multiplied values, 17,280, so the counts per value (of all
+candidates) are all that training needs; that table, and nothing that grows with the corpus, comes
+to the driver, and the model goes out as one bit per value. Scanning and scoring are native
+expressions without a shuffle.
 
 Defined results: a null text is empty and has no spans; rows stay one to one, repeated rows
 included; without candidates of both kinds no span is added; other columns are untouched.
@@ -20,6 +29,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,13 +45,17 @@ KINDS = ("email", "ip", "card", "phone", "pii")
 
 #: Candidate generators, in order.
 GENERATORS = (
-    r"[^\x20\x09-\x0D@]{1,64}@[^\x20\x09-\x0D@]{1,255}",
+    r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++",
     r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,}+",
     r"[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
+    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
 )
-CUES = r"(?i)mail|phone|tel|call|card|visa|addr|contact|\bip\b"
+#: What tells that a generator may find something, at little cost.
+HINTS = (r"@", None, None, r"[\[(]\x20?[aA][tT]\x20?[\])]")
+ANY_HINT = r"[0-9@\[(]"
+CUES = r"(?i)mail|phone|mobile|fax|tel|call|reach|card|visa|addr|contact|\bip\b"
 FEATURES = ("generator", "digits", "marks", "plus", "length", "before", "after", "cue")
-SIZES = (3, 6, 5, 2, 4, 3, 3, 2)
+SIZES = (4, 6, 5, 2, 4, 3, 3, 2)
 ROUNDS, RATE, SURE, HELD_OUT = 40, 0.3, 0.95, 5
 LEAST_HELD = 20  # candidates that a probability must rest on
 
@@ -55,21 +69,16 @@ def _luhn(text: Column) -> Column:
     return F.aggregate(twice, F.lit(0), lambda a, d: a + d - F.when(d > 9, 9).otherwise(0)) % 10 == 0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    def count(x: Column) -> Column:
-        return F.length(_digits(x["text"]))
+def base_spans(text: Column) -> Column:
+    """The strict patterns' spans, an array for each of the first four ``KINDS``."""
+    found = spans.matches_all(text, [(EMAIL, text.contains("@")), (IP, None), (CARD, None), (PHONE, text.contains("+"))])
 
-    return {
-        "email": spans.matches(text, EMAIL, text.contains("@")),
-        "ip": F.filter(spans.matches(text, IP), lambda x: F.rlike(x["text"], F.lit(OCTETS))),
-        "card": F.filter(spans.matches(text, CARD), lambda x: F.when(count(x).between(16, 19), _luhn(x["text"])).otherwise(F.lit(False))),
-        "phone": F.filter(spans.matches(text, PHONE, text.contains("+")), lambda x: count(x).between(8, 15)),
-    }
+    def holds(x: Column, k: Column) -> Column:
+        n = F.length(_digits(x["text"]))
+        card = F.when(n.between(16, 19), _luhn(x["text"])).otherwise(F.lit(False))
+        return F.when(k == 0, F.lit(True)).when(k == 1, F.rlike(x["text"], F.lit(OCTETS))).when(k == 2, card).otherwise(n.between(8, 15))
 
-
-def _base(text: Column) -> Column:
-    found = base_spans(text)
-    return F.concat(*(spans.labelled(found[k], k, i) for i, k in enumerate(KINDS[:4])))
+    return F.transform(found, lambda some, k: F.filter(some, lambda x: holds(x, k)))
 
 
 def _edge(char: Column) -> Column:
@@ -84,40 +93,70 @@ def _bucket(n: Column, bounds: tuple[int, ...]) -> Column:
     return out
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, end, the eight features>> of all generators."""
-
-    def of(g: int) -> Column:
-        def describe(x: Column) -> Column:
-            t, n = x["text"], F.length(_digits(x["text"]))
-            marks = (
-                F.when(F.rlike(t, F.lit(r"[^0-9\x20().+-]")), 4)
-                .when(F.rlike(t, F.lit(r"[()]")), 3)
-                .when(F.rlike(t, F.lit(r"\.")), 2)
-                .when(F.rlike(t, F.lit(r"[\x20-]")), 1)
-                .otherwise(0)
-            )
-            lead = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-            values = (
-                F.lit(g),
-                _bucket(n, (8, 11, 13, 16, 20)),
-                marks,
-                F.startswith(t, F.lit("+")).cast("int"),
-                _bucket(F.length(t), (10, 16, 24)),
-                _edge(F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise(F.lit(""))),
-                _edge(F.substring(text, x["end"] + 1, F.lit(1))),
-                F.rlike(lead, F.lit(CUES)).cast("int"),
-            )
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), *(v.cast("int").alias(k) for k, v in zip(FEATURES, values, strict=True)))
-
-        found = spans.matches(text, GENERATORS[g], text.contains("@") if g == 0 else None)
-        return F.transform(found, describe)
-
-    return F.concat(*(of(g) for g in range(len(GENERATORS))))
-
-
-def _covered(x: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+#: What is taken from a confirmed phone number to learn its format without the mark that gives it away.
+PLUS = r"^\+[0-9]{1,3}[\x20.-]?"
+CANDIDATE = f"array<struct<start:int,end:int,covered:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
+
+
+def _describe(g: Column, t: Column, before: Column, after: Column, cue: Column) -> list[Column]:
+    n = F.length(_digits(t))
+    marks = (
+        F.when(F.rlike(t, F.lit(r"[^0-9\x20().+-]")), 4)
+        .when(F.rlike(t, F.lit(r"[()]")), 3)
+        .when(F.rlike(t, F.lit(r"\.")), 2)
+        .when(F.rlike(t, F.lit(r"[\x20-]")), 1)
+        .otherwise(0)
+    )
+    values = (
+        g,
+        _bucket(n, (8, 11, 13, 16, 20)),
+        marks,
+        F.startswith(t, F.lit("+")).cast("int"),
+        _bucket(F.length(t), (10, 16, 24)),
+        before,
+        after,
+        cue,
+    )
+    return [v.cast("int").alias(k) for k, v in zip(FEATURES, values, strict=True)]
+
+
+def candidates(text: Column, base: Column, learn: bool = False) -> Column:
+    """array<struct<start, end, covered, the eight features>> of all generators; ``covered``: a span of
+    ``base`` overlaps it. With ``learn``: also spans of ``base`` as they look without their mark."""
+
+    def as_found(some: Column, g: Column, known: bool, change=lambda t: t) -> Column:
+        return F.transform(some, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), change(x["text"]).alias("text"), g.alias("g"), F.lit(known).alias("known")))
+
+    def describe(once: Column):
+        def covered(x: Column) -> Column:
+            def by(kind: Column) -> Column:
+                last = spans.below(kind["starts"], x["end"]) - 1
+                return (F.size(kind["starts"]) > 0) & (last >= 0) & F.coalesce(F.get(kind["spans"], last)["end"] > x["start"], F.lit(False))
+
+            return F.exists(once["base"], by)
+
+        def one(x: Column) -> Column:
+            lead = spans.cut(once["pieces"], F.greatest(x["start"] - 24, F.lit(0)), x["start"])
+            after = _edge(spans.cut(once["pieces"], x["end"], x["end"] + 1))
+            features = spans.bound(lead, lambda b: F.array(_edge(F.right(b, F.lit(1))), F.rlike(b, F.lit(CUES)).cast("int")))
+            values = spans.bound(features, lambda c: F.struct(*_describe(x["g"], x["text"], F.get(c, F.lit(0)), after, F.get(c, F.lit(1)))))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["known"] | covered(x)).alias("covered"), values.alias("f"))
+
+        return one
+
+    def with_context(found: Column) -> Column:
+        starts = F.transform(base, lambda some: F.struct(F.transform(some, lambda b: b["start"]).alias("starts"), some.alias("spans")))
+        once = F.struct(spans.chunks(text).alias("pieces"), starts.alias("base"))
+        described = spans.bound(once, lambda o: F.transform(found, describe(o)))
+        flat = F.transform(described, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["covered"].alias("covered"), *(x["f"][f].alias(f) for f in FEATURES)))
+        return F.when(F.size(found) > 0, flat).otherwise(F.array().cast(CANDIDATE))
+
+    found = F.transform(spans.matches_all(text, [(p, h and F.rlike(text, F.lit(h))) for p, h in zip(GENERATORS, HINTS, strict=True)]), lambda some, g: as_found(some, g, False))
+    if learn:
+        bare = as_found(F.get(base, F.lit(3)), F.lit(2), True, lambda t: F.regexp_replace(t, PLUS, ""))
+        spelled = as_found(F.get(base, F.lit(0)), F.lit(3), True, lambda t: F.regexp_replace(F.regexp_replace(t, "@", " [at] "), r"\.", " [dot] "))
+        found = F.concat(found, F.array(bare, spelled))
+    return spans.bound(F.flatten(found), with_context)
 
 
 # --- boosting --------------------------------------------------------------------------------------
@@ -137,11 +176,19 @@ class Model:
             out += _run(t, x)
         return out
 
+    def accepted(self) -> np.ndarray:
+        """Whether each value of the features, numbered with the last one fastest, reaches the threshold."""
+        x = np.stack(np.unravel_index(np.arange(math.prod(SIZES)), SIZES), axis=1)
+        return self.score(x).round(6) >= self.threshold
+
     def column(self, x: Column) -> Column:
-        out = F.lit(self.prior)
-        for t in self.trees:
-            out = out + _case(t, x)
-        return out
+        """``accepted`` of a candidate, read from one bit."""
+        bits = np.packbits(np.resize(self.accepted(), -(-math.prod(SIZES) // 32) * 32), bitorder="little").view("<u4")
+        at = F.lit(0)
+        for f, n in zip(FEATURES, SIZES, strict=True):
+            at = at * n + x[f]
+        word = F.get(F.lit([int(b) for b in bits]).cast("array<bigint>"), F.floor(at / 32).cast("int"))
+        return F.call_function("shiftright", word, at % 32) % 2 == 1
 
 
 def _run(tree, x: np.ndarray) -> np.ndarray:
@@ -151,13 +198,6 @@ def _run(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] < bound, _run(left, x), _run(right, x))
 
 
-def _case(tree, x: Column) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    f, bound, left, right = tree
-    return F.when(x[FEATURES[f]] < bound, _case(left, x)).otherwise(_case(right, x))
-
-
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, ridge: float = 1.0):
     gain = lambda a, b: a * a / (b + ridge)
     whole, best = gain(g.sum(), h.sum()), (1e-6, None)
@@ -216,45 +256,47 @@ def boost(rows: list[tuple]) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Trains on every candidate of ``docs``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.where(F.rlike(text, F.lit("[0-9@]"))).select((F.pmod(F.xxhash64(id_col, text), F.lit(HELD_OUT)) == 0).cast("int").alias("held"), _base(text).alias("base"), candidates(text).alias("found"))
-    # the arrays are computed once, by the generator below them
-    one = rows.where(F.size("found") > 0).select("held", "base", F.explode("found").alias("x"))
-    counted = one.groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES), "held").agg(F.count_if(_covered(F.col("x"), F.col("base"))).alias("pos"), F.count_if(~_covered(F.col("x"), F.col("base"))).alias("neg"))
-    return boost([tuple(r) for r in counted.collect()])  # at most 2 * 12,960 rows
+    held = (F.pmod(F.xxhash64(id_col, text), F.lit(HELD_OUT)) == 0).cast("int")
+    rows = docs.where(F.rlike(text, F.lit(ANY_HINT))).select(held.alias("held"), F.explode(spans.bound(base_spans(text), lambda base: candidates(text, base, learn=True))).alias("x"))
+    counted = rows.groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES), "held").agg(
+        F.count_if(F.col("x.covered")).alias("pos"), F.count_if(~F.col("x.covered") & (F.col("x.cue") == 0)).alias("neg")
+    )
+    return boost([tuple(r) for r in counted.collect()])  # at most 2 * 17,280 rows
 
 
 def found_spans(text: Column, model: Model) -> Column:
     """array<struct<start, order, end, kind>>: base spans and the model's, by kind, then place."""
-    base = _base(text)
-    if not math.isfinite(model.threshold):
-        return F.array_sort(base, _by_kind)
 
-    def more(held: Column) -> Column:
-        extra = F.filter(held["found"], lambda x: (F.round(model.column(x), 6) >= model.threshold) & ~_covered(x, held["base"]))
-        extra = F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("order"), x["end"].alias("end"), F.lit(KINDS[4]).alias("kind")))
-        return F.concat(held["base"], F.array_distinct(extra))
+    def every(base: Column) -> Column:
+        known = F.array_sort(F.transform(spans.labelled(base, KINDS[:4]), lambda x: F.struct(x["order"], x["start"], x["end"], x["kind"])))
+        known = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))
+        if not model.accepted().any():
+            return known
+        extra = F.filter(candidates(text, base), lambda x: ~x["covered"] & model.column(x))
+        extra = F.array_sort(F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("order"), x["end"].alias("end"), F.lit(KINDS[4]).alias("kind"))))
+        alone = spans.bound(extra, lambda e: F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1) != x)))  # two generators may find the same
+        return F.concat(known, alone)
 
-    held = F.array(F.struct(base.alias("base"), candidates(text).alias("found")))
-    every = F.when(F.rlike(text, F.lit("[0-9@]")), F.flatten(F.transform(held, more))).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
-    return F.array_sort(every, _by_kind)
+    return F.when(F.rlike(text, F.lit(ANY_HINT)), spans.bound(base_spans(text), every)).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
 
 
-def _by_kind(a: Column, b: Column) -> Column:
-    return F.when(a["order"] != b["order"], a["order"] - b["order"]).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
+def redact(text: Column, found: Column) -> Column:
+    """``text`` with every span, overlapping ones merged, replaced by its kind in brackets (the first's)."""
 
+    def replace(o: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            upto = F.get(o["upto"], i)
+            put = F.concat(spans.cut(o["pieces"], upto, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= upto, put).otherwise(F.lit(""))
 
-def redact(text: Column, found: Column) -> Column:
-    """``text`` with every span, overlapping ones merged, replaced by its kind in brackets."""
+        tail = spans.cut(o["pieces"], F.array_max(F.transform(o["found"], lambda s: s["end"])), o["n"])
+        return F.concat(F.array_join(F.transform(o["found"], piece), ""), tail)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["out"]).alias("out"))
+    def once(by_place: Column) -> Column:
+        ends = spans.running(F.transform(by_place, lambda s: s["end"]), most=True)
+        return spans.bound(F.struct(by_place.alias("found"), ends.alias("upto"), spans.chunks(text).alias("pieces"), F.length(text).alias("n")), replace)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    by_place = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"]))
-    folded = F.aggregate(by_place, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, folded).otherwise(text)
+    return F.when(F.size(found) > 0, spans.bound(F.array_sort(found), once)).otherwise(text)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:

@@ -3,6 +3,8 @@ digest columns from each operator's own output, with SQL where SQL can express t
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlume.llm import bpe, chat, decontam, licenses, pii, quality, secrets, simhash, spans, sst, url_lm
@@ -81,7 +83,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_chat(chat.conversations(rows), ["turns"])
     back = out.select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("back"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    learnt = spans.bound(
+        F.struct(spans.chunks(F.col("formatted")).alias("chunks"), F.col("loss_spans").alias("spans")),
+        lambda x: F.array_join(F.transform(x["spans"], lambda s: chat.unescape(spans.cut(x["chunks"], s["start"], s["end"]))), ""),
+    )
     return back.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
@@ -114,20 +119,27 @@ QUERIES = {
 def _licenses_sql() -> str:
     k = licenses.K
     grams = ", ".join(
-        f"({i}, '{label}', {base}, {len(w) - k + 1}, {t}, '{w[t]}', '{w[t + 1]}')" for i, label, base, w in licenses.templates() for t in range(len(w) - k + 1)
+        f"({i}, '{label}', {base}, {len(w) - k + 1}, {licenses.slack(w, base)}, {t}, '{w[t]}', '{w[t + 1]}')"
+        for i, label, base, w in licenses.templates()
+        for t in range(len(w) - k + 1)
     )
     return f"""
-        WITH t(template, label, base, grams, tpos, a, b) AS (VALUES {grams}),
-        w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
+        WITH t(template, label, base, grams, slack, tpos, a, b) AS (VALUES {grams}),
+        w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+            '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
         g AS (SELECT doc_id, p AS pos, words[p + 1] AS a, words[p + 2] AS b FROM w, unnest(range(len(words) - 1)) AS u(p)),
-        d AS (SELECT doc_id, template, pos - tpos AS diagonal, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams, list(DISTINCT tpos) AS seen, min(pos) AS f, max(pos) AS l
-            FROM g JOIN t USING (a, b) GROUP BY doc_id, template, pos - tpos),
-        r AS (SELECT *, sum(CASE WHEN diagonal - before <= CASE WHEN base THEN 0 ELSE {licenses.SLACK} END THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run
+        d AS (SELECT doc_id, template, pos - tpos AS diagonal, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams,
+                any_value(slack) AS slack, list(DISTINCT tpos) AS seen, min(pos) AS f, max(pos) AS l
+            FROM g JOIN t USING (a, b) GROUP BY doc_id, template, pos - tpos HAVING any_value(base) OR count(DISTINCT tpos) >= {licenses.VOTES}),
+        r AS (SELECT *, sum(CASE WHEN diagonal - before <= slack THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run
             FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM d)),
-        m AS (SELECT doc_id, template, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams, len(list_distinct(flatten(list(seen)))) AS votes, min(f) AS start, max(l) + {k} AS stop FROM r GROUP BY doc_id, template, run),
+        m AS (SELECT doc_id, template, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams,
+                len(list_distinct(flatten(list(seen)))) AS votes, min(f) AS start, max(l) + {k} AS stop FROM r GROUP BY doc_id, template, run),
         p AS (SELECT * FROM m WHERE CASE WHEN base THEN votes = grams ELSE votes / grams >= {licenses.COVER} AND stop - start <= 2 * (grams + 1) END)
-        SELECT w.doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base, CAST(min(start) FILTER (base) AS BIGINT) AS first_word, CAST(max(start) FILTER (base) AS BIGINT) AS last_word,
-            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(votes / grams), 0) AS score
+        SELECT w.doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base,
+            CAST(min(start) FILTER (base) AS BIGINT) AS first_word, CAST(max(start) FILTER (base) AS BIGINT) AS last_word,
+            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+            coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(votes / grams), 0) AS score
         FROM w LEFT JOIN p ON p.doc_id = w.doc_id GROUP BY w.doc_id"""
 
 

@@ -1,10 +1,13 @@
 """Secret scan: fixed credential patterns, and strings of high entropy.
 
-Candidate strings are maximal runs of base64 and identifier characters, 20 or longer, with both
-a letter and a digit. Over each a window of 20 characters slides; its Shannon entropy in bits
-comes from character counts that are updated by the character entering and the one leaving, never
-recounted. The run's class (hexadecimal, or any) sets the threshold its highest window must
-reach. An allow-list suppresses what only looks random. Everything is native expressions.
+Candidate strings are maximal runs of base64 and identifier characters, 20 or longer. Over each a
+window of 20 characters slides; its Shannon entropy in bits comes from character counts that are
+updated by the character entering and the one leaving, never recounted. The run's class, by the
+characters it is made of, sets the threshold its highest window must reach: what 99 % of windows
+of random characters of that class exceed. A run of both letters and digits can be any class; one of
+letters alone is a candidate only where a quarter to three quarters of them are capitals, which
+words and camel case are not. An allow-list suppresses what only looks random. Everything is
+native expressions.
 
 Defined results: a null text is empty and has no spans; rows stay one to one, repeated rows
 included; other columns are untouched by ``scan``.
@@ -26,13 +29,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 _RUN = "A-Za-z0-9+/_="
-CANDIDATE = rf"(?<![{_RUN}-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{_RUN}-]{{{WINDOW},}}+"
-#: class -> (pattern of the whole run, bits the highest window must reach)
-CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "any": (r"", 3.8)}
-#: Runs that are not secrets: UUIDs, words joined by marks, placeholders.
+CANDIDATE = rf"(?<![{_RUN}-])[{_RUN}-]{{{WINDOW},}}+"
+#: class -> (pattern of the whole run, bits the highest window must reach), first that fits. The bits
+#: are the 0.01 quantiles of the entropy of 20 random characters out of 16, 17, 32, 36 and 64.
+CLASSES = {
+    "hex": (r"^[0-9a-f]+$|^[0-9A-F]+$", 2.90),
+    "hex_marked": (r"^[0-9a-f]+(?:[_=+/-][0-9a-f]+)+$|^[0-9A-F]+(?:[_=+/-][0-9A-F]+)+$", 2.94),
+    "base32": (r"^[A-Z2-7]+=*$|^[a-z2-7]+=*$", 3.34),
+    "one_case": (r"^[a-z0-9]+$|^[A-Z0-9]+$", 3.40),
+    "any": (r"", 3.64),
+}
+#: Letters alone: the least length, and the least and greatest share of capitals.
+LETTERS, CAPITALS = 24, (0.25, 0.75)
+#: Runs that are not secrets: UUIDs, words and short numbers joined by marks, placeholders.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+(?:[/_=+-]+(?:[A-Za-z]+|[0-9]{1,4}))+$",
+    r"^[/_=+-]*+(?:[A-Za-z]++|[0-9]{1,4}+)(?:[/_=+-]++(?:[A-Za-z]++|[0-9]{1,4}+))+[/_=+-]*$",
     r"(?i)example|placeholder|changeme|xxxx|0000000|1234567|abcdef[^0-9]",
 )
 
@@ -69,32 +81,39 @@ def window_entropy(run: Column, window: int = WINDOW) -> Column:
 
 
 def _needed(run: Column) -> Column:
+    """The bits of the run's class; null for one that is no candidate."""
     out = F.lit(CLASSES["any"][1])
-    return F.when(F.rlike(run, F.lit(CLASSES["hex"][0])), F.lit(CLASSES["hex"][1])).otherwise(out)
+    for pattern, bits in reversed([c for c in CLASSES.values() if c[0]]):
+        out = F.when(F.rlike(run, F.lit(pattern)), F.lit(bits)).otherwise(out)
+    letters, digits = F.rlike(run, F.lit("[A-Za-z]")), F.rlike(run, F.lit("[0-9]"))
+    capitals = F.length(F.regexp_replace(run, "[^A-Z]", ""))
+    mixed = F.rlike(run, F.lit(f"^[A-Za-z]{{{LETTERS},}}+$")) & capitals.between(CAPITALS[0] * F.length(run), CAPITALS[1] * F.length(run))
+    return F.when((letters & digits) | mixed, out)
 
 
-def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
-    def secret(x: Column) -> Column:
-        run, ok = x["text"], F.lit(True)
-        for a in allow:
-            ok = ok & ~F.rlike(run, F.lit(a))
-        return F.when(ok, window_entropy(run) >= _needed(run)).otherwise(F.lit(False))
+def _random(run: Column, allow: tuple[str, ...]) -> Column:
+    ok = F.lit(True)
+    for a in allow:
+        ok = ok & ~F.rlike(run, F.lit(a))
+    return F.when(ok & _needed(run).isNotNull(), window_entropy(run) >= _needed(run)).otherwise(F.lit(False))
+
 
-    return F.filter(spans.matches(text, CANDIDATE), secret)
+def _long_run(text: Column) -> Column:
+    return F.rlike(text, F.lit(f"[{_RUN}-]{{{WINDOW}}}"))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    value = lambda x: F.length(F.regexp_replace(x["text"], ASSIGN_LEAD, "")) >= ASSIGN_VALUE
-    return {
-        "assign": F.filter(spans.matches(text, ASSIGN), value),
-        "access": spans.matches(text, ACCESS, text.contains("AKIA")),
-        "hex": spans.matches(text, HEX),
-    }
+def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
+    return F.filter(spans.matches(text, CANDIDATE, _long_run(text)), lambda x: _random(x["text"], allow))
 
 
 def scan(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``df`` with a column ``secrets``: array<struct<start, order, end, kind>>, by place, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = base_spans(text) | {"entropy": entropy_spans(text, allow)}
-    every = F.concat(*(spans.labelled(found[k], k, i) for i, k in enumerate(KINDS)))
-    return df.withColumn("secrets", F.array_sort(every))
+    found = spans.matches_all(text, [(ASSIGN, None), (ACCESS, text.contains("AKIA")), (HEX, None), (CANDIDATE, _long_run(text))])
+
+    def holds(x: Column, k: Column) -> Column:
+        value = F.length(F.regexp_replace(x["text"], ASSIGN_LEAD, "")) >= ASSIGN_VALUE
+        return F.when(k == 0, value).when(k == 3, _random(x["text"], allow)).otherwise(F.lit(True))
+
+    found = F.transform(found, lambda some, k: F.filter(some, lambda x: holds(x, k)))
+    return df.withColumn("secrets", F.array_sort(spans.labelled(found, KINDS)))

@@ -37,6 +37,9 @@ ODD = [
     "x" * 5000 + " " + "ab" * 3000 + "é" * 2000,
     "don't I'll we've 日本語テキスト 😀😀 1234567890 ½ ³ '" + "0x1f" * 30,
     "\\ \\\\n <| <|im_end|> \\<\\|",
+    "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>",
+    "<|endoftext|>",
+    "The \u212aelvin MIT \u0130 LICENSE \u212a apache licen\u017fe",
 ]
 
 
@@ -190,7 +193,6 @@ def test_op9(spark, folder):
 
 def test_op10(spark, folder, docs):
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
     got, n = run(spark, folder, "op10_sst", "doc_id", "start", "n_tokens", "ids_crc32")
     assert n == len(docs)
     start = 0
