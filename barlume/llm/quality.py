@@ -4,13 +4,13 @@ Every document gets counts; fixed base limits reject outright. Four further rule
 ratio exceeds a cutoff. The cutoffs come from a labelled holdout: for each stratum (language) and
 rule the candidate cutoffs are walked from the loosest to stricter ones, and at each the exact
 (Clopper-Pearson) upper bound of the share of good documents it would reject is compared with
-``alpha``. The walk stops at the first that fails, so all cutoffs passed hold together
-(fixed-sequence testing); the level ``delta`` is divided by the number of strata times rules
-(Bonferroni), so with probability 1 - delta no stratum loses more than alpha of its good
-documents to any rule. The rules are fitted in order, each on what those before it keep, so a rule
-that only repeats another stays off. Of the passed cutoffs the one is taken that rejects most bad documents
-net of ``penalty`` times the good ones, the loosest of equals; where none is certain or useful
-the rule is off in that stratum.
+the rule's share of ``alpha``, alpha divided by the number of rules. The walk stops at the first that
+fails, so all cutoffs passed hold together (fixed-sequence testing). Every rule is tested on all
+of the stratum's holdout, whatever the other rules do, at the level ``delta`` divided by the number
+of strata times rules (Bonferroni). So with probability 1 - delta no rule loses more than its
+share, and no stratum more than alpha, of its good documents. Of the passed cutoffs the one is
+taken that rejects most bad documents net of ``penalty`` times the good ones, the loosest of equals;
+where none is certain or useful the rule is off in that stratum.
 
 Counts cover all documents and all labels. What is gathered is a histogram of fixed size per
 stratum and rule.
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +33,7 @@ from barlume.llm.common import materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-ALPHA = 0.02
+ALPHA = 0.08
 DELTA = 0.05
 PENALTY = 5.0
 BINS = 200
@@ -171,26 +170,23 @@ def choose(good: list[int], bad: list[int], alpha: float, delta: float, penalty:
 def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff) from the labelled rows of ``measured`` that pass the base limits."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("label"))
-    held = measured.where(~base_failed()).join(known, "doc_id").select("stratum", "label", *(_bin(r).alias(r) for r in RULES))
-    held = materialize(held, "quality-held")
-    level = delta / max(1, held.select("stratum").distinct().count() * len(RULES))
+    held = measured.where(~base_failed()).join(known, "doc_id")
+    marks = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES))).alias("at")
+    bins = held.select("stratum", "label", marks).groupBy("stratum", "at.rule", "at.bin").agg(
+        F.count_if(F.expr("label > 0")).alias("good"), F.count_if(F.expr("label <= 0")).alias("bad")
+    )
+    bins = materialize(bins, "quality-bins")
+    level = delta / max(1, bins.select("stratum").distinct().count() * len(RULES))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         good, bad = [0] * (BINS + 1), [0] * (BINS + 1)
         for b, g, x in zip(part["bin"], part["good"], part["bad"], strict=True):
             good[b], bad[b] = int(g), int(x)
-        cut = choose(good, bad, alpha, level)
-        return pd.DataFrame({"stratum": part["stratum"].iloc[:1], "cutoff": [cut]}).dropna(subset=["cutoff"])
-
-    found = []
-    for rule in RULES:
-        # a group is a stratum's histogram of the rule: 201 rows at most
-        bins = held.groupBy("stratum", F.col(rule).alias("bin")).agg(F.count_if(F.expr("label > 0")).alias("good"), F.count_if(F.expr("label <= 0")).alias("bad"))
-        cut = materialize(bins.groupBy("stratum").applyInPandas(one, "stratum string, cutoff int"), "quality-cutoff")
-        found.append(cut.withColumn("rule", F.lit(rule)))
-        over = cut.select(F.col("stratum").alias("__s"), "cutoff")
-        held = held.join(over, held["stratum"].eqNullSafe(over["__s"]), "left").where(F.col("cutoff").isNull() | (F.col(rule) <= F.col("cutoff"))).drop("__s", "cutoff")
-    return reduce(DataFrame.unionByName, found).select("stratum", "rule", "cutoff")
+        cut = choose(good, bad, alpha / len(RULES), level)
+        return pd.DataFrame({"stratum": part["stratum"].iloc[:1], "rule": part["rule"].iloc[:1], "cutoff": [cut]}).dropna(subset=["cutoff"])
+
+    # a group is a stratum's histogram of a rule: 201 rows at most
+    return materialize(bins.groupBy("stratum", "rule").applyInPandas(one, "stratum string, rule string, cutoff int"), "quality-cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
