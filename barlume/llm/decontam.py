@@ -1,19 +1,22 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item (split into overlapping units of words if it is long) has an error budget of one edit
-per ``PIECE`` characters. Cut into budget + 1 pieces, any text within the budget holds one piece
-untouched, so every unit stands among the exact piece hits that an Aho-Corasick automaton finds in a
-document. Around a hit the document's window is compared with the unit by Myers' bit-parallel
-distance (a unit anywhere in the window, pattern bits in one integer). Item and document are
-lower-cased and runs of anything but letters and digits are one space.
+A test item has an error budget of one edit per ``PIECE`` characters. Cut into budget + 1 pieces,
+any text within the budget holds one piece untouched, so every item stands among the exact piece
+hits that an Aho-Corasick automaton finds in a document. Around a hit the document's window is
+compared with the item by Myers' bit-parallel distance (the item anywhere in the window, pattern
+bits in one integer). Item and document are lower-cased and runs of anything but letters and
+digits are one space. Items of more than ``UNIT_WORDS`` words are searched as windows of so many,
+``STRIDE`` words apart, each with its own budget: a verbatim quote of ``UNIT_WORDS + STRIDE - 1``
+words is always found, a shorter one where it holds a window. Items under ``LEAST_CHARS``
+characters, of ``LEAST_WORDS`` words or more, must stand there verbatim, between words.
 
 The items are the query set: they are cut into blocks of at most ``BLOCK_CHARS`` characters, each
 of which goes to the tasks as one automaton and passes over all documents. Documents are
 neither shuffled nor collected.
 
-Defined results: null and empty texts, and items whose normalised text is shorter than
-``LEAST_CHARS``, match nothing; a repeated document row gives its matches again; extra columns
-are ignored.
+Defined results: null and empty texts, and items of fewer than ``LEAST_WORDS`` words that are under
+``LEAST_CHARS`` characters, match nothing; items without an id are one, with a null id; a repeated
+document row gives its matches again; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 PIECE = 12
 UNIT_WORDS = 25
+STRIDE = 5
 LEAST_CHARS = 40
+LEAST_WORDS = 3
 BLOCK_CHARS = 1 << 20
 _GAP = re.compile(r"[\W_]+")
 
@@ -36,19 +41,20 @@ def normalise(text: str | None) -> str:
 
 
 def units(text: str | None, unit_words: int = UNIT_WORDS) -> list[str]:
-    """The normalised item, or if it is longer its windows of ``unit_words`` words, half a window apart."""
+    """The normalised item, or if it is longer its windows of ``unit_words`` words."""
     whole = normalise(text)
     words = whole.split(" ")
-    if len(whole) < LEAST_CHARS:
+    if len(whole) < LEAST_CHARS and len(words) < LEAST_WORDS:
         return []
-    if len(words) <= unit_words + unit_words // 2:
+    if len(words) <= unit_words:
         return [whole]
-    starts = [*range(0, len(words) - unit_words, unit_words // 2), len(words) - unit_words]
-    return list(dict.fromkeys(u for s in starts if len(u := " ".join(words[s : s + unit_words])) >= LEAST_CHARS))
+    starts = [*range(0, len(words) - unit_words, STRIDE), len(words) - unit_words]
+    return list(dict.fromkeys(" ".join(words[s : s + unit_words]) for s in starts))
 
 
 def budget(unit: str, piece: int = PIECE) -> int:
-    return max(0, len(unit) // piece - 1)
+    """Edits; 0 for a short unit, which must also stand between words."""
+    return 0 if len(unit) < LEAST_CHARS else max(0, len(unit) // piece - 1)
 
 
 def pieces(unit: str, errors: int) -> list[tuple[int, str]]:
@@ -92,7 +98,7 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
 class Matcher:
     """One block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], piece: int = PIECE, unit_words: int = UNIT_WORDS):
+    def __init__(self, items: list[tuple[int | None, str]], piece: int = PIECE, unit_words: int = UNIT_WORDS):
         import ahocorasick
 
         self.units: list[tuple[int, str, int, dict[str, int]]] = []
@@ -110,7 +116,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
-    def match(self, text: str | None) -> dict[int, tuple[int, int, int]]:
+    def match(self, text: str | None) -> dict[int | None, tuple[int, int, int]]:
         """item -> (distance, start, end) of its best unit, places in the normalised text (start: where
         the window that was compared begins)."""
         doc = normalise(text)
@@ -123,6 +129,10 @@ class Matcher:
                 # the unit would start here, give or take its budget: one comparison serves all near starts
                 begin = end - n + 1 - at
                 item, unit, k, masks = self.units[u]
+                if len(unit) < LEAST_CHARS:
+                    if (begin == 0 or doc[begin - 1] == " ") and doc[end + 1 : end + 2] in ("", " "):
+                        out.setdefault(item, (0, begin, end + 1))
+                    continue
                 before = tried.setdefault(u, [])
                 if any(abs(b - begin) <= k for b in before[-4:]):
                     continue
@@ -135,7 +145,7 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(f"{item_col} is not null and {text_col} is not null")
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
     block, size = [], 0
     for item, text in rows.toLocalIterator():
         block.append((item, text))
@@ -160,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             matcher = Matcher(held.value, piece, unit_words)
             for b in batches:
                 found = [
-                    (doc_id.as_py(), item, *hit) for doc_id, text in zip(b.column(0), b.column(1), strict=True) for item, hit in sorted(matcher.match(text.as_py()).items())
+                    (doc_id.as_py(), item, *hit) for doc_id, text in zip(b.column(0), b.column(1), strict=True) for item, hit in sorted(matcher.match(text.as_py()).items(), key=lambda x: (x[0] is not None, x[0]))
                 ]
                 columns = zip(*found, strict=True) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=names)

@@ -89,15 +89,14 @@ def test_kept_follows_the_cutoffs(spark):
         failed[r.doc_id] = n < 50 or 100 * rep > 50 * n
     cutoffs = {}
     langs = sorted({v[0] for i, v in measured.items() if i in label and not failed[i]})
-    for alpha in (0.02, 0.3):
+    for alpha in (quality.ALPHA, 1.0):
         for lang in langs:
-            left = [i for i, (x, _) in measured.items() if x == lang and i in label and not failed[i]]
+            held = [i for i, (x, _) in measured.items() if x == lang and i in label and not failed[i]]
             for k in range(4):
                 good, bad = [0] * (quality.BINS + 1), [0] * (quality.BINS + 1)
-                for i in left:
+                for i in held:
                     (good if label[i] > 0 else bad)[measured[i][1][k]] += 1
-                cut = cutoffs[lang, k] = quality.choose(good, bad, alpha, quality.DELTA / (len(langs) * 4))
-                left = [i for i in left if cut is None or measured[i][1][k] <= cut]
+                cutoffs[lang, k] = quality.choose(good, bad, alpha / 4, quality.DELTA / (len(langs) * 4))
         got = {r.doc_id: (r.base_failed, r.kept) for r in quality.assess(docs, labels, alpha=alpha).collect()}
         for i, (lang, bins) in measured.items():
             over = any(cutoffs.get((lang, k)) is not None and bins[k] > cutoffs[lang, k] for k in range(4))
@@ -105,12 +104,32 @@ def test_kept_follows_the_cutoffs(spark):
     assert any(c is not None for c in cutoffs.values())
 
 
+def test_good_documents_are_lost_no_oftener_than_promised():
+    """Over many draws of a holdout, the share in which any stratum's rules lose more than alpha."""
+    rng = np.random.default_rng(7)
+    draws, strata, rules, alpha = 40, 2, 4, 0.2
+    true = 0.5 ** (np.arange(quality.BINS + 1) / 8)  # the share of good documents above a cutoff
+    over_rule = over_stratum = found = 0
+    for _ in range(draws):
+        lost = np.zeros((strata, rules))
+        for s in range(strata):
+            for r in range(rules):
+                good = np.bincount(np.minimum(rng.geometric(1 - 0.5 ** (1 / 8), 400) - 1, quality.BINS), minlength=quality.BINS + 1)
+                bad = np.bincount(rng.integers(0, quality.BINS + 1, 400), minlength=quality.BINS + 1)
+                cut = quality.choose(good.tolist(), bad.tolist(), alpha / rules, quality.DELTA / (strata * rules))
+                lost[s, r] = 0 if cut is None else true[min(cut + 1, quality.BINS)]
+        found += (lost > 0).sum()
+        over_rule += (lost > alpha / rules).any()
+        over_stratum += (lost.sum(axis=1) > alpha).any()
+    assert found > draws and over_stratum <= over_rule <= draws * quality.DELTA
+
+
 def test_many_strata_are_joined(spark, monkeypatch):
     monkeypatch.setattr(quality, "STRATA_IN_PLAN", 1)
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    a = sorted(map(tuple, quality.assess(docs, labels, alpha=0.3).collect()))
+    a = sorted(map(tuple, quality.assess(docs, labels, alpha=1.0).collect()))
     monkeypatch.undo()
-    assert a == sorted(map(tuple, quality.assess(docs, labels, alpha=0.3).collect()))
+    assert a == sorted(map(tuple, quality.assess(docs, labels, alpha=1.0).collect()))
 
 
 # --- the rest -----------------------------------------------------------------------------------------------

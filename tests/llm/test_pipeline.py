@@ -57,6 +57,23 @@ def test_matches_are_those_within_the_budget():
     assert matcher.match(None) == {} and matcher.match("") == {}
 
 
+def test_quotes_and_short_items_are_found():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(26, 90)))) for i in range(40)] + [(None, "Who, then, won?"), (98, "two words"), (99, "")]
+    matcher = decontam.Matcher(items)
+    for i, text in items[:40]:
+        w = text.split()
+        n = min(len(w), decontam.UNIT_WORDS + decontam.STRIDE - 1)
+        for _ in range(10):
+            at = rng.randrange(len(w) - n + 1)
+            quote = " ".join([*(word() for _ in range(30)), *w[at : at + n], *(word() for _ in range(30))])
+            assert i in matcher.match(quote)
+        assert matcher.match(" ".join(word() for _ in range(200))) == {}
+    assert matcher.match("so who then won it") == {None: (0, 3, 15)}
+    assert matcher.match("so who then wonders two words") == {} == matcher.match("xwho then won")
+
+
 def test_upper_bound_is_exact():
     assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100))
     assert quality.upper_bound(3, 50, 0.025) == pytest.approx(0.16548, abs=1e-4)
