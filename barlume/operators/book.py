@@ -10,6 +10,7 @@ call and stop-out, the floor at zero balance, the account row.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 from decimal import ROUND_FLOOR, ROUND_HALF_UP, Decimal
 from typing import Any
@@ -29,6 +30,8 @@ NEXT = {
     "REJECTED": set(),
 }
 LIVE = ("ACCEPTED", "ACTIVE")
+#: Ended orders that a snapshot shows.
+RECENT = 512
 POLICIES = ("CONSERVATIVE", "STOP_FIRST", "OPTIMISTIC", "TARGET_FIRST", "NEAREST_OPEN", "REJECT_AMBIGUOUS")
 
 
@@ -263,6 +266,7 @@ class Book:
     def __init__(self, rules: Rules, profiles: dict[str, Profile], keep_rows: bool = True):
         self.rules, self.profiles, self.keep = rules, profiles, keep_rows
         self.orders: dict[int, Order] = {}
+        self.recent: deque[Order] = deque(maxlen=RECENT)
         self.live: dict[int, Order] = {}  # in LIVE states, by id
         self.positions: dict[int, Position] = {}
         self.clients: set[str] = set()
@@ -287,6 +291,17 @@ class Book:
         if self.keep:
             self.rows.append((kind, time, ref, values))
 
+    def snapshot(self) -> dict[str, Any]:
+        """What a strategy may see at once: active orders, the last ``RECENT`` that ended, positions and account."""
+        active = sorted(self.orders.values(), key=lambda o: o.id)
+        return {
+            "orders": [*active, *self.recent],
+            "active": len(active),
+            "positions": sorted(self.positions.values(), key=lambda p: p.id),
+            "balance": self.balance,
+            "equity": self.equity,
+        }
+
     def drain(self) -> list[tuple[str, int, int, dict[str, Any]]]:
         out, self.rows = self.rows, []
         return out
@@ -300,7 +315,8 @@ class Book:
         elif state != "PARTIALLY_FILLED":
             o.ended, o.reason = time, reason
             self.live.pop(o.id, None)
-            self.orders.pop(o.id, None)  # terminal orders live on in the rows only; state stays bounded
+            if self.orders.pop(o.id, None):  # of terminal orders the last ones; all live on in the rows
+                self.recent.append(o)
         self._row(f"order.{state.lower()}", time, o.id, client=o.client, symbol=o.symbol, side="BUY" if o.buy else "SELL", order_type=o.kind, lots=o.lots, price=o.price, owned=o.owned, reason=reason)
 
     def _commission(self, lots: Decimal, price: int, p: Profile) -> Decimal:

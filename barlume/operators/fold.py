@@ -9,13 +9,19 @@ only seen and forming bars come first, then bars that execute, then commands: a
 before the bar that opens at t. Callbacks see all that closed at their time: events first, then bars.
 Output: (run_id, seq, kind, time_ns, ref, payload) with the payload as JSON; ``trades``, ``fills`` and
 ``equity`` read it back as columns.
+
+A strategy that raises, or whose callback takes longer than the time limit, ends its own run: what the
+run put out stays, a row of kind ``run.failed`` says why, and the other runs of the task go on.
 """
 
 from __future__ import annotations
 
 import json
+import signal
+import threading
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from decimal import Decimal as D
 from importlib import import_module
@@ -28,6 +34,8 @@ from barlume.operators.book import Book, Position, Profile, Refused, Rules
 
 OUT = "run_id string, seq long, kind string, time_ns long, ref long, payload string"
 _OUT = pa.schema([("run_id", pa.string()), ("seq", pa.int64()), ("kind", pa.string()), ("time_ns", pa.int64()), ("ref", pa.int64()), ("payload", pa.string())])
+#: Bars per series that a strategy can look back on unless a run says otherwise.
+DEPTH = 5_000
 BAR = ("symbol", "timeframe", "open_time_ns", "close_time_ns", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "source_spread_points", "sequence")
 
 
@@ -51,7 +59,8 @@ class Bar:
 class Market:
     """Closed bars per series, the newest last; never one that has not closed."""
 
-    def __init__(self, depth: int = 5_000):
+    def __init__(self, depth: int | None = DEPTH):
+        """``depth``: bars kept per series, None for all; asking for more than are kept is an error."""
         self.depth, self.series, self.unfinished = depth, {}, {}
 
     def add(self, bar: Bar) -> None:
@@ -63,10 +72,16 @@ class Market:
         s.append(bar)
 
     def latest(self, symbol: str, timeframe: str, offset: int = 0) -> Bar | None:
+        self._held(offset + 1)
         s = self.series.get((symbol, timeframe), ())
         return s[-1 - offset] if offset < len(s) else None
 
+    def _held(self, n: int) -> None:
+        if self.depth is not None and n > self.depth:
+            raise ValueError(f"{n} bars asked for, {self.depth} are kept: raise the run's history")
+
     def history(self, symbol: str, timeframe: str, n: int) -> list[Bar]:
+        self._held(n)
         s = self.series.get((symbol, timeframe), ())
         return [s[i] for i in range(max(0, len(s) - n), len(s))]
 
@@ -84,8 +99,8 @@ class Context:
 
     MOST_ACTIONS = 1_000  # per callback
 
-    def __init__(self, book: Book):
-        self.book, self.market, self.now = book, Market(), 0
+    def __init__(self, book: Book, depth: int | None = DEPTH):
+        self.book, self.market, self.now = book, Market(depth), 0
         self.made: list[tuple[str, dict[str, Any]]] = []
         self.actions, self.revisions, self.numbers = 0, {}, 0
 
@@ -146,6 +161,38 @@ class Strategy:
     def on_stop(self, context: Context, reason: str) -> None: ...
 
 
+class Observer:
+    """Sees a run without acting on it: every bar that executes, and every row the run puts out."""
+
+    def on_bar(self, run_id: str, bar: Bar, snapshot: dict[str, Any]) -> None: ...
+
+    def on_result(self, run_id: str, time_ns: int, kind: str, ref: int, values: dict[str, Any], snapshot: dict[str, Any]) -> None: ...
+
+
+class TooSlow(RuntimeError):
+    """A callback passed its time limit."""
+
+
+@contextmanager
+def time_limit(seconds: float | None) -> Iterator[None]:
+    """Raises ``TooSlow`` in the block when it takes longer. Only the main thread, which is where
+    Spark's workers run, can be interrupted; elsewhere there is no limit."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: Any) -> None:
+        raise TooSlow(f"a callback took more than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def load(path: str) -> Callable[..., Strategy]:
     """``module:object``."""
     module, _, name = path.partition(":")
@@ -160,19 +207,56 @@ class Run:
 
     ROUNDS = 8
 
-    def __init__(self, run_id: str, rules: Rules, profiles: dict[str, Profile], strategy: Strategy | None, account_every: int, start_ns: int = 0):
+    def __init__(
+        self,
+        run_id: str,
+        rules: Rules,
+        profiles: dict[str, Profile],
+        strategy: Strategy | None,
+        account_every: int,
+        start_ns: int = 0,
+        history: int | None = DEPTH,
+        limit: float | None = None,
+        observer: Observer | None = None,
+    ):
         self.run_id, self.book, self.start = run_id, Book(rules, profiles), start_ns
+        self.limit, self.observer, self.failed = limit, observer, False
         self.seen: list[Bar] = []  # closed, not yet called back
-        self.strategy, self.context = strategy, Context(self.book)
+        self.strategy, self.context = strategy, Context(self.book, history)
         self.seq, self.every, self.last = 0, account_every, 0
         self.out: list[tuple] = []
         if strategy:
-            strategy.on_start(self.context)
-            self._flush(0)
+            self.begin(lambda: strategy)
+
+    def begin(self, make: Callable[[], Strategy]) -> None:
+        """Takes a strategy that ``make`` makes."""
+        self._guarded(self._start, make)
+
+    def _start(self, make: Callable[[], Strategy]) -> None:
+        with time_limit(self.limit):
+            self.strategy = make()
+        self._call("on_start", self.context)
+        self._flush(0)
+
+    def _call(self, name: str, *values: Any) -> None:
+        with time_limit(self.limit):
+            getattr(self.strategy, name)(*values)
+
+    def _guarded(self, step: Callable[..., Any], *values: Any) -> None:
+        """Does a step of the run; an error ends this run alone."""
+        if self.failed:
+            return
+        try:
+            step(*values)
+        except Exception as e:  # whatever strategy code raises
+            self.failed = True
+            self._put("run.failed", self.last, 0, {"error": type(e).__name__, "message": str(e)})
 
     def _put(self, kind: str, time: int, ref: int, values: dict[str, Any]) -> None:
         self.seq += 1
         self.out.append((self.run_id, self.seq, kind, time, ref, json.dumps({k: (str(v) if isinstance(v, D) else v) for k, v in values.items() if v is not None}, sort_keys=True, separators=(",", ":"))))
+        if self.observer:
+            self.observer.on_result(self.run_id, time, kind, ref, values, self.book.snapshot())
 
     def _flush(self, now: int) -> list[tuple[str, int, int, dict[str, Any]]]:
         """Takes over the book's and the strategy's rows; returns the order and position events."""
@@ -197,9 +281,9 @@ class Run:
             return
         for _ in range(self.ROUNDS):
             for kind, _time, ref, values in events:
-                self.strategy.on_order(self.context, kind, ref, values)
+                self._call("on_order", self.context, kind, ref, values)
             for b in bars:
-                self.strategy.on_bar(self.context, b)
+                self._call("on_bar", self.context, b)
             bars = []
             events = self._flush(now)
             if not events:
@@ -216,6 +300,8 @@ class Run:
         self.seen.append(b)
         if execute:
             self.book.bar(b.symbol, b.open_time_ns, b.close_time_ns, b.open_ticks, b.high_ticks, b.low_ticks, b.close_ticks, b.source_spread_points, b.sequence)
+            if self.observer:
+                self.observer.on_bar(self.run_id, b, self.book.snapshot())
             self._feedback(b.close_time_ns)
 
     def forming(self, f: dict[str, Any]) -> None:
@@ -227,6 +313,9 @@ class Run:
             self._feedback(self.seen[-1].close_time_ns)
 
     def row(self, at: int, kind: str, body: str) -> None:
+        self._guarded(self._row, at, kind, body)
+
+    def _row(self, at: int, kind: str, body: str) -> None:
         values = json.loads(body)
         if kind == "bar":
             self.bar(Bar(*(values.get(k) for k in BAR)), values["x"])
@@ -252,16 +341,20 @@ class Run:
         self._flush(at)
 
     def finish(self, liquidate: bool) -> list[tuple]:
+        """The rows not yet taken; a failed run has no report."""
+        self._guarded(self._finish, liquidate)
+        return self.out
+
+    def _finish(self, liquidate: bool) -> None:
         self.catch_up(self.last + 1)
         if liquidate and self.book.positions:
             self.book.finish(self.last)
         self._feedback(self.last)
         if self.strategy:
-            self.strategy.on_stop(self.context, "end_of_data")
+            self._call("on_stop", self.context, "end_of_data")
             self._flush(self.last)
         b = self.book
         self._put("report", self.last, 0, b.totals | {"balance": b.balance, "equity": b.equity})
-        return self.out
 
 
 def bar_rows(bars: DataFrame, execution_timeframe: str | None = None) -> DataFrame:
@@ -282,8 +375,22 @@ def command_rows(commands: DataFrame) -> DataFrame:
     return commands.select("run_id", "at_ns", F.lit(3).alias("rank"), F.lit("command").alias("kind"), F.col("tie").cast("string").alias("tie"), "body")
 
 
-def simulate(rows: DataFrame, rules: Rules, profiles: dict[str, Profile], strategy: str | None = None, parameters: Callable[[str], dict] | None = None, account_every: int = 1, liquidate: bool = True, start_ns: int = 0) -> DataFrame:
-    """Folds stream rows of any number of runs. ``parameters`` makes a run's strategy parameters from its id."""
+def simulate(
+    rows: DataFrame,
+    rules: Rules,
+    profiles: dict[str, Profile],
+    strategy: str | None = None,
+    parameters: Callable[[str], dict] | None = None,
+    account_every: int = 1,
+    liquidate: bool = True,
+    start_ns: int = 0,
+    history: int | None = DEPTH,
+    limit: float | None = None,
+    observer: str | None = None,
+) -> DataFrame:
+    """Folds stream rows of any number of runs. ``parameters`` makes a run's strategy parameters from its id,
+    ``history`` is how many bars a strategy can look back (None: all), ``limit`` the seconds a callback may take,
+    ``observer`` (module:object, made once a run) sees bars and rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: Run | None = None
@@ -299,8 +406,9 @@ def simulate(rows: DataFrame, rules: Rules, profiles: dict[str, Profile], strate
                 if run is None or run.run_id != run_id:
                     if run is not None:
                         out += run.finish(liquidate)
-                    made = load(strategy)(**(parameters(run_id) if parameters else {})) if strategy else None
-                    run = Run(run_id, rules, profiles, made, account_every, start_ns)
+                    run = Run(run_id, rules, profiles, None, account_every, start_ns, history, limit, load(observer)() if observer else None)
+                    if strategy:
+                        run.begin(lambda name=run_id: load(strategy)(**(parameters(name) if parameters else {})))
                 run.row(at, kind, body)
                 out += run.out
                 run.out.clear()

@@ -8,6 +8,8 @@ batch fold up to a time.
 from __future__ import annotations
 
 import pickle
+import threading
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,3 +122,26 @@ def seek(rows: DataFrame, until_ns: int, **options) -> DataFrame:
 
 def delay_ns(minutes: int) -> int:
     return minutes * 60 * NS
+
+
+class Subscriber:
+    """A bounded queue for one viewer that is slower than the run: when it is full, all that waits is dropped for
+    the newest message, since each frame replaces those before it. ``dropped`` counts them."""
+
+    def __init__(self, most: int):
+        self.waiting: deque = deque()
+        self.most, self.dropped, self.lock = max(1, most), 0, threading.Lock()
+
+    def put(self, message: object) -> None:
+        with self.lock:
+            if len(self.waiting) >= self.most:
+                self.dropped += len(self.waiting)
+                self.waiting.clear()
+            self.waiting.append(message)
+
+    def take(self) -> list:
+        """All that waits, oldest first."""
+        with self.lock:
+            out = list(self.waiting)
+            self.waiting.clear()
+        return out

@@ -138,3 +138,77 @@ def test_frames_pacing_and_late_rows(spark, tmp_path):
     assert sorted((r.frame, r.k, r.v) for r in got.collect()) == [(0, "a", 2), (0, "b", 3), (1, "a", 4), (1, "b", 5)]
     assert [live.publish_rate(s) for s in (1, 1_000, 10_000, 1_000_000)] == [30, 20, 12, 8]
     assert live.pace(600, 10) == {"maxFilesPerTrigger": 3, "trigger": {"processingTime": "50 milliseconds"}}
+
+
+class Faulty(fold.Strategy):
+    """Raises, never returns, or looks back too far, as its parameter says."""
+
+    def on_bar(self, context, bar):
+        how = self.parameters["how"]
+        if bar.sequence == 3:
+            if how == "raises":
+                raise ZeroDivisionError("by design")
+            while how == "hangs":
+                pass
+            if how == "looks":
+                context.market.history(bar.symbol, bar.timeframe, 11)
+        context.log("INFO", how)
+
+
+class Counting(fold.Observer):
+    def __init__(self):
+        self.bars = 0
+
+    def on_bar(self, run_id, bar, snapshot):
+        self.bars += 1
+
+    def on_result(self, run_id, time_ns, kind, ref, values, snapshot):
+        if kind == "report":
+            values["observed"] = self.bars
+            assert values["bars"] == self.bars and snapshot["active"] == 0
+
+
+def _runs(spark, names, n=6):
+    bars = pd.DataFrame([(r, "X", "M1", i * 60, (i + 1) * 60, 1000, 1010, 990, 1000, 0, i) for r in names for i in range(n)], columns=["run_id", *fold.BAR])
+    return fold.bar_rows(spark.createDataFrame(bars))
+
+
+def test_a_faulty_strategy_ends_its_own_run(spark):
+    names = ["fine", "raises", "hangs", "looks", "unmade"]
+    out = fold.simulate(_runs(spark, names).coalesce(1), Rules(), {"X": Profile("X")}, "tests.test_fold:Faulty", lambda r: {"how": r} if r != "unmade" else {}["how"], limit=0.5, history=10).collect()
+    kinds = lambda r: [x.kind for x in out if x.run_id == r]
+    assert kinds("fine").count("log") == 6 and kinds("fine")[-1] == "report"
+    why = {r.run_id: r.payload for r in out if r.kind == "run.failed"}
+    assert set(why) == {"raises", "hangs", "looks", "unmade"}
+    assert "ZeroDivisionError" in why["raises"] and "TooSlow" in why["hangs"] and "history" in why["looks"] and "KeyError" in why["unmade"]
+    assert all(kinds(r).count("log") == 3 and "report" not in kinds(r) for r in ("raises", "hangs", "looks"))
+
+
+def test_history_is_as_deep_as_the_run_says(spark):
+    out = fold.simulate(_runs(spark, ["looks"], 20), Rules(), {"X": Profile("X")}, "tests.test_fold:Faulty", lambda r: {"how": r}, history=None)
+    assert out.where("kind = 'log'").count() == 20
+
+
+def test_an_observer_sees_bars_and_rows(spark):
+    out = fold.simulate(_runs(spark, ["a", "b"]), Rules(), {"X": Profile("X")}, observer="tests.test_fold:Counting")
+    assert out.where("kind = 'report'").count() == 2
+
+
+def test_snapshot_holds_active_and_last_ended_orders():
+    from barlume.operators import book
+
+    b = book.Book(Rules(), {"X": Profile("X")})
+    b.bar("X", 0, 60, 1000, 1010, 990, 1000, 0, 0)
+    made = [b.submit(f"c{i}", "X", True, "LIMIT", D(1), 60 + i, price=900).id for i in range(book.RECENT + 20)]
+    for i in made[:-5]:
+        b.cancel(i, 10_000, "x")
+    shot = b.snapshot()
+    assert shot["active"] == 5 and [o.id for o in shot["orders"]] == made[-5:] + made[-5 - book.RECENT : -5]
+    assert len(b.orders) == 5
+
+
+def test_a_slow_viewer_gets_the_newest():
+    s = live.Subscriber(3)
+    for i in range(8):
+        s.put(i)
+    assert s.take() == [6, 7] and s.dropped == 6 and s.take() == []
