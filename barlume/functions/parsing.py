@@ -57,6 +57,9 @@ def scaled_integer(text: Column, digits: int) -> Column:
     return F.when(ok, number.try_cast("bigint") * F.when(F.startswith(t, F.lit("-")), -1).otherwise(1))
 
 
+DAY_MICROS = 86_400_000_000
+
+
 def whole_number(text: Column) -> Column:
     t = F.trim(text)
     return F.when(F.rlike(t, F.lit(r"^[+-]?[0-9]+$")), t.try_cast("bigint"))
@@ -71,11 +74,21 @@ def local_datetime(date: Column, time: Column) -> Column:
 def localize_ns(local: Column, zone: str) -> Column:
     """UTC nanoseconds of a wall clock in ``zone``; null for times that the zone skips or repeats.
 
-    The session's zone must be UTC."""
-    at = F.to_utc_timestamp(local, zone)
-    back = lambda minutes: F.from_utc_timestamp(at + F.make_interval(mins=F.lit(minutes)), zone)
-    ok = (back(0) == local) & (back(60) != local) & (back(-60) != local) & (back(30) != local) & (back(-30) != local)
-    return F.when(ok, F.unix_micros(at) * 1000)
+    The zone's offsets a day before and a day after are tried: around a change they are the two that count,
+    whatever its size. A time that both give is repeated, one that neither gives is skipped. The session's zone
+    must be UTC."""
+    near = F.unix_micros(F.to_utc_timestamp(local, zone))
+
+    def by_offset_of(other: Column) -> Column:
+        at = F.timestamp_micros(other)
+        return F.unix_micros(local) - (F.unix_micros(F.from_utc_timestamp(at, zone)) - other)
+
+    def holds(micros: Column) -> Column:
+        return F.from_utc_timestamp(F.timestamp_micros(micros), zone) == local
+
+    one, two = by_offset_of(near - DAY_MICROS), by_offset_of(near + DAY_MICROS)
+    found = F.when(holds(one) & holds(two), F.when(one == two, one)).when(holds(one), one).when(holds(two), two)
+    return found * 1000
 
 
 def close_ns(local: Column, open_ns: Column, timeframe: str, zone: str) -> Column:

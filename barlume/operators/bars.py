@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlume.operators.joins import asof_join, last_n
+from barlume.operators.joins import asof_join, last_n, latest_by
 from barlume.schema import DAY_NS, NS, TIMEFRAMES
 
 #: As-of joins cut a symbol's time into stretches of this length, so no symbol is one task.
@@ -79,7 +79,7 @@ def available(bars: DataFrame) -> DataFrame:
 
 def latest_closed(bars: DataFrame, at_ns: int) -> DataFrame:
     """Per series the last bar closed at or before ``at_ns``."""
-    return last_n(bars.where(F.col("close_time_ns") <= at_ns), ["symbol", "timeframe"], ["close_time_ns"], 1)
+    return latest_by(bars.where(F.col("close_time_ns") <= at_ns), ["symbol", "timeframe"], ["close_time_ns"])
 
 
 def window(bars: DataFrame, at_ns: int, n: int) -> DataFrame:

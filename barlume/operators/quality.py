@@ -88,18 +88,25 @@ def audit_base(series: DataFrame) -> DataFrame:
 def cross_audit(base: DataFrame, targets: DataFrame, tolerance: int = 0, volume: bool = True) -> DataFrame:
     """Every target bar against the base bars that open in [open, close), within the base's coverage.
 
-    All timeframes of ``targets`` meet one pass of the base: base bars find their target interval per
-    timeframe by bucket, an equality join since a fixed timeframe's intervals are its buckets."""
-    from barlume.operators.bars import OHLC
+    All timeframes of ``targets`` meet one pass of the base. A base bar belongs to the target bar that opened
+    last at or before it, if that has not closed: an as-of join on the targets' own times, so intervals may
+    follow any zone's clock and calendar."""
+    from barlume.operators.bars import OHLC, SEGMENT_NS
+    from barlume.operators.joins import asof_join
 
     # a row per timeframe: at most the 21 that exist
-    lengths = targets.groupBy("timeframe").agg(F.max(F.col("close_time_ns") - F.col("open_time_ns")).alias("length")).limit(len(TIMEFRAMES)).collect()
+    kinds = [r.timeframe for r in targets.select("timeframe").distinct().limit(len(TIMEFRAMES)).collect()]
     cover = base.groupBy("symbol").agg(F.min("open_time_ns").alias("lo"), F.max("close_time_ns").alias("hi"))
-    each = [F.struct(F.lit(r.timeframe).alias("target"), F.lit(r.length).cast("bigint").alias("length")) for r in lengths]
-    dealt = base.withColumn("__t", F.explode(F.array(*each) if each else F.array().cast("array<struct<target:string,length:bigint>>"))).select("*", "__t.target", "__t.length")
-    start = F.col("open_time_ns") - F.pmod("open_time_ns", F.col("length"))
-    made = dealt.groupBy("symbol", F.col("target").alias("timeframe"), start.alias("open_time_ns")).agg(
-        F.min_by("open_ticks", "open_time_ns").alias("b_open_ticks"), F.max("high_ticks").alias("b_high_ticks"), F.min("low_ticks").alias("b_low_ticks"), F.max_by("close_ticks", "open_time_ns").alias("b_close_ticks"), F.sum("tick_volume").alias("b_tick_volume")
+    values = [*OHLC, "tick_volume"]
+    dealt = base.select("symbol", "open_time_ns", *values, F.explode(F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")).alias("timeframe"))
+    spans = targets.select("symbol", "timeframe", F.col("open_time_ns").alias("at_open"), F.col("close_time_ns").alias("at_close"))
+    held = asof_join(dealt, spans, ["symbol", "timeframe"], "open_time_ns", "at_open", ["at_open", "at_close"], segment_ns=SEGMENT_NS)
+    made = held.where("open_time_ns < at_close").groupBy("symbol", "timeframe", F.col("at_open").alias("open_time_ns")).agg(
+        F.min_by("open_ticks", F.col("open_time_ns")).alias("b_open_ticks"),
+        F.max("high_ticks").alias("b_high_ticks"),
+        F.min("low_ticks").alias("b_low_ticks"),
+        F.max_by("close_ticks", F.col("open_time_ns")).alias("b_close_ticks"),
+        F.sum("tick_volume").alias("b_tick_volume"),
     )
     inside = targets.join(cover, "symbol").where((F.col("open_time_ns") >= F.col("lo")) & (F.col("close_time_ns") <= F.col("hi"))).drop("lo", "hi")
     pairs = inside.join(made, ["symbol", "timeframe", "open_time_ns"], "left")

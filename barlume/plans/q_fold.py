@@ -16,7 +16,7 @@ from barlume.plans.registry import query
 
 
 def profiles(spark, sf):
-    return {r.symbol: Profile(r.symbol) for r in bars(spark, sf, "H1").select("symbol").distinct().limit(1000).collect()}  # one profile per symbol of the dimension
+    return {r.symbol: Profile(r.symbol) for r in bars(spark, sf, "H1").select("symbol").distinct().collect()}  # a profile per symbol
 
 
 RULES = Rules(balance=D(10**9), spread_points=2, commission=("PER_LOT_SIDE", D("3.5")), max_margin_percent=D(100))

@@ -234,6 +234,37 @@ _AUDIT = """--cte targets AS (SELECT * REPLACE (CASE WHEN sequence % 50 = 7 THEN
 _AUDIT_VIEWS = ("bars", "bars:H1:hours", "bars:H4:fours")
 
 
+_SHIFT = 2 * 3600 * NS
+
+
+@query(
+    "q6_audit_shifted_zone",
+    sql(
+        f"""--cte fours AS (SELECT symbol, (open_time_ns + {_SHIFT}) // {4 * 3600 * NS} * {4 * 3600 * NS} - {_SHIFT} AS open_time_ns, arg_min(open_ticks, open_time_ns) AS open_ticks, max(high_ticks) AS high_ticks,
+            min(low_ticks) AS low_ticks, arg_max(close_ticks, open_time_ns) AS close_ticks, sum(tick_volume) AS tick_volume FROM hours GROUP BY 1, 2),
+        cover AS (SELECT symbol, min(open_time_ns) AS lo, max(close_time_ns) AS hi FROM hours GROUP BY symbol),
+        inside AS (SELECT f.*, f.open_time_ns % 7 = 3 AS broken FROM fours f JOIN cover USING (symbol) WHERE f.open_time_ns >= lo AND f.open_time_ns + {4 * 3600 * NS} <= hi)
+        SELECT symbol, 'H4' AS timeframe, count(*) AS compared, count(*) FILTER (NOT broken) AS matching, count(*) FILTER (broken) AS mismatching, CAST(0 AS BIGINT) AS source_only, CAST(0 AS BIGINT) AS aggregate_only
+        FROM inside GROUP BY symbol""",
+        "bars:H1:hours",
+    ),
+)
+def audit_shifted_zone(spark, sf):
+    """Four-hour bars of a clock two hours from UTC, some of them with a wrong close, against their hours."""
+    hours, length = bars(spark, sf, "H1"), 4 * 3600 * NS
+    start = F.col("open_time_ns") + _SHIFT - F.pmod(F.col("open_time_ns") + _SHIFT, F.lit(length)) - _SHIFT
+    fours = hours.groupBy("symbol", start.alias("at")).agg(
+        F.min_by("open_ticks", "open_time_ns").alias("open_ticks"),
+        F.max("high_ticks").alias("high_ticks"),
+        F.min("low_ticks").alias("low_ticks"),
+        F.max_by("close_ticks", "open_time_ns").alias("close_ticks"),
+        F.sum("tick_volume").alias("tick_volume"),
+    )
+    fours = fours.withColumn("close_ticks", F.when(F.pmod("at", F.lit(7)) == 3, F.col("close_ticks") + 1).otherwise(F.col("close_ticks")))
+    fours = fours.select("symbol", F.lit("H4").alias("timeframe"), F.col("at").alias("open_time_ns"), (F.col("at") + length).alias("close_time_ns"), "open_ticks", "high_ticks", "low_ticks", "close_ticks", "tick_volume")
+    return Q.audit_summary(Q.cross_audit(hours, fours))
+
+
 def _audited(spark, sf):
     hours = bars(spark, sf, "H1").withColumn("close_ticks", F.when(F.col("sequence") % 50 == 7, F.col("close_ticks") + 3).otherwise(F.col("close_ticks")))
     return Q.cross_audit(bars(spark, sf), hours.unionByName(bars(spark, sf, "H4")))

@@ -2,52 +2,87 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barlume.functions import parsing as P
 from barlume.operators import quality as Q
-from barlume.sources import csv_bars, store
+from barlume.sources import csv_bars, manifest, store
 
 
-def import_folder(spark: SparkSession, folder: str, out: str, zone: str = "UTC", digits: int = 2, tick_points: int = 1, policy: str = "mark", watermark_ns: int | None = None, fail_on_warnings: bool = False, recursive: bool = False) -> dict[str, DataFrame]:
+def import_folder(
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    zone: str = "UTC",
+    digits: int = 2,
+    tick_points: int = 1,
+    policy: str = "mark",
+    watermark_ns: int | None = None,
+    fail_on_warnings: bool = False,
+    recursive: bool = False,
+    mode: str = "reuse",
+) -> dict[str, DataFrame]:
     """Imports every bar file of a folder; returns the report's tables after writing them and the bars.
 
+    Parsed rows are stored under the hash of the files' contents and of what shapes them: the same import again
+    reads them back (``reuse``), parses anew (``refresh``), or must find them (``read_only``).
     Any rejected row, misnamed or repeated file is an error; then the report is written and RuntimeError raised."""
-    files = csv_bars.discover(spark, folder, recursive).limit(100_000).collect()  # one entry per file
+    files = csv_bars.discover(spark, folder, recursive).collect()  # one entry a file, as the listing itself
     if not files:
         raise FileNotFoundError(f"no bar files in {folder}")
     wrong = [f.name for f in files if f.symbol is None]
-    keys = [(f.symbol, f.timeframe) for f in files]
-    if wrong or len(set(keys)) < len(keys):
-        raise ValueError(f"files with wrong names: {wrong}; repeated series: {sorted({k for k in keys if keys.count(k) > 1}, key=str)}")
-    rows = []
+    times = Counter((f.symbol, f.timeframe) for f in files)
+    if wrong or len(times) < len(files):
+        raise ValueError(f"files with wrong names: {wrong}; repeated series: {sorted((k for k, n in times.items() if n > 1), key=str)}")
+    by_timeframe: dict[str, list[str]] = {}
     for f in files:
-        raw = csv_bars.read(spark, f.path, f.timeframe).withColumns({"symbol": F.lit(f.symbol), "timeframe": F.lit(f.timeframe)})
-        rows.append(Q.parse_rows(raw, f.timeframe, zone, digits, tick_points))
-    everything = store.cached(spark, f"{out}/staged", store.content_key("|".join(sorted(f.name for f in files)), {"zone": zone, "digits": digits, "tick": tick_points}), lambda: reduce(DataFrame.unionByName, rows), mode="refresh")
+        by_timeframe.setdefault(f.timeframe, []).append(f.path)
+
+    def parsed() -> DataFrame:
+        parts = []
+        for timeframe, paths in sorted(by_timeframe.items()):  # one scan a timeframe, 21 at most
+            raw = csv_bars.read_all(spark, paths, timeframe)
+            told = P.file_name(F.element_at(F.split(F.col("path"), "/"), -1))
+            raw = raw.withColumns({"symbol": told["symbol"], "timeframe": F.lit(timeframe)}).drop("path")
+            parts.append(Q.parse_rows(raw, timeframe, zone, digits, tick_points))
+        return reduce(DataFrame.unionByName, parts)
+
+    shape = {"zone": zone, "digits": digits, "tick": tick_points}
+    everything = store.cached(spark, f"{out}/staged", store.content_key(_contents(spark, folder, recursive), shape), parsed, mode)
     good = Q.accepted(everything)
     if watermark_ns is None:
-        from barlume.schema import timeframes
-
-        series = good.groupBy("symbol", "timeframe").agg(F.max_by("open_time_ns", "source_row").alias("last_open_ns")).join(F.broadcast(timeframes(spark)), "timeframe")  # 21 rows
-        watermark_ns = Q.watermark(series).first()[0]
+        last = good.groupBy("symbol", "timeframe").agg(F.max_by("open_time_ns", "source_row").alias("last_open_ns"))
+        watermark_ns = Q.watermark(last.join(_seconds(spark), "timeframe")).first()[0]
     bars = Q.number(Q.complete(good, watermark_ns or 0, policy), ["symbol", "timeframe"]).drop("local_time", "reject_code")
     store.write_bars(bars, f"{out}/bars")
     stored = store.read_bars(spark, f"{out}/bars")
     base = Q.audit_base(stored.select("symbol", "timeframe").distinct().join(_seconds(spark), "timeframe"))
-    of_base = stored.join(base.withColumnRenamed("base_timeframe", "timeframe"), ["symbol", "timeframe"], "left_semi")
-    others = stored.join(base.withColumnRenamed("base_timeframe", "timeframe"), ["symbol", "timeframe"], "left_anti").where("timeframe not in ('W1', 'MN1')")
+    base = base.withColumnRenamed("base_timeframe", "timeframe")
+    of_base = stored.join(base, ["symbol", "timeframe"], "left_semi")
+    others = stored.join(base, ["symbol", "timeframe"], "left_anti")
     audit = Q.audit_summary(Q.cross_audit(of_base, others))
     counts = Q.code_counts(everything, ["symbol", "timeframe"])
-    checks = reduce(DataFrame.unionByName, [Q.time_checks(good.where(F.col("timeframe") == tf), ["symbol", "timeframe"], tf) for tf in sorted({f.timeframe for f in files})], ) if all(f.timeframe != "MN1" for f in files) else good.groupBy("symbol", "timeframe").agg(F.count("*").alias("rows"))
-    issues = counts.select("symbol", F.lit("ERROR").alias("severity")).unionByName(audit.where("mismatching > 0").select("symbol", F.lit("WARNING").alias("severity")))
-    tables = {"reject_codes": counts, "time_checks": checks, "audit": audit, "severity": Q.severity(issues, ["symbol"], fail_on_warnings)}
+    checks = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [Q.time_checks(good.where(F.col("timeframe") == tf), ["symbol", "timeframe"], tf) for tf in sorted(by_timeframe)],
+    )
+    errors = counts.select("symbol", F.lit("ERROR").alias("severity"))
+    warnings = audit.where("mismatching > 0").select("symbol", F.lit("WARNING").alias("severity"))
+    tables = {"reject_codes": counts, "time_checks": checks, "audit": audit, "severity": Q.severity(errors.unionByName(warnings), ["symbol"], fail_on_warnings)}
     failed = not tables["severity"].where("not success").isEmpty()
     store.write_report(tables, f"{out}/report", failed)
     return {"bars": stored} | tables
 
 
+def _contents(spark: SparkSession, folder: str, recursive: bool) -> str:
+    """A digest of the names and contents of all files."""
+    found = manifest.file_manifest(spark, folder, recursive=recursive)
+    return found.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "size_bytes", "sha256"))), "\n"), 256)).first()[0]
+
+
 def _seconds(spark: SparkSession) -> DataFrame:
     from barlume.schema import timeframes
 

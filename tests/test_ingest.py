@@ -46,6 +46,59 @@ def test_import_and_audit(spark, folder, tmp_path):
     assert [r.sequence for r in bars.where("timeframe = 'M1'").orderBy("open_time_ns").collect()] == list(range(6))
 
 
+def hours(n, first=0):
+    """Lines of hourly bars from midnight of 2024-10-26; the price is the number of the bar."""
+    lines = []
+    for i in range(n):
+        day, hour = divmod(first + i, 24)
+        lines.append(f"2024.10.{10 + day:02d}\t{hour:02d}:00:00\t{100 + i}.00\t{100 + i}.50\t{99 + i}.00\t{100 + i}.25\t1\t0\t0")
+    return HEAD + "\n".join(lines) + "\n"
+
+
+def test_audit_in_a_zone_off_utc(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "X_H1_202410100000_202410142300.csv").write_text(hours(96))
+    four = [f"2024.10.{10 + i // 6:02d}\t{i % 6 * 4:02d}:00:00\t{100 + 4 * i}.00\t{103 + 4 * i}.50\t{99 + 4 * i}.00\t{103 + 4 * i}.25\t4\t0\t0" for i in range(24)]
+    (d / "X_H4_202410100000_202410142000.csv").write_text(HEAD + "\n".join(four) + "\n")
+    day = [f"2024.10.{10 + i:02d}\t00:00:00\t{100 + 24 * i}.00\t{123 + 24 * i}.50\t{99 + 24 * i}.00\t{123 + 24 * i}.25\t24\t0\t0" for i in range(4)]
+    (d / "X_D1_202410100000_202410130000.csv").write_text(HEAD + "\n".join(day) + "\n")
+    got = ingest.import_folder(spark, str(d), str(tmp_path / "out"), zone="Europe/Athens")
+    assert {(r.timeframe, r.compared, r.matching, r.source_only) for r in got["audit"].collect()} == {("H4", 24, 24, 0), ("D1", 4, 4, 0)}
+
+
+def test_an_import_is_reused_by_content(spark, folder, tmp_path, monkeypatch):
+    parsed, out = [], str(tmp_path / "out")
+    plain = Q.parse_rows
+    monkeypatch.setattr(Q, "parse_rows", lambda *a: parsed.append(1) or plain(*a))
+    run = lambda **more: ingest.import_folder(spark, str(folder), out, **more)["bars"].count()
+    assert run() == 8 and len(parsed) == 2
+    assert run() == 8 and run(mode="read_only") == 8 and len(parsed) == 2
+    assert run(mode="refresh") == 8 and len(parsed) == 4
+    with pytest.raises(store.Missing):
+        run(mode="read_only", digits=3)
+    with (folder / "XAUUSD_M1_202501010000_202501010005.csv").open("a") as f:
+        f.write("\n")
+    with pytest.raises(store.Missing):
+        run(mode="read_only")
+    assert run() == 8 and len(parsed) == 6
+
+
+def test_many_files_in_one_scan(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    for i in range(24):
+        head = HEAD.replace("\t", ",") if i % 2 else HEAD
+        body = m1().removeprefix(HEAD)
+        (d / f"S{i:03d}_M1_202501010000_202501010005.csv").write_text(head + (body.replace("\t", ",") if i % 2 else body))
+    got = ingest.import_folder(spark, str(d), str(tmp_path / "out"))
+    assert got["bars"].groupBy("symbol").count().where("count = 6").count() == 24
+    assert got["bars"].where("source_row <> sequence + 2").count() == 0
+    (d / "T_M1_202501010000_202501010005.csv").write_text("<DATE>,<OPEN>\n")
+    with pytest.raises(ValueError, match="T_M1.*missing"):
+        ingest.import_folder(spark, str(d), str(tmp_path / "out"))
+
+
 def test_bad_row_fails_after_the_report(spark, folder, tmp_path):
     (folder / "XAUUSD_M1_202501010000_202501010005.csv").write_text(m1(bad=2))
     with pytest.raises(RuntimeError):
@@ -89,6 +142,16 @@ def test_local_times_skip_and_repeat(spark):
         assert ns == (int(both.pop().timestamp()) * 10**9 if len(both) == 1 else None), (d, t)
 
 
+def test_shifts_of_any_size(spark):
+    cases = [("Antarctica/Troll", "2024.10.27", "01:30:00"), ("Antarctica/Troll", "2024.10.27", "00:59:59"), ("Antarctica/Troll", "2024.10.27", "03:00:00"), ("Antarctica/Troll", "2024.03.31", "02:30:00"), ("Australia/Lord_Howe", "2024.04.07", "01:45:00"), ("Pacific/Apia", "2011.12.30", "12:00:00"), ("Asia/Kolkata", "2024.05.01", "00:00:00")]
+    for zone, d, t in cases:
+        got = spark.createDataFrame([(d, t)], "d string, t string").select(P.localize_ns(P.local_datetime(F.col("d"), F.col("t")), zone)).first()[0]
+        local = datetime.strptime(f"{d} {t}", "%Y.%m.%d %H:%M:%S")
+        both = {local.replace(tzinfo=ZoneInfo(zone), fold=f).astimezone(timezone.utc) for f in (0, 1)}
+        both = {x for x in both if x.astimezone(ZoneInfo(zone)).replace(tzinfo=None) == local}
+        assert got == (int(both.pop().timestamp()) * 10**9 if len(both) == 1 else None), (zone, d, t)
+
+
 def test_number_texts(spark):
     cases = {"1.5": 150, " -2.50 ": -250, "+3": 300, "4.560": 456, "4.561": None, "5.": None, ".5": None, "": None, "x": None, "1e3": None, "--1": None, "0.00": 0, "9" * 30: None}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
