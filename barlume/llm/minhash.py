@@ -46,6 +46,7 @@ ROWS = 6
 MEMBERS = 1024
 SHINGLES = 1 << 20
 PIVOTS = 32
+_ROW = ("task", "asks", "t", "known", "text")
 #: The one element of the set of a text without words.
 NO_WORDS = np.zeros(1, np.uint64)
 _RNG = np.random.default_rng(SEED)
@@ -150,6 +151,8 @@ def _linked(k: int, similarity: float):
 
         for b in batches:
             for r, a, t, x, text in zip(*(b.column(j).to_pylist() for j in range(4)), b.column(4), strict=True):
+                if r == task and t == ts[-1]:
+                    continue  # a repeated row
                 if r != task:
                     if ts:
                         yield close()
@@ -164,9 +167,8 @@ def _linked(k: int, similarity: float):
     return run
 
 
-def _compare(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (t, least) of ``members`` (task, asks, t, known), whose texts are joined by ``t``."""
-    rows = members.join(texts, "t").select("task", "asks", "t", "known", "text")
+def _compare(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (t, least) of ``rows`` (task, asks, t, known, text)."""
     rows = rows.repartition("task").sortWithinPartitions("task", "t")
     return rows.mapInArrow(_linked(k, similarity), "t long, least long")
 
@@ -207,18 +209,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     roots = roots.union(roots.select("root", "root").distinct()).toDF("t", "root")
     asked = materialize(distinct.select("t", "n", "first_id").join(roots, "t").select("root", "t", "n", "first_id"), "similar-asked")
 
-    sizes = asked.groupBy("root").agg(_chunks(members, F.sum("n"), F.count("*")).alias("chunks"))
-    dealt = materialize(asked.join(sizes, "root").select("root", "t", "n", "chunks"), "similar-dealt")
-    texts = rows.join(asked.select("t", "first_id").toDF("of", "id"), (F.col("of") == F.col("t")) & F.col("id").eqNullSafe(F.col("doc_id")))
-    texts = materialize(texts.dropDuplicates(["t"]).select("t", "text"), "similar-texts")
-    whole = dealt.where("chunks = 1").select(F.col("root").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"))
-    found = materialize(_compare(whole, texts, k, similarity), "similar-linked")
-    large = dealt.where("chunks > 1")
+    sizes = materialize(asked.groupBy("root").agg(_chunks(members, F.sum("n"), F.count("*")).alias("chunks")), "similar-sizes")
+    dealt = materialize(asked.join(sizes, "root"), "similar-dealt")
+    # the one time that texts of candidates leave their place; always by a shuffle, so that no size has another plan
+    texts = rows.withColumnRenamed("t", "of").join(dealt.hint("merge"), (F.col("of") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = materialize(texts.select("root", "t", "chunks", "text"), "similar-texts")
+    whole = texts.where("chunks = 1").select(F.col("root").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"), "text")
+    found = materialize(_compare(whole, k, similarity), "similar-linked")
+    large = dealt.where("chunks > 1").select("root", "t", "n", "chunks")
     if not large.isEmpty():
-        found = found.union(_large(large, distinct, texts, k, similarity, members))
-    first_ids = distinct.select("t", "first_id").join(found, "t", "left").withColumn("least", F.coalesce("least", "t"))
-    least = first_ids.groupBy("least").agg(F.min("first_id").alias("component_id"))
-    return first_ids.join(least, "least").select("t", "component_id")
+        found = found.union(_large(large, distinct, texts.where("chunks > 1").select("t", "text"), k, similarity, members))
+    named = materialize(asked.select("t", "first_id").join(found, "t"), "similar-named")
+    least = materialize(named.groupBy("least").agg(F.min("first_id").alias("component_id")), "similar-least")
+    named = named.join(least, "least").select("t", "component_id")
+    return distinct.select("t", "first_id").join(named, "t", "left").select("t", F.coalesce("component_id", "first_id").alias("component_id"))
 
 
 def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, similarity: float, members: int) -> DataFrame:
@@ -228,7 +232,7 @@ def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, simi
     pivots = pivots.select("root", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     dealt = large.select("root", "t", chunk.alias("chunk")).union(pivots.select("root", "t", "chunk")).distinct()
     dealt = dealt.select(F.xxhash64("root", "chunk").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"))
-    linked = materialize(_compare(dealt, texts, k, similarity), "similar-chunks")
+    linked = materialize(_compare(dealt.join(texts, "t").select(*_ROW), k, similarity), "similar-chunks")
     edges = linked.where("t <> least").toDF("a", "b").distinct()
     known = large.join(components(edges).toDF("t", "known"), "t", "left").select("root", "t", "n", F.coalesce("known", "t").alias("known"))
     known = materialize(known, "similar-known")
@@ -251,7 +255,7 @@ def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, simi
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(True).alias("asks"), "t", "known"
     )
     asked = answer.union(everywhere).select(F.xxhash64("block", "part").alias("task"), "asks", "t", "known")
-    more = materialize(_compare(asked, texts, k, similarity), "similar-more")
+    more = materialize(_compare(asked.join(texts, "t").select(*_ROW), k, similarity), "similar-more")
     edges = edges.union(more.where("t <> least").toDF("a", "b")).distinct()
     return large.join(components(materialize(edges, "similar-edges")).toDF("t", "least"), "t", "left").select("t", F.coalesce("least", "t").alias("least"))
 
