@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlume.operators.joins import asof_join, last_n, latest_by
+from barlume.operators.joins import asof_join, last_n, latest_by, running
 from barlume.schema import DAY_NS, NS, TIMEFRAMES
 
 #: As-of joins cut a symbol's time into stretches of this length, so no symbol is one task.
@@ -12,6 +12,10 @@ SEGMENT_NS = 30 * DAY_NS
 OHLC = ["open_ticks", "high_ticks", "low_ticks", "close_ticks"]
 
 
+def segment(time: str) -> Column:
+    return F.floor(F.col(time) / SEGMENT_NS)
+
+
 def resample(ticks: DataFrame, timeframe: str) -> DataFrame:
     """Ticks (symbol, tick_id, time_ns, price_ticks, volume) to closed bars of a fixed-length timeframe."""
     n = TIMEFRAMES[timeframe] * NS
@@ -30,9 +34,9 @@ def resample(ticks: DataFrame, timeframe: str) -> DataFrame:
 
 
 def sequenced(bars: DataFrame) -> DataFrame:
-    """``sequence`` from 0 per symbol in time order."""
-    w = Window.partitionBy("symbol", "timeframe").orderBy("open_time_ns")
-    return bars.withColumn("sequence", (F.row_number().over(w) - 1).cast("bigint"))
+    """``sequence`` from 0 per symbol in time order; a symbol is as many tasks as it has stretches of time."""
+    counted = running(bars, ["symbol", "timeframe"], ["open_time_ns"], segment("open_time_ns"), {"sequence": ("count", F.lit(1))})
+    return counted.withColumn("sequence", F.col("sequence") - 1)
 
 
 def rollup(bars: DataFrame, timeframe: str) -> DataFrame:
@@ -165,11 +169,11 @@ def clock_aligned(base: DataFrame, seconds: int) -> DataFrame:
 
 def direction(bars: DataFrame, time: str = "open_time_ns") -> DataFrame:
     """``direction``: 1 or -1 by the body; without one by the change from the close before; unchanged: as before, at first 1."""
-    w = Window.partitionBy("symbol").orderBy(time)
-    own = F.signum(F.when(F.col("close_ticks") != F.col("open_ticks"), F.col("close_ticks") - F.col("open_ticks")).otherwise(F.col("close_ticks") - F.lag("close_ticks").over(w)))
-    marked = bars.withColumn("__own", F.when(own != 0, own.cast("int")))
-    carried = F.last("__own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("direction", F.coalesce(carried, F.lit(1))).drop("__own")
+    body = F.col("close_ticks") - F.col("open_ticks")
+    near = running(bars, ["symbol"], [time], segment(time), {"__was": ("lag", F.col("close_ticks"))})
+    own = F.signum(F.when(body != 0, body).otherwise(F.col("close_ticks") - F.col("__was")))
+    marked = near.withColumn("__own", F.when(own != 0, own.cast("int"))).drop("__was")
+    return running(marked, ["symbol"], [time], segment(time), {"direction": ("last", F.col("__own"))}).withColumn("direction", F.coalesce("direction", F.lit(1))).drop("__own")
 
 
 def volume_delta(parts: DataFrame, parents: DataFrame, least: int) -> DataFrame:

@@ -5,7 +5,9 @@ None needs a theta join, which would plan as a nested loop over both sides.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -79,6 +81,35 @@ def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Column, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with running values of each key in ``order``, for keys of any size: no task has more than a ``segment``.
+
+    ``values``: name -> (kind, column). Kinds: ``count`` (rows so far, from 1), ``max``, ``last`` (that is not null),
+    ``lag`` (the row before). ``segment`` must not fall with ``order``. A window runs inside each segment; what
+    comes before it is added from a table of one row a segment.
+    """
+    keys = [*by, "__seg"]
+    cut = df.withColumn("__seg", segment)
+    at, place = Window.partitionBy(*keys).orderBy(*order), F.struct(*order)
+    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = {"count": lambda c: F.row_number().over(at), "max": lambda c: F.max(c).over(upto), "last": lambda c: F.last(c, ignorenulls=True).over(upto), "lag": lambda c: F.lag(c).over(at)}
+    whole = {"count": lambda c: F.count("*"), "max": F.max, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)), "lag": lambda c: F.max_by(c, place)}
+    carry = {"count": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True), "lag": F.last}
+    both = {
+        "count": lambda c, b: c + F.coalesce(b, F.lit(0)),
+        "max": lambda c, b: F.greatest(c, b),
+        "last": lambda c, b: F.coalesce(c, b),
+        "lag": lambda c, b: F.when(F.col("__first"), b).otherwise(c),
+    }
+    parts = cut.groupBy(*keys).agg(*(whole[k](c).alias(f"__{i}") for i, (k, c) in enumerate(values.values())))
+    earlier = Window.partitionBy(*by).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(carry[k](F.col(f"__{i}")).over(earlier).alias(f"__b{i}") for i, (k, _) in enumerate(values.values())))
+    marked = cut.withColumns({"__first": F.row_number().over(at) == 1} | {f"__i{i}": inside[k](c) for i, (k, c) in enumerate(values.values())})
+    meet = functools.reduce(operator.and_, (marked[k].eqNullSafe(before[f"__k{i}"]) for i, k in enumerate(keys)))
+    done = {name: both[k](F.col(f"__i{i}"), F.col(f"__b{i}")).alias(name) for i, (name, (k, _)) in enumerate(values.items())}
+    return marked.join(before, meet).select(*(c for c in df.columns if c not in done), *done.values())
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str = "island") -> DataFrame:
     """Numbers runs: a row where ``starts`` holds opens a new one."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

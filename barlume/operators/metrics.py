@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlume.operators.joins import islands
+from barlume.operators.bars import SEGMENT_NS
+from barlume.operators.joins import islands, running
 from barlume.schema import DAY_NS
 
 MINUTE_NS = 60_000_000_000
@@ -165,8 +166,8 @@ def _order(by: Sequence[str], time: str = "time_ns") -> Window:
 
 def drawdowns(equity: DataFrame, by: Sequence[str]) -> DataFrame:
     """``equity`` with its running peak, and the distance from it as amount and percentage."""
-    peak = F.max("equity").over(_order(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = equity.withColumn("peak", peak).withColumn("drawdown_amount", F.col("peak") - F.col("equity"))
+    peaks = running(equity, by, ["time_ns"], F.floor(F.col("time_ns") / SEGMENT_NS), {"peak": ("max", F.col("equity"))})
+    out = peaks.withColumn("drawdown_amount", F.col("peak") - F.col("equity"))
     return out.withColumn("drawdown_percent", _pct(F.col("drawdown_amount"), F.col("peak")))
 
 

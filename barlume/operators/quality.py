@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlume.functions import parsing as P
+from barlume.operators.joins import running
 from barlume.schema import NS, TIMEFRAMES
 
+#: Rows of a file that are one task where order matters.
+STRETCH = 1 << 16
+
 
 def _settled(df: DataFrame) -> DataFrame:
     """``df`` with its columns computed: a filter above cannot be pushed into their expressions, which it would
@@ -33,24 +37,32 @@ def parse_rows(raw: DataFrame, timeframe: str, zone: str, digits: int, tick_poin
     return rows.withColumns({f"{c}_ticks": F.expr(f"{c}_points div {tick_points}") for c in ("open", "high", "low", "close")}).drop(*prices)
 
 
+def _stretch() -> Column:
+    return F.expr(f"source_row div {STRETCH}")
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     return rows.where("reject_code is null")
 
 
 def code_counts(rows: DataFrame, keys: Sequence[str], samples: int = 5) -> DataFrame:
-    """Rejected rows by code, with the first ``samples`` row numbers: ranked before they are gathered, so no
-    list grows with the file."""
-    bad = rows.where("reject_code is not null")
-    w = Window.partitionBy(*keys, "reject_code").orderBy("source_row")
-    few = bad.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= samples).groupBy(*keys, "reject_code").agg(F.array_sort(F.collect_list("source_row")).alias("sample_rows"))
-    return bad.groupBy(*keys, "reject_code").agg(F.count("*").alias("rows")).join(few, [*keys, "reject_code"])
+    """Rejected rows by code, with the first ``samples`` row numbers, in one pass: each stretch of a file brings its
+    count and first rows, and the first ``samples`` stretches that have a code hold its first rows. No list
+    grows with the file."""
+    group = [*keys, "reject_code"]
+    first = F.slice(F.array_sort(F.collect_list("source_row")), 1, samples)  # a stretch has at most STRETCH rows
+    parts = rows.where("reject_code is not null").groupBy(*group, _stretch().alias("__part")).agg(F.count("*").alias("__rows"), first.alias("__first"))
+    w = Window.partitionBy(*group)
+    ranked = parts.withColumns({"__n": F.row_number().over(w.orderBy("__part")), "rows": F.sum("__rows").over(w)}).where(F.col("__n") <= samples)
+    found = ranked.groupBy(*group).agg(F.max("rows").alias("rows"), F.flatten(F.collect_list("__first")).alias("__all"))
+    return found.select(*group, "rows", F.slice(F.array_sort("__all"), 1, samples).alias("sample_rows"))
 
 
 def time_checks(rows: DataFrame, keys: Sequence[str], timeframe: str, time: str = "open_time_ns") -> DataFrame:
     """Duplicates, steps back and gaps between accepted rows that follow each other in the file."""
-    step = F.expr(f"({time} - lag({time}) over (partition by {', '.join(keys)} order by source_row))")
     seconds = TIMEFRAMES[timeframe]
-    d = rows.select(*keys, time, step.alias("__d"))
+    near = running(rows.select(*keys, time, "source_row"), keys, ["source_row"], _stretch(), {"__was": ("lag", F.col(time))})
+    d = near.select(*keys, time, (F.col(time) - F.col("__was")).alias("__d"))
     agg = [F.count("*").alias("rows"), F.count_if(F.col("__d") == 0).alias("duplicates"), F.count_if(F.col("__d") < 0).alias("out_of_order"), F.min(time).alias("first_ns"), F.max(time).alias("last_ns")]
     if seconds:
         s = F.expr(f"__d div {NS}")
@@ -68,8 +80,8 @@ def complete(rows: DataFrame, watermark_ns: int | Column, policy: str = "mark")
 
 def number(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``sequence`` 0..n-1 over the rows that are put out, in file order."""
-    w = Window.partitionBy(*keys).orderBy("source_row")
-    return rows.withColumn("sequence", (F.row_number().over(w) - 1).cast("bigint"))
+    counted = running(rows, keys, ["source_row"], _stretch(), {"sequence": ("count", F.lit(1))})
+    return counted.withColumn("sequence", F.col("sequence") - 1)
 
 
 def watermark(series: DataFrame) -> DataFrame:

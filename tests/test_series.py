@@ -2,10 +2,10 @@
 
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barlume.functions import pricing, text
-from barlume.operators import bars as B, joins, metrics as M, replay
+from barlume.operators import bars as B, joins, metrics as M, quality, replay
 
 DAY = 86_400 * 10**9
 
@@ -86,3 +86,25 @@ def test_prices(spark):
     assert (got[0], got[1], round(got[2], 6), got[3]) == (46.5, 1.75, 0.25, 3)
     df = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b")], "run string, n int, x string")
     assert text.run_digest(df, ["run"], ["n"], F.col("x")).first().digest == text.run_digest(df.orderBy(F.desc("n")), ["run"], ["n"], F.col("x")).first().digest
+
+
+def test_running_values_do_not_depend_on_segments(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), t, rng.choice([None, *range(9)])) for t in range(400)]
+    df = spark.createDataFrame(rows, "k string, t long, v int")
+    w = Window.partitionBy("k").orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumns({"n": F.row_number().over(w).cast("long"), "top": F.max("v").over(upto), "held": F.last("v", ignorenulls=True).over(upto), "was": F.lag("v").over(w)})
+    values = {"n": ("count", F.lit(1)), "top": ("max", F.col("v")), "held": ("last", F.col("v")), "was": ("lag", F.col("v"))}
+    for width in (1, 7, 60, 1000):
+        got = joins.running(df, ["k"], ["t"], F.floor(F.col("t") / width), values)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert got.select(*want.columns).schema.simpleString() == want.schema.simpleString()
+    assert joins.running(df.limit(0), ["k"], ["t"], F.col("t"), values).count() == 0
+
+
+def test_code_counts_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STRETCH", 10)
+    rows = spark.range(1, 500).selectExpr("'s' AS symbol", "id AS source_row", "CASE WHEN id % 3 = 0 THEN 'x' WHEN id % 70 = 1 THEN 'y' END AS reject_code")
+    got = {r.reject_code: (r.rows, r.sample_rows) for r in quality.code_counts(rows, ["symbol"]).collect()}
+    assert got == {"x": (166, [3, 6, 9, 12, 15]), "y": (6, [1, 71, 211, 281, 421])}
