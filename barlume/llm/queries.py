@@ -7,7 +7,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlume.llm import bpe, chat, decontam, licenses, pii, quality, secrets, simhash, spans, sst, url_lm
+from barlume.llm import bpe, chat, codes, decontam, licenses, pii, quality, rff, secrets, simhash, spans, sst, url_lm, whitening
 from barlume.llm.common import table
 
 
@@ -101,6 +101,19 @@ def op10_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.encoded(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_url_lm": op1_url_lm,
     "op2_decontaminate": op2_decontaminate,
@@ -112,6 +125,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_chat": op9_chat,
     "op10_sst": op10_sst,
+    "op11_whitening": op11_whitening,
+    "op12_rff_quality": op12_rff_quality,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 
@@ -143,7 +159,33 @@ def _licenses_sql() -> str:
         FROM w LEFT JOIN p ON p.doc_id = w.doc_id GROUP BY w.doc_id"""
 
 
+def _codes_sql() -> str:
+    """The contract in SQL: every distance to every entry, no search order."""
+    where = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+    steps = [f"""
+        v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * c) AS BIGINT)) AS x
+            FROM embeddings WHERE {where}),
+        p AS (SELECT r, k, x[k * (len(x) // {codes.PARTS}) + 1 : (k + 1) * (len(x) // {codes.PARTS})] AS x FROM v, range({codes.PARTS}) AS t(k)),
+        b0 AS (SELECT k, r - 1 AS e, x FROM p WHERE r <= {codes.ENTRIES})"""]
+    distance = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"""
+        a{i} AS (SELECT r, k, min(d) AS d, arg_min(e, d * {codes.ENTRIES} + e) AS e FROM (SELECT p.r, p.k, b.e, {distance} AS d FROM p JOIN b{i} b USING (k)) GROUP BY r, k)""")
+        if i < codes.ROUNDS:
+            steps.append(f"""
+        s{i} AS (SELECT k, e, j, CAST(floor(sum(p.x[j])::DOUBLE / count(*)) AS BIGINT) AS m FROM a{i} JOIN p USING (r, k), unnest(range(1, len(p.x) + 1)) AS u(j) GROUP BY k, e, j),
+        m{i} AS (SELECT k, e, list(m ORDER BY j) AS x FROM s{i} GROUP BY k, e),
+        b{i + 1} AS (SELECT k, e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (k, e))""")
+    last = codes.ROUNDS
+    return f"""
+        WITH {",".join(steps)},
+        h AS (SELECT sha256(coalesce(string_agg(array_to_string(x, ','), ',' ORDER BY k, e), '')) AS codebooks_sha256 FROM b{last}),
+        c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op8_licenses": _licenses_sql(),
     "op9_chat": """
         WITH rows AS (
