@@ -13,8 +13,9 @@ The loss mask lists the places of the assistants' texts. Everything is native ex
 
 Defined results: a null role or text is empty; turns come by turn number (nulls first), then role and
 text, so repeated rows stay; a null conversation id is a conversation of its own; a record whose
-fingerprint no mapping knows has null turns; clashing or extra columns are ignored unless a
-mapping names their path.
+fingerprint no mapping knows has null turns; extra columns are ignored unless a mapping names their
+path; ``schema_fingerprint``, ``canonical_turns``, ``formatted`` and ``loss_spans`` of the table itself are
+replaced by the new columns of these names.
 """
 
 from __future__ import annotations

@@ -94,7 +94,8 @@ def fit(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int
     """The codebook of each part position, from the ``id`` and ``x`` of ``numbers``."""
     seeds = vectors.smallest(rows, entries)
     width = len(seeds[0]) if seeds else 0
-    first = np.array([s for s in seeds if len(s) == width], np.int64).reshape(-1, width)
+    same = [s for s in seeds if len(s) == width]
+    first = np.array(same, np.int64).reshape(len(same), width)
     books = [first[:, a:b] for a, b in cuts(width, parts)]
     used = rows.where(F.size("x") == width).select("x")
     for _ in range(rounds if width else 0):

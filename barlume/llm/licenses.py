@@ -3,12 +3,13 @@
 Templates (short phrases, notices and whole license texts, fixed below) and documents are cut into
 rolling word 2-grams; all of a document's 2-gram hashes meet the template positions in an equality
 join. A hit at document word p and template word t votes for the diagonal p - t. An undisturbed copy
-puts all its votes on one diagonal; inserted or missing words move the rest to a neighbour, so
-diagonals of one notice or text up to a third of its length apart (``SLACK`` at least) are merged, of
-those that have ``VOTES`` votes at least: common word pairs hit single diagonals everywhere and
-would chain them. A phrase stands where its diagonal has every vote; a notice or text
-stands where the merged diagonals cover at least ``COVER`` of its 2-grams within twice its length,
-which is then its score. Everything is native.
+puts all its votes on one diagonal; inserted or missing words move the rest to a neighbour. So a copy
+is a peak: a diagonal with more votes than any other up to a third of the template's length away
+(``SLACK`` at least; of equals the first). Neighbours that near to a peak, and to no nearer one, are merged
+into it where they vote for ``VOTES`` positions or more that the peak lacks. Peaks never chain, so a copy spans
+less than twice its template and copies that follow each other stay apart. A phrase stands where its
+diagonal has every vote; a notice or text stands where peak and neighbours cover at least ``COVER`` of its
+2-grams, which is then its score. Everything is native.
 
 The templates are a fixed list, so the joined side is small whatever the corpus.
 
@@ -118,7 +119,7 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
 
 
 def slack(words: list[str], base: bool) -> int:
-    """How far apart diagonals that belong together may be."""
+    """How far a diagonal may be from the peak it belongs to."""
     return 0 if base else max(SLACK, (len(words) - K + 1) // 3)
 
 
@@ -158,27 +159,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         *known,
         F.count_if(F.col("template").isNull()).alias("copies"),  # rows that repeat id and text
         F.collect_set("tpos").alias("seen"),
-        F.min("pos").alias("from"),
-        F.max("pos").alias("to"),
     )
     diagonal = diagonal.where(F.col("template").isNull() | F.col("base") | (F.size("seen") >= VOTES))
-    one = Window.partitionBy(*key, "template").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one) > F.col("slack"), F.lit(True))
-    merged = (
-        diagonal.withColumn("run", F.sum(far.cast("int")).over(one))
-        .groupBy(*key, "template", "run")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.max("copies").alias("copies"),
-            *known[:3],
-            F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"),
-            F.min("from").alias("start"),
-            (F.max("to") + K).alias("end"),
-        )
-        .withColumn("score", F.col("votes") / F.col("grams"))
+    # peaks: every window below is one document's diagonals of one template
+    one = Window.partitionBy(*key, "template")
+    scaled = F.col("diagonal") / F.greatest("slack", F.lit(1))  # so that one range frame fits templates of all lengths
+    near = one.orderBy(scaled).rangeBetween(-1, 1)
+    size = F.struct(F.size("seen").alias("votes"), (-F.col("diagonal")).alias("first"))
+    peak = F.coalesce(F.col("base"), F.lit(True)) | (F.max(size).over(near) == size)
+    marked = diagonal.withColumn("peak", F.when(peak, F.col("diagonal")))
+    row = one.orderBy("diagonal")
+    back = F.last("peak", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.first("peak", ignorenulls=True).over(row.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    gap = lambda c: F.coalesce(F.abs(F.col("diagonal") - F.col(c)), F.lit(1 << 30))
+    marked = marked.withColumns({"back": back, "ahead": ahead})
+    marked = marked.withColumn("of", F.when(gap("ahead") < gap("back"), F.col("ahead")).otherwise(F.col("back")))
+    marked = marked.where(F.col("template").isNull() | (F.abs(F.col("diagonal") - F.col("of")) <= F.col("slack")))
+    merged = marked.groupBy(*key, "template", "of").agg(
+        F.max("n_words").alias("n_words"),
+        F.max("copies").alias("copies"),
+        *known[:3],
+        F.first(F.when(F.col("peak").isNotNull(), F.col("seen")), ignorenulls=True).alias("own"),
+        F.collect_list(F.when(F.col("peak").isNull(), F.struct("diagonal", "seen"))).alias("others"),
     )
-    near = F.col("end") - F.col("start") <= 2 * (F.col("grams") + 1)
-    stands = F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise((F.col("score") >= COVER) & near)
+    more = F.transform("others", lambda x: F.struct(x["diagonal"].alias("diagonal"), F.array_except(x["seen"], F.col("own")).alias("seen")))
+    merged = merged.withColumn("others", F.filter(more, lambda x: F.size(x["seen"]) >= VOTES))
+    merged = merged.withColumns(
+        {
+            "votes": F.size(F.array_distinct(F.concat("own", F.flatten(F.transform("others", lambda x: x["seen"]))))),
+            "start": F.array_min(F.concat(F.array(F.col("of") + F.array_min("own")), F.transform("others", lambda x: x["diagonal"] + F.array_min(x["seen"])))),
+            "end": F.array_max(F.concat(F.array(F.col("of") + F.array_max("own")), F.transform("others", lambda x: x["diagonal"] + F.array_max(x["seen"])))) + K,
+        }
+    ).withColumn("score", F.col("votes") / F.col("grams"))
+    stands = F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(F.col("score") >= COVER)
     place = F.when(stands, F.struct("start", "end", "label", "base", "score"))
     out = merged.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.array_sort(F.collect_list(place)).alias("places"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from barlume.llm.common import materialize
+from barlume.llm.common import materialize, release
 from barlume.llm.simhash import MAX_BITS, SEED, components, links, majority, one_each
 
 SHINGLE = 5
@@ -206,23 +206,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     near = near.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
     edges = materialize(met.union(same).union(near).distinct(), "similar-candidates")
     roots = components(edges)
-    roots = roots.union(roots.select("root", "root").distinct()).toDF("t", "root")
-    asked = materialize(distinct.select("t", "n", "first_id").join(roots, "t").select("root", "t", "n", "first_id"), "similar-asked")
-
+    release(edges, prints)
+    members_of = roots.union(roots.select("root", "root").distinct()).toDF("t", "root")
+    asked = materialize(distinct.select("t", "n", "first_id").join(members_of, "t").select("root", "t", "n", "first_id"), "similar-asked")
     sizes = materialize(asked.groupBy("root").agg(_chunks(members, F.sum("n"), F.count("*")).alias("chunks")), "similar-sizes")
-    dealt = materialize(asked.join(sizes, "root"), "similar-dealt")
+    dealt = asked.join(sizes, "root")
     # the one time that texts of candidates leave their place; always by a shuffle, so that no size has another plan
     texts = rows.withColumnRenamed("t", "of").join(dealt.hint("merge"), (F.col("of") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = materialize(texts.select("root", "t", "chunks", "text"), "similar-texts")
+    release(roots)
     whole = texts.where("chunks = 1").select(F.col("root").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"), "text")
-    found = materialize(_compare(whole, k, similarity), "similar-linked")
-    large = dealt.where("chunks > 1").select("root", "t", "n", "chunks")
+    linked = materialize(_compare(whole, k, similarity), "similar-linked")
+    large, found, spent = dealt.where("chunks > 1").select("root", "t", "n", "chunks"), linked, [linked]
     if not large.isEmpty():
-        found = found.union(_large(large, distinct, texts.where("chunks > 1").select("t", "text"), k, similarity, members))
-    named = materialize(asked.select("t", "first_id").join(found, "t"), "similar-named")
-    least = materialize(named.groupBy("least").agg(F.min("first_id").alias("component_id")), "similar-least")
-    named = named.join(least, "least").select("t", "component_id")
-    return distinct.select("t", "first_id").join(named, "t", "left").select("t", F.coalesce("component_id", "first_id").alias("component_id"))
+        more = _large(large, distinct, texts.where("chunks > 1").select("t", "text"), k, similarity, members)
+        found = found.union(more)
+        spent.append(more)
+    release(texts)
+    least = materialize(asked.select("t", "first_id").join(found, "t").groupBy("least").agg(F.min("first_id").alias("component_id")), "similar-least")
+    named = found.join(least, "least").select("t", "component_id")
+    out = distinct.select("t", "first_id").join(named, "t", "left").select("t", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = materialize(out, "similar-groups")
+    release(distinct, asked, sizes, least, *spent)
+    return out
 
 
 def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, similarity: float, members: int) -> DataFrame:
@@ -234,8 +240,10 @@ def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, simi
     dealt = dealt.select(F.xxhash64("root", "chunk").alias("task"), F.lit(True).alias("asks"), "t", F.col("t").alias("known"))
     linked = materialize(_compare(dealt.join(texts, "t").select(*_ROW), k, similarity), "similar-chunks")
     edges = linked.where("t <> least").toDF("a", "b").distinct()
-    known = large.join(components(edges).toDF("t", "known"), "t", "left").select("root", "t", "n", F.coalesce("known", "t").alias("known"))
+    near = components(edges)
+    known = large.join(near.toDF("t", "known"), "t", "left").select("root", "t", "n", F.coalesce("known", "t").alias("known"))
     known = materialize(known, "similar-known")
+    release(near)
     parts = known.groupBy("root", "known").agg(F.count("*").alias("size"))
     main = parts.groupBy("root").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
     rest = known.join(main, "root").where("known <> main").drop("main")
@@ -247,17 +255,19 @@ def _large(large: DataFrame, distinct: DataFrame, texts: DataFrame, k: int, simi
     signs = materialize(known.join(distinct.select("t", "keys"), "t").select("t", "n", "known", F.explode("keys").alias("key")), "similar-signs")
     asking = rest.select("block", "t").join(signs.select("t", "key"), "t").select("block", "key").distinct()
     answer = signs.join(asking, "key").select("block", "t", "n", "known").distinct()
-    answer = answer.join(rest.select("block", "t"), ["block", "t"], "left_anti")
-    answer = materialize(answer, "similar-answer")
-    parts = answer.groupBy("block").agg(_chunks(members, F.sum("n"), F.count("*")).alias("parts"))
-    answer = answer.join(parts, "block").select("block", F.pmod(F.xxhash64("t", F.lit(4)), "parts").alias("part"), F.lit(False).alias("asks"), "t", "known")
+    found = materialize(answer.join(rest.select("block", "t"), ["block", "t"], "left_anti"), "similar-answer")
+    parts = found.groupBy("block").agg(_chunks(members, F.sum("n"), F.count("*")).alias("parts"))
+    answer = found.join(parts, "block").select("block", F.pmod(F.xxhash64("t", F.lit(4)), "parts").alias("part"), F.lit(False).alias("asks"), "t", "known")
     everywhere = rest.join(parts, "block", "left").select(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(True).alias("asks"), "t", "known"
     )
     asked = answer.union(everywhere).select(F.xxhash64("block", "part").alias("task"), "asks", "t", "known")
     more = materialize(_compare(asked.join(texts, "t").select(*_ROW), k, similarity), "similar-more")
-    edges = edges.union(more.where("t <> least").toDF("a", "b")).distinct()
-    return large.join(components(materialize(edges, "similar-edges")).toDF("t", "least"), "t", "left").select("t", F.coalesce("least", "t").alias("least"))
+    edges = materialize(edges.union(more.where("t <> least").toDF("a", "b")).distinct(), "similar-edges")
+    near = components(edges)
+    out = materialize(large.join(near.toDF("t", "least"), "t", "left").select("t", F.coalesce("least", "t").alias("least")), "similar-large")
+    release(linked, known, rest, signs, found, more, edges, near)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
@@ -266,5 +276,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat the kept id the one with the least text hash stays; rows without an id
     stay (nothing names them).
     """
-    kept = groups(docs, id_col, text_col, k, similarity, members).where("component_id is not null").select(F.col("component_id").alias("__kept_id")).distinct()
-    return one_each(docs, materialize(kept, "similar-kept"), id_col, text_col)
+    found = groups(docs, id_col, text_col, k, similarity, members)
+    kept = materialize(found.where("component_id is not null").select(F.col("component_id").alias("__kept_id")).distinct(), "similar-kept")
+    release(found)
+    return one_each(docs, kept, id_col, text_col)

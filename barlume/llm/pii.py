@@ -3,26 +3,31 @@
 Base spans come from strict patterns with checks (octets, Luhn, digit counts). Besides, four
 generous generators propose overlapping candidates: strings around an at sign, dotted number groups,
 long groups of digits with separators, and addresses whose marks are spelled out. Each is
-described by eight small integers of format and context. Gradient-boosted trees of depth two tell
+described by seven small integers of format and context. Gradient-boosted trees of depth two tell
 personal data from the rest. What they learn from is not what the patterns know alone:
 
 * positive are candidates that a pattern confirms, each also with the mark gone by which
   the pattern knows it (a phone number without its plus and country code, an address with its
   marks spelled out), so that the format and context around remain to be learnt;
-* negative are candidates that no pattern confirms and before which no word of contact stands;
-* unconfirmed ones after such a word are neither: they are judged, not learnt from.
+* negative are candidates that no pattern confirms;
+* those of them before which a word of contact stands are unlabelled rather than negative, and count as
+  ``UNSURE`` of a negative, the share of them taken to be no personal data.
 
-On documents held out by hash an isotonic fit turns scores into probabilities, and the lowest score
-whose probability is ``SURE`` or more is the threshold for redacting candidates that no base span
-covers. A corpus where a format mostly stands for something else thus keeps it unredacted.
+The word of contact is evidence for a label only and never a feature: as a feature it would give the label
+away, and whatever follows "call" would be redacted.
 
-The features take at most ``SIZES`` multiplied values, 17,280, so the counts per value (of all
+On documents held out by hash an isotonic fit turns scores into probabilities, over all three kinds, and
+the lowest score whose probability is ``SURE`` or more is the threshold for redacting candidates that no base
+span covers. A corpus where a format mostly stands for something else thus keeps it unredacted.
+
+The features take at most ``SIZES`` multiplied values, 8,640, so the counts per value (of all
 candidates) are all that training needs; that table, and nothing that grows with the corpus, comes
 to the driver, and the model goes out as one bit per value. Scanning and scoring are native
 expressions without a shuffle.
 
 Defined results: a null text is empty and has no spans; rows stay one to one, repeated rows
-included; without candidates of both kinds no span is added; other columns are untouched.
+included; without candidates of both kinds no span is added; the other columns
+stay, but for one of the new column's name (``out_col``), which it replaces.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlume.llm import spans
+from barlume.llm.common import materialize
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -54,9 +60,9 @@ GENERATORS = (
 HINTS = (r"@", None, None, r"[\[(]\x20?[aA][tT]\x20?[\])]")
 ANY_HINT = r"[0-9@\[(]"
 CUES = r"(?i)mail|phone|mobile|fax|tel|call|reach|card|visa|addr|contact|\bip\b"
-FEATURES = ("generator", "digits", "marks", "plus", "length", "before", "after", "cue")
-SIZES = (4, 6, 5, 2, 4, 3, 3, 2)
-ROUNDS, RATE, SURE, HELD_OUT = 40, 0.3, 0.95, 5
+FEATURES = ("generator", "digits", "marks", "plus", "length", "before", "after")
+SIZES = (4, 6, 5, 2, 4, 3, 3)
+ROUNDS, RATE, SURE, UNSURE, HELD_OUT = 40, 0.3, 0.95, 0.5, 5
 LEAST_HELD = 20  # candidates that a probability must rest on
 
 
@@ -95,10 +101,10 @@ def _bucket(n: Column, bounds: tuple[int, ...]) -> Column:
 
 #: What is taken from a confirmed phone number to learn its format without the mark that gives it away.
 PLUS = r"^\+[0-9]{1,3}[\x20.-]?"
-CANDIDATE = f"array<struct<start:int,end:int,covered:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
+CANDIDATE = f"array<struct<start:int,end:int,covered:boolean,cue:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
 
 
-def _describe(g: Column, t: Column, before: Column, after: Column, cue: Column) -> list[Column]:
+def _describe(g: Column, t: Column, before: Column, after: Column) -> list[Column]:
     n = F.length(_digits(t))
     marks = (
         F.when(F.rlike(t, F.lit(r"[^0-9\x20().+-]")), 4)
@@ -115,14 +121,14 @@ def _describe(g: Column, t: Column, before: Column, after: Column, cue: Column)
         _bucket(F.length(t), (10, 16, 24)),
         before,
         after,
-        cue,
     )
     return [v.cast("int").alias(k) for k, v in zip(FEATURES, values, strict=True)]
 
 
 def candidates(text: Column, base: Column, learn: bool = False) -> Column:
-    """array<struct<start, end, covered, the eight features>> of all generators; ``covered``: a span of
-    ``base`` overlaps it. With ``learn``: also spans of ``base`` as they look without their mark."""
+    """array<struct<start, end, covered, cue, the features>> of all generators; ``covered``: a span of ``base``
+    overlaps it; ``cue``: a word of contact stands before. With ``learn``: also spans of ``base`` as they look without
+    their mark, all ``covered``."""
 
     def as_found(some: Column, g: Column, known: bool, change=lambda t: t) -> Column:
         return F.transform(some, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), change(x["text"]).alias("text"), g.alias("g"), F.lit(known).alias("known")))
@@ -138,8 +144,8 @@ def candidates(text: Column, base: Column, learn: bool = False) -> Column:
         def one(x: Column) -> Column:
             lead = spans.cut(once["pieces"], F.greatest(x["start"] - 24, F.lit(0)), x["start"])
             after = _edge(spans.cut(once["pieces"], x["end"], x["end"] + 1))
-            features = spans.bound(lead, lambda b: F.array(_edge(F.right(b, F.lit(1))), F.rlike(b, F.lit(CUES)).cast("int")))
-            values = spans.bound(features, lambda c: F.struct(*_describe(x["g"], x["text"], F.get(c, F.lit(0)), after, F.get(c, F.lit(1)))))
+            ahead = F.struct(_edge(F.right(lead, F.lit(1))).alias("edge"), F.rlike(lead, F.lit(CUES)).alias("cue"))
+            values = spans.bound(ahead, lambda a: F.struct(a["cue"].alias("cue"), *_describe(x["g"], x["text"], a["edge"], after)))
             return F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["known"] | covered(x)).alias("covered"), values.alias("f"))
 
         return one
@@ -148,7 +154,7 @@ def candidates(text: Column, base: Column, learn: bool = False) -> Column:
         starts = F.transform(base, lambda some: F.struct(F.transform(some, lambda b: b["start"]).alias("starts"), some.alias("spans")))
         once = F.struct(spans.chunks(text).alias("pieces"), starts.alias("base"))
         described = spans.bound(once, lambda o: F.transform(found, describe(o)))
-        flat = F.transform(described, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["covered"].alias("covered"), *(x["f"][f].alias(f) for f in FEATURES)))
+        flat = F.transform(described, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["covered"].alias("covered"), *(x["f"][f].alias(f) for f in ("cue", *FEATURES))))
         return F.when(F.size(found) > 0, flat).otherwise(F.array().cast(CANDIDATE))
 
     found = F.transform(spans.matches_all(text, [(p, h and F.rlike(text, F.lit(h))) for p, h in zip(GENERATORS, HINTS, strict=True)]), lambda some, g: as_found(some, g, False))
@@ -232,9 +238,9 @@ def isotonic(scores: np.ndarray, pos: np.ndarray, n: np.ndarray) -> list[tuple[f
 
 
 def boost(rows: list[tuple]) -> Model:
-    """From (features..., held out, positive, negative): trees and threshold."""
-    table = np.array(rows, dtype=np.int64).reshape(-1, len(FEATURES) + 3)
-    x, held, pos, neg = table[:, :8], table[:, 8] > 0, table[:, 9].astype(float), table[:, 10].astype(float)
+    """From (features..., held out, positive, negative): trees and threshold. Counts may be fractions."""
+    table, k = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES) + 3), len(FEATURES)
+    x, held, pos, neg = table[:, :k].astype(np.int64), table[:, k] > 0, table[:, k + 1], table[:, k + 2]
     learn = ~held
     if not pos[learn].sum() or not neg[learn].sum() or not held.any():
         return Model()
@@ -253,31 +259,61 @@ def boost(rows: list[tuple]) -> Model:
     return m
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trains on every candidate of ``docs``."""
+def _candidates_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, held, base, candidates) of every row, to learn from and to judge: texts are read once for both."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = (F.pmod(F.xxhash64(id_col, text), F.lit(HELD_OUT)) == 0).cast("int")
-    rows = docs.where(F.rlike(text, F.lit(ANY_HINT))).select(held.alias("held"), F.explode(spans.bound(base_spans(text), lambda base: candidates(text, base, learn=True))).alias("x"))
-    counted = rows.groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES), "held").agg(
-        F.count_if(F.col("x.covered")).alias("pos"), F.count_if(~F.col("x.covered") & (F.col("x.cue") == 0)).alias("neg")
+    some = F.rlike(text, F.lit(ANY_HINT))
+    both = spans.bound(base_spans(text), lambda base: F.struct(_ordered(base).alias("base"), candidates(text, base, learn=True).alias("candidates")))
+    kept = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.when(some, both).alias("x"))
+    return kept.select("id", "held", F.coalesce("x.base", F.array().cast(FOUND)).alias("base"), F.coalesce("x.candidates", F.array().cast(CANDIDATE)).alias("candidates"))
+
+
+def _learnt(rows: DataFrame) -> Model:
+    """From ``held`` and ``candidates``."""
+    counted = rows.select("held", F.explode("candidates").alias("x")).groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES), "held").agg(
+        F.count_if(F.col("x.covered")).alias("pos"), F.sum(F.when(F.col("x.covered"), 0.0).when(F.col("x.cue"), UNSURE).otherwise(1.0)).alias("neg")
     )
-    return boost([tuple(r) for r in counted.collect()])  # at most 2 * 17,280 rows
+    return boost([tuple(r) for r in counted.collect()])  # at most 2 * 8,640 rows
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Trains on every candidate of ``docs``."""
+    return _learnt(_candidates_of(docs, id_col, text_col))
+
+
+FOUND = "array<struct<start:int,order:int,end:int,kind:string>>"
+
+
+def _ordered(base: Column) -> Column:
+    known = F.array_sort(F.transform(spans.labelled(base, KINDS[:4]), lambda x: F.struct(x["order"], x["start"], x["end"], x["kind"])))
+    return F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+
+def _added(some: Column, model: Model) -> Column:
+    """The spans of candidates that no base span covers and the model accepts."""
+    extra = F.filter(some, lambda x: ~x["covered"] & model.column(x))
+    extra = F.array_sort(F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("order"), x["end"].alias("end"), F.lit(KINDS[4]).alias("kind"))))
+    return spans.bound(extra, lambda e: F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1) != x)))  # two generators may find the same
 
 
 def found_spans(text: Column, model: Model) -> Column:
     """array<struct<start, order, end, kind>>: base spans and the model's, by kind, then place."""
 
     def every(base: Column) -> Column:
-        known = F.array_sort(F.transform(spans.labelled(base, KINDS[:4]), lambda x: F.struct(x["order"], x["start"], x["end"], x["kind"])))
-        known = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))
         if not model.accepted().any():
-            return known
-        extra = F.filter(candidates(text, base), lambda x: ~x["covered"] & model.column(x))
-        extra = F.array_sort(F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("order"), x["end"].alias("end"), F.lit(KINDS[4]).alias("kind"))))
-        alone = spans.bound(extra, lambda e: F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1) != x)))  # two generators may find the same
-        return F.concat(known, alone)
+            return _ordered(base)
+        return F.concat(_ordered(base), _added(candidates(text, base), model))
+
+    return F.when(F.rlike(text, F.lit(ANY_HINT)), spans.bound(base_spans(text), every)).otherwise(F.array().cast(FOUND))
+
 
-    return F.when(F.rlike(text, F.lit(ANY_HINT)), spans.bound(base_spans(text), every)).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pii): all spans of every row of ``docs``, by kind, then place. Trains on ``docs``; candidates are written
+    once, so that learning and judging read no text a second time."""
+    rows = materialize(_candidates_of(docs, id_col, text_col), "pii-candidates")
+    model = _learnt(rows)
+    return rows.select("id", F.concat("base", _added(F.col("candidates"), model)).alias("pii") if model.accepted().any() else F.col("base").alias("pii"))
 
 
 def redact(text: Column, found: Column) -> Column:
@@ -299,14 +335,18 @@ def redact(text: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, spans.bound(F.array_sort(found), once)).otherwise(text)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``docs`` with a column ``pii``: all spans, by kind, then place. Trains on ``docs`` unless given a model."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, out_col: str = "pii") -> DataFrame:
+    """``docs`` with a column ``out_col`` (in place of one of that name): all spans, by kind, then place. Trains on
+    ``docs`` unless given a model."""
     model = model or fit(docs, id_col, text_col)
-    return docs.withColumn("pii", found_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model))
+    return docs.withColumn(out_col, found_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; a null text stays null."""
     model = model or fit(docs, id_col, text_col)
-    found = docs.withColumn("__pii", found_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model))
-    return found.withColumn(text_col, redact(F.col(text_col), F.col("__pii"))).drop("__pii")
+    own = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    clear = F.col(f"`{text_col}`")
+    found = docs.select(F.struct(*own).alias("row") if own else F.lit(None).alias("row"), clear.alias("text"), found_spans(F.coalesce(clear.cast("string"), F.lit("")), model).alias("pii"))
+    new = redact(F.col("text"), F.col("pii"))
+    return found.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

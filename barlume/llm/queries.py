@@ -33,7 +33,7 @@ def _of(found: str, kind: str):
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    found = secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "secrets")
     base = F.filter("secrets", lambda x: x["order"] < 3)
     return found.select(
         "doc_id",
@@ -44,7 +44,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    found = pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     base = F.filter("pii", lambda x: x["order"] < 4)
     return found.select(
         "doc_id",
@@ -145,13 +145,19 @@ def _licenses_sql() -> str:
             '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
         g AS (SELECT doc_id, p AS pos, words[p + 1] AS a, words[p + 2] AS b FROM w, unnest(range(len(words) - 1)) AS u(p)),
         d AS (SELECT doc_id, template, pos - tpos AS diagonal, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams,
-                any_value(slack) AS slack, list(DISTINCT tpos) AS seen, min(pos) AS f, max(pos) AS l
+                any_value(slack) AS slack, list(DISTINCT tpos) AS seen, len(list(DISTINCT tpos)) AS n
             FROM g JOIN t USING (a, b) GROUP BY doc_id, template, pos - tpos HAVING any_value(base) OR count(DISTINCT tpos) >= {licenses.VOTES}),
-        r AS (SELECT *, sum(CASE WHEN diagonal - before <= slack THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run
-            FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM d)),
-        m AS (SELECT doc_id, template, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams,
-                len(list_distinct(flatten(list(seen)))) AS votes, min(f) AS start, max(l) + {k} AS stop FROM r GROUP BY doc_id, template, run),
-        p AS (SELECT * FROM m WHERE CASE WHEN base THEN votes = grams ELSE votes / grams >= {licenses.COVER} AND stop - start <= 2 * (grams + 1) END)
+        peaks AS (SELECT * FROM d WHERE base OR NOT EXISTS (SELECT 1 FROM d x WHERE x.doc_id = d.doc_id AND x.template = d.template
+                AND abs(x.diagonal - d.diagonal) <= d.slack AND (x.n > d.n OR x.n = d.n AND x.diagonal < d.diagonal))),
+        near AS (SELECT p.doc_id, p.template, p.diagonal AS peak, d.diagonal, list_filter(d.seen, lambda s: NOT list_contains(p.seen, s)) AS more
+            FROM d JOIN peaks p ON p.doc_id = d.doc_id AND p.template = d.template AND NOT d.base AND p.diagonal <> d.diagonal AND abs(p.diagonal - d.diagonal) <= d.slack
+            QUALIFY row_number() OVER (PARTITION BY d.doc_id, d.template, d.diagonal ORDER BY abs(p.diagonal - d.diagonal), p.diagonal) = 1),
+        extra AS (SELECT doc_id, template, peak, list_distinct(flatten(list(more))) AS more, min(diagonal + list_min(more)) AS f, max(diagonal + list_max(more)) AS l
+            FROM near n WHERE len(more) >= {licenses.VOTES} AND NOT EXISTS (SELECT 1 FROM peaks p WHERE p.doc_id = n.doc_id AND p.template = n.template AND p.diagonal = n.diagonal)
+            GROUP BY ALL),
+        m AS (SELECT d.doc_id, d.template, label, base, grams, n + coalesce(len(more), 0) AS votes, least(diagonal + list_min(seen), f) AS start
+            FROM peaks d LEFT JOIN extra e ON e.doc_id = d.doc_id AND e.template = d.template AND e.peak = d.diagonal),
+        p AS (SELECT * FROM m WHERE CASE WHEN base THEN votes = grams ELSE votes / grams >= {licenses.COVER} END)
         SELECT w.doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base,
             CAST(min(start) FILTER (base) AS BIGINT) AS first_word, CAST(max(start) FILTER (base) AS BIGINT) AS last_word,
             coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,

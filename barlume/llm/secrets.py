@@ -10,7 +10,8 @@ words and camel case are not. An allow-list suppresses what only looks random. E
 native expressions.
 
 Defined results: a null text is empty and has no spans; rows stay one to one, repeated rows
-included; other columns are untouched by ``scan``.
+included; ``scan`` leaves the other columns as they are, but for one of the new column's name
+(``out_col``), which it replaces.
 """
 
 from __future__ import annotations
@@ -106,8 +107,8 @@ def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     return F.filter(spans.matches(text, CANDIDATE, _long_run(text)), lambda x: _random(x["text"], allow))
 
 
-def scan(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``df`` with a column ``secrets``: array<struct<start, order, end, kind>>, by place, then kind."""
+def scan(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW, out_col: str = "secrets") -> DataFrame:
+    """``df`` with a column ``out_col``: array<struct<start, order, end, kind>>, by place, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = spans.matches_all(text, [(ASSIGN, None), (ACCESS, text.contains("AKIA")), (HEX, None), (CANDIDATE, _long_run(text))])
 
@@ -116,4 +117,4 @@ def scan(df: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW)
         return F.when(k == 0, value).when(k == 3, _random(x["text"], allow)).otherwise(F.lit(True))
 
     found = F.transform(found, lambda some, k: F.filter(some, lambda x: holds(x, k)))
-    return df.withColumn("secrets", F.array_sort(spans.labelled(found, KINDS)))
+    return df.withColumn(out_col, F.array_sort(spans.labelled(found, KINDS)))

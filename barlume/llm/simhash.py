@@ -14,6 +14,11 @@ open bits, so at most 16,384 distinct fingerprints can meet there, whatever the
 From each bucket only a spanning forest of its links is emitted, never all pairs; the
 components of that forest are those of all links.
 
+A key that a large family shares would still stream through one task before it is cut. So keys that
+show up ``HOT_HITS`` times among one in ``HOT_SAMPLE`` fingerprints go to the next level where they lie,
+without meeting first. The sample only chooses the way: either way finds the same links. There are at most
+64 n / (HOT_SAMPLE * HOT_HITS) such keys, 8 bytes each, for n fingerprints.
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other;
 repeated rows give repeated output rows; a null id takes part in linking, but the smallest
 non-null id names the component (null if there is none); other columns are ignored.
@@ -21,6 +26,7 @@ non-null id names the component (null if there is none); other columns are ignor
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barlume.llm.common import materialize
+from barlume.llm.common import materialize, release, renamed
 
 SEED = 42
 MAX_BITS = 3
 BUCKET = 1024
+#: One in so many fingerprints is looked at to find keys that very many share, and so many of them make a key hot.
+HOT_SAMPLE = 4096
+HOT_HITS = 256
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -144,7 +153,13 @@ def _slots(n: int) -> F.Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")
 
 
-def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
+def _hot(keyed: DataFrame, sample: int, hits: int) -> DataFrame:
+    """(key): those of ``keyed`` (key, fp) that very many fingerprints share, told from one in ``sample`` of them."""
+    some = keyed.where(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(sample)) == 0)
+    return some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hits).select("key")
+
+
+def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET, sample: int = HOT_SAMPLE, hits: int = HOT_HITS) -> DataFrame:
     """(a, b): enough links among the rows of ``distinct`` (fp, distinct) for all their components.
 
     Keys are longs: at the first level slot (segment, open bit) and segment, 38 bits; at the
@@ -156,15 +171,23 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> Da
     first = distinct.select("fp", _slots(64)).select(
         F.expr("(cast(s as bigint) << 32) | (shiftrightunsigned(fp, 32 * (s div 32)) & 4294967295L & ~shiftleft(1L, s % 32))").alias("key"), "fp"
     )
-    met = materialize(_meet(first, bits, bucket), "simhash-links")
+    hot = materialize(_hot(first, sample, hits), "simhash-hot")
+    rest, aside = first, None
+    if not hot.isEmpty():
+        aside = first.join(hot, "key", "left_semi")
+        rest = first.join(hot, "key", "left_anti")
+    met = materialize(_meet(rest, bits, bucket), "simhash-links")
+    used = [hot, met]
     found = met.where("key is null").select("a", "b")
     large = met.where("key is not null").select("key", F.col("a").alias("fp"))
+    large = large if aside is None else large.unionByName(aside.select("key", "fp"))
     if not large.isEmpty():
         base = "32 * (1 - cast(shiftright(key, 32) as int) div 32)"  # where the other segment starts
         second = large.select("key", "fp", F.expr(base).cast("int").alias("base"), _slots(32)).select(
             F.expr("(key << 21) | (cast(s as bigint) << 16) | (shiftrightunsigned(fp, cast(base + 16 * (s div 16) as int)) & 65535L & ~shiftleft(1L, s % 16))").alias("key"), "fp"
         )
         met = materialize(_meet(second, bits, bucket), "simhash-links2")
+        used.append(met)
         found = found.union(met.where("key is null").select("a", "b"))
         large = met.where("key is not null").select("key", F.col("a").alias("fp"))
         if not large.isEmpty():
@@ -173,7 +196,9 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> Da
                 F.expr("xxhash64(key, s, shiftrightunsigned(fp, cast(base + 4 * s as int)) & 15L)").alias("key"), "fp"
             )
             found = found.union(_meet(third, bits, None).select("a", "b"))
-    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
+    edges = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
+    release(*used)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,17 +211,18 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    was = None
+    was, last = None, None
     while True:  # every step lowers a node's neighbour or leaves all as it was, so this ends
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-low")
         large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "star-large")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "star-low")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "star")
-        seen = state(now)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "star-least")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "star")
+        release(low, large, least, *([last] if last is not None else []))
+        seen, last = state(now), now
         if seen == was:
-            return now.toDF("node", "root")
+            return renamed(now, "node", "root")
         was = seen
 
 
@@ -204,7 +230,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, id_col, text_col, k), "simhash-fp")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), bits, bucket))
+    edges = links(distinct.select("fp"), bits, bucket)
+    roots = components(edges)
+    release(edges)
     member = materialize(
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-member"
     )
@@ -214,15 +242,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialize(
         member.join(least, "root", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "simhash-known"
     )
+    release(distinct, roots, member, least)
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of ``docs`` for each id in ``kept`` (__kept_id), the one with the least hash of
     text and then of the whole row, and all rows without an id."""
-    rows = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    kept = kept.toDF(f"__kept_{uuid.uuid4().hex}")
+    rows = docs.join(kept, docs[id_col] == kept[kept.columns[0]], "left_semi")
     order = [F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])]
-    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("__row = 1").drop("__row")
+    row = f"__row_{uuid.uuid4().hex}"
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col(row) == 1).drop(row)
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 

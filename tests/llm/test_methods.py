@@ -265,6 +265,52 @@ def test_trees_find_personal_data_that_no_pattern_has(spark):
     assert all(back[i] == text_of[i].replace(planted[i], "[PII]") for i in hit)
 
 
+@pytest.mark.parametrize("also_elsewhere", [True, False])
+def test_numbers_after_words_of_contact_stay(spark, also_elsewhere):
+    """Dates and codes after "call" or "card" are no personal data for that word; planted forms are still found."""
+    rng = random.Random(7)
+    name = lambda: random_token(rng, string.ascii_lowercase, 6)
+    area = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows, clean, planted = [], set(), {}
+    for i in range(3000):
+        date = f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}"
+        kind = i % 6
+        if kind == 0:
+            text = f"please call +1 {area()} or write to {name()}@{name()}.org now"
+        elif kind == 1:
+            clean.add(i)
+            text = f"we call {date} the release day of {name()}"
+        elif kind == 2:
+            clean.add(i)
+            text = f"the visa card shop sold lot 4{rng.randint(10**14, 10**15 - 1)} and mail bag {rng.randint(10**15, 10**16 - 1)}"
+        elif kind == 3 and also_elsewhere:
+            clean.add(i)
+            text = f"it was shipped on {date} to {name()}"
+        elif kind == 4 and i % 5 == 0:
+            planted[i] = area() if i % 2 else f"{name()} [at] {name()} [dot] org"
+            text = f"you reach her by {planted[i]} at home"
+        else:
+            text = f"nothing to see for {name()} here"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.find(docs.where(~F.col("doc_id").isin(*planted))).collect()}
+    # 16 digits that pass Luhn are a card by the contract, whatever they stand for
+    stay = [i for i in clean if not any(k == "pii" for k, *_ in found[i])]
+    assert len(stay) >= 0.99 * len(clean), (len(stay), len(clean))
+    m = pii.fit(docs.where(~F.col("doc_id").isin(*planted)))
+    spans_of = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.scan(docs, model=m).collect()}
+    assert all(spans_of[i] == found[i] for i in found)
+    hit = [i for i, t in planted.items() if ("pii", rows[i][1].index(t), rows[i][1].index(t) + len(t)) in spans_of[i]]
+    assert len(hit) >= 0.9 * len(planted), (len(hit), len(planted))
+
+
+def test_new_columns_replace_those_of_their_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cc", "mine", 5, 6)], "doc_id long, text string, pii string, row int, __pii int")
+    got = pii.scan(docs, out_col="spans_of").first()
+    assert (got.pii, got.row, got["__pii"], got.spans_of[0].kind) == ("mine", 5, 6, "email")
+    assert pii.redacted(docs).first().asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "pii": "mine", "row": 5, "__pii": 6}
+
+
 def test_scores_in_the_plan_are_the_trees(spark):
     rng = np.random.default_rng(0)
     x = np.stack([rng.integers(0, n, 500) for n in pii.SIZES], axis=1)
@@ -385,3 +431,33 @@ def test_chat_layouts(spark):
     assert len({r.schema_fingerprint for r in got.values()}) == 6
     f = got[4].formatted
     assert [f[s.start : s.end] for s in got[4].loss_spans] == ["<\\|im_end|>\n\\\\<\\|"]
+
+
+def _verbatim(words: list[str], part: list[str]) -> list[int]:
+    return [i for i in range(len(words) - len(part) + 1) if words[i : i + len(part)] == part]
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(licenses.NOT_WORD, text.lower()) if w]
+
+
+def test_licenses_that_follow_each_other_are_all_found(spark):
+    """Each template one to ten times in a row, and files of many texts, against a search for verbatim copies."""
+    rng = random.Random(3)
+    known = [(label, " ".join(w)) for _, label, base, w in licenses.templates() if not base]
+    rows = [(10 * i + n, " ".join([text] * n)) for i, (_, text) in enumerate(known) for n in range(1, 11)]
+    filler = "the of and to in is you this for software license any be by with".split()
+    for i in range(60):
+        parts = []
+        for _ in range(12):
+            parts += [rng.choice(known)[1], " ".join(rng.choice(filler) for _ in range(rng.choice([0, 0, 5, 60])))]
+        rows.append((1000 + i, " ".join(parts)))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        words = _words(text)
+        found = {(p.label, p.start, p.end) for p in got[i].places if not p.base and p.score == 1}
+        for label, part in known:
+            n = len(_words(part))
+            missing = [(label, at, at + n) for at in _verbatim(words, _words(part)) if (label, at, at + n) not in found]
+            assert not missing, (i, missing)
+        assert all(p.end - p.start <= 2 * max(len(_words(t)) for _, t in known) for p in got[i].places)

@@ -22,9 +22,9 @@ def groups(fps):
     return seen
 
 
-def check(spark, fps, bucket):
+def check(spark, fps, bucket, **hot):
     df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "doc_id long, fp long")
-    edges = simhash.links(df.select("fp").distinct(), bucket=bucket)
+    edges = simhash.links(df.select("fp").distinct(), bucket=bucket, **hot)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     want = groups(fps)
     of = lambda f: roots.get(int(np.uint64(f).astype(np.int64)), int(np.uint64(f).astype(np.int64)))
@@ -82,3 +82,15 @@ def test_fingerprint_is_xxhash64_majority(spark):
     text = "Alpha beta Gamma delta"
     row = spark.createDataFrame([(text,)], "t string").select(F.xxhash64(F.lit("alpha beta gamma")).alias("a"), F.xxhash64(F.lit("beta gamma delta")).alias("b")).first()
     assert simhash.fingerprint(text) == (row.a & row.b) & (2**64 - 1)
+
+
+def test_keys_of_large_families_skip_their_first_meeting(spark):
+    """Keys told hot by the sample are cut where they lie; the links are those of a full comparison."""
+    rng = random.Random(11)
+    fps = family(rng, 3, 60, 3) + [rng.getrandbits(64) for _ in range(60)]
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in set(fps)], "fp long")
+    keyed = df.withColumn("key", F.expr("shiftrightunsigned(fp, 40)"))
+    many = keyed.groupBy("key").count().where("count >= 5").count()
+    assert simhash._hot(keyed, 1, 5).count() == many > 0
+    check(spark, fps, 16, sample=1, hits=5)
+    check(spark, fps, 1024, sample=2, hits=2)
