@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlume.llm import bpe, decontam, minhash, pii, quality
-from barlume.llm.common import materialize, table
+from barlume.llm.common import materialize, release, table
 from barlume.plans.deploy import ship
 
 
@@ -70,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
