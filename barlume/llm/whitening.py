@@ -84,15 +84,20 @@ class Model:
     sums: list[int]
     values: np.ndarray
     axes: np.ndarray
-    trace: float
+    variances: np.ndarray
     identity_error: float | None = None
 
+    @property
+    def trace(self) -> float:
+        return float(self.variances.sum())
+
     def scaled(self, components: int) -> np.ndarray:
-        """Whitening matrix: a row of NaN where the eigenvalue is zero up to rounding."""
-        e = self.values[:components]
-        ok = e > max(1, self.width) * np.finfo(np.float64).eps * max(self.trace, 0.0)
+        """Whitening matrix: a row of NaN where the eigenvalue is zero up to the rounding of the variances that it mixes."""
+        e, axes = self.values[:components], self.axes[:components]
+        mixed = (np.abs(axes) @ np.sqrt(np.maximum(self.variances, 0.0))) ** 2
+        ok = e > max(1, self.width) * np.finfo(np.float64).eps * mixed
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(ok[:, None], self.axes[:components] / np.sqrt(e)[:, None], np.nan)
+            return np.where(ok[:, None], axes / np.sqrt(e)[:, None], np.nan)
 
     @property
     def mean(self) -> np.ndarray:
@@ -130,10 +135,10 @@ def fit(x: DataFrame, components: int = COMPONENTS) -> Model | None:
 
     got = {r.dim: int(r.total) for r in _summed(rows, sums, "dim", "total decimal(38,0)")}
     n, total = got[-1], [got[d] for d in range(width)]
-    model = Model(n, width, total, np.zeros(0), np.zeros((0, 0)), 0.0)
+    model = Model(n, width, total, np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     scatter = _second_moment(rows, width, model.mean, np.eye(width)) / n
     values, axes = jacobi(scatter)
-    model = Model(n, width, total, values, axes, float(np.trace(scatter)))
+    model = Model(n, width, total, values, axes, np.diag(scatter).copy())
     k = min(components, width)
     matrix = model.scaled(k)
     use = ~np.isnan(matrix).any(axis=1) if k else np.zeros(0, bool)
@@ -141,7 +146,7 @@ def fit(x: DataFrame, components: int = COMPONENTS) -> Model | None:
     if use.any():
         identity = _second_moment(rows, width, model.mean, matrix[use]) / n
         error = float(np.abs(identity - np.eye(int(use.sum()))).max())
-    return Model(n, width, total, values, axes, model.trace, error)
+    return Model(n, width, total, values, axes, model.variances, error)
 
 
 def _second_moment(rows: DataFrame, width: int, mean: np.ndarray, matrix: np.ndarray) -> np.ndarray:

@@ -36,42 +36,95 @@ def test_myers_is_edit_distance():
             assert got[1] == want[1]
 
 
-def test_matches_are_those_within_the_budget():
+def found(spark, docs, items, **more):
+    """doc_id -> {item_id: (distance, start, end)}."""
+    rows = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], "doc_id long, text string, h string, part int").repartition(5)
+    out = {i: {} for i, _ in docs}
+    for r in decontam.leaks(rows, spark.createDataFrame(items, "item_id long, text string").repartition(3), **more).collect():
+        out[r.doc_id][r.item_id] = (r.distance, r.start, r.end)
+    return out
+
+
+@pytest.mark.parametrize("group", [decontam.GROUP, 2])
+def test_matches_are_those_within_the_budget(spark, group):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.choice([12, 20, 45])))) for i in range(12)]
-    matcher = decontam.Matcher(items)
-    for i, text in items:
+    items = [(i, " ".join(word() for _ in range(rng.choice([12, 20, 45])))) for i in range(8 if group > 2 else 4)]
+    docs = []
+    for _, text in items:
         for edits in (0, 1, 3, 5, 30):
             bad = list(text.upper())
             for _ in range(edits):
                 at = rng.randrange(len(bad))
                 bad[at : at + 1] = rng.choice([[], ["z"], [bad[at], "q"]])
-            doc = " ".join(word() for _ in range(50)) + " \n" + "".join(bad) + ", " + " ".join(word() for _ in range(50))
-            got = matcher.match(doc)
-            norm = decontam.normalise(doc)
-            for j, other in items:
-                want = [distance(u, norm)[0] for u in decontam.units(other)]
-                ok = [d <= decontam.budget(u) for d, u in zip(want, decontam.units(other), strict=True)]
-                assert (j in got) == any(ok), (i, j, edits)
-    assert matcher.match(None) == {} and matcher.match("") == {}
-
-
-def test_quotes_and_short_items_are_found():
+            docs.append((len(docs), " ".join(word() for _ in range(50)) + " \n" + "".join(bad) + ", " + " ".join(word() for _ in range(50))))
+    got = found(spark, [*docs, (900, None), (901, "")], items, group=group)
+    assert got[900] == got[901] == {}
+    for i, doc in docs:
+        norm = decontam.normalise(doc)
+        for j, other in items:
+            want = [distance(u, norm)[0] for u in decontam.units(other)]
+            ok = [d for d, u in zip(want, decontam.units(other), strict=True) if d <= decontam.budget(u)]
+            assert (got[i].get(j, (None,))[0]) == (min(ok) if ok else None), (i, j)
+
+
+def test_quotes_and_short_items_are_found(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(26, 90)))) for i in range(40)] + [(None, "Who, then, won?"), (98, "two words"), (99, "")]
-    matcher = decontam.Matcher(items)
-    for i, text in items[:40]:
+    items = [(i, " ".join(word() for _ in range(rng.randint(26, 90)))) for i in range(40)] + [(None, "Who, then, won?"), (98, "two words"), (99, ""), (97, None)]
+    docs = []
+    for _, text in items[:40]:
         w = text.split()
         n = min(len(w), decontam.UNIT_WORDS + decontam.STRIDE - 1)
         for _ in range(10):
             at = rng.randrange(len(w) - n + 1)
-            quote = " ".join([*(word() for _ in range(30)), *w[at : at + n], *(word() for _ in range(30))])
-            assert i in matcher.match(quote)
-        assert matcher.match(" ".join(word() for _ in range(200))) == {}
-    assert matcher.match("so who then won it") == {None: (0, 3, 15)}
-    assert matcher.match("so who then wonders two words") == {} == matcher.match("xwho then won")
+            docs.append((len(docs), " ".join([*(word() for _ in range(30)), *w[at : at + n], *(word() for _ in range(30))])))
+    docs += [(1000 + i, " ".join(word() for _ in range(200))) for i in range(10)]
+    docs += [(2000, "so who then won it"), (2001, "so who then wonders two words"), (2002, "xwho then won"), (2003, "Who then won"), (2004, "x" * 50 + " who then won")]
+    got = found(spark, docs, items)
+    assert all(i // 10 in got[i] for i in range(400)) and not any(got[1000 + i] for i in range(10))
+    assert got[2000] == {None: (0, 3, 15)} and got[2001] == {} == got[2002] and got[2003] == {None: (0, 0, 12)} and got[2004] == {None: (0, 51, 63)}
+
+
+def test_a_shared_lead_costs_no_more_for_more_items(spark):
+    """Of many items with one lead only those are compared whose own words stand in the window."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    lead = "which of the following statements about the passage below is most likely true"
+    items = [(i, f"{lead} {' '.join(word() for _ in range(10))}") for i in range(800)]
+    asked = []
+    plain = decontam.myers
+    for n in (50, 200, 800):
+        known = decontam.Pieces()
+        for i, text in items[:n]:
+            (unit,) = decontam.units(text)
+            for at, p in decontam.pieces(unit, decontam.budget(unit)):
+                if at == 0:
+                    known.add(i, unit, decontam.budget(unit), p, 0)
+        seen = []
+        decontam.myers = lambda *a: seen.append(1) or plain(*a)
+        try:
+            target = decontam.normalise(items[7][1]).replace("e", "x", 2)
+            near = f"{lead[:30]} {target[31:]} and so on"
+            assert 7 in {uid for uid, *_ in known.match(0, 0, near)} or decontam.budget(target) < 3
+            assert not list(known.match(0, 0, f"{lead} {' '.join(word() for _ in range(14))}"))
+        finally:
+            decontam.myers = plain
+        asked.append(len(seen))
+    assert asked[-1] <= asked[0] + 8, asked
+    docs = [(i, f"{word()} {items[i][1]} {word()}") for i in range(0, 800, 40)] + [(5000 + i, " ".join(f"{lead} {word()} {word()}" for _ in range(30))) for i in range(5)]
+    got = found(spark, docs, items, group=64)
+    assert all(set(got[i]) == {i} for i in range(0, 800, 40)) and not any(got[5000 + i] for i in range(5))
+
+
+def test_repeated_rows_and_shared_units(spark):
+    text = "the quick brown fox jumps over the lazy dog near the old river bank at noon"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text), (2, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text), (8, text.upper()), (None, text)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.item_id or 0, r.distance) for r in decontam.leaks(docs, items).collect()))
+    assert got == sorted((d, i, 0) for d in (0, 0, 1, 1) for i in (0, 7, 8))
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [2]
+    assert decontam.clean(docs, items.limit(0)).count() == 5 and decontam.leaks(docs.limit(0), items).count() == 0
 
 
 def test_upper_bound_is_exact():
@@ -93,14 +146,15 @@ def test_boosting_separates_and_calibrates():
     rng, rows = random.Random(0), []
     for _ in range(3000):
         x = [rng.randrange(n) for n in pii.SIZES]
-        good = (x[1] in (2, 3)) ^ (x[7] == 1 and x[2] == 4)
+        good = (x[1] in (2, 3)) ^ (x[3] == 1 and x[2] == 4)
         rows.append((*x, rng.randrange(2), int(good) * 10, int(not good) * 10))
     m = pii.boost(rows)
     import numpy as np
 
-    x = np.array([r[:8] for r in rows])
+    k = len(pii.SIZES)
+    x = np.array([r[:k] for r in rows])
     hit = m.score(x) >= m.threshold
-    truth = np.array([r[9] > 0 for r in rows])
+    truth = np.array([r[k + 1] > 0 for r in rows])
     assert (hit & truth).sum() / hit.sum() > 0.9 and (hit & truth).sum() / truth.sum() > 0.3
     assert pii.boost([]).threshold == float("inf")
 
