@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def exit_kind(reason: Column) -> Column:
@@ -24,13 +24,17 @@ def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns or df.columns))))
 
 
-def run_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], record: Column, block: int = 10_000) -> DataFrame:
+def run_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], record: Column, block: int = 10_000, segment: Column | None = None) -> DataFrame:
     """(keys, records, digest): SHA-256 over a key's records in order, as a tree: blocks of ``block`` records are
-    digested alone and their digests together, so no key is gathered in one task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumns({"__n": F.row_number().over(w), "__r": record}).withColumn("__b", F.floor((F.col("__n") - 1) / block))
-    parts = numbered.groupBy(*keys, "__b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__r"))), lambda x: x["__r"]), "\n"), 256).alias("__d"), F.count("*").alias("__c"))
-    return parts.groupBy(*keys).agg(F.sum("__c").alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "\n"), 256).alias("digest"))
+    digested alone and their digests together, so no key is gathered in one task. ``segment`` cuts keys of any
+    length into stretches to number the records (it must not fall with ``order``)."""
+    from barlume.operators.joins import running
+
+    some = df.withColumn("__r", record).select(*keys, *order, "__r", (segment if segment is not None else F.lit(0)).alias("__stretch"))
+    numbered = running(some, keys, list(order), F.col("__stretch"), {"__n": ("count", F.lit(1))}).withColumn("__b", F.floor((F.col("__n") - 1) / block))
+    joined = lambda found, name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(found)), lambda x: x[name]), "\n"), 256)
+    parts = numbered.groupBy(*keys, "__b").agg(joined(F.struct("__n", "__r"), "__r").alias("__d"), F.count("*").alias("__c"))
+    return parts.groupBy(*keys).agg(F.sum("__c").alias("records"), joined(F.struct("__b", "__d"), "__d").alias("digest"))
 
 
 def short_id(prefix: str, run: Column, number: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlume.operators.joins import asof_join, last_n, latest_by, running
+from barlume.operators.joins import asof_join, last_n, latest_by, running, sliding
 from barlume.schema import DAY_NS, NS, TIMEFRAMES
 
 #: As-of joins cut a symbol's time into stretches of this length, so no symbol is one task.
@@ -143,14 +143,16 @@ def forming_at(base: DataFrame, timeframe: str, at_ns: int) -> DataFrame:
 # --- views and indicators -----------------------------------------------------------------------------------
 
 
-def _series() -> Window:
-    return Window.partitionBy("symbol", "timeframe").orderBy("open_time_ns")
+SERIES = ["symbol", "timeframe"]
 
 
 def history(bars: DataFrame, n: int) -> DataFrame:
     """Every bar with the closes of the last ``n`` bars, itself included, and their count."""
-    w = _series().rowsBetween(-(n - 1), 0)
-    return bars.withColumns({"closes": F.collect_list("close_ticks").over(w), "known": F.count("*").over(w)})
+    values = {
+        "closes": lambda w: F.collect_list("close_ticks").over(w.rowsBetween(-(n - 1), 0)),
+        "known": lambda w: F.count("*").over(w.rowsBetween(-(n - 1), 0)),
+    }
+    return sliding(bars, SERIES, ["open_time_ns"], segment("open_time_ns"), n, values).drop("__i")
 
 
 def conflicts(bars: DataFrame) -> DataFrame:
@@ -187,10 +189,9 @@ def sma_cross(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     """``cross``: 1 where the fast mean rises through the slow one, -1 where it falls through; needs slow + 1 bars.
 
     Means are compared as whole numbers: sum * other length."""
-    w = _series()
-    a, b = (F.sum("close_ticks").over(w.rowsBetween(-(n - 1), 0)) * m for n, m in ((fast, slow), (slow, fast)))
-    out = bars.withColumns({"__a": a, "__b": b, "__n": F.row_number().over(w)})
-    out = out.withColumns({"__pa": F.lag("__a").over(w), "__pb": F.lag("__b").over(w)})
+    mean = lambda n, m, back: lambda w: F.sum("close_ticks").over(w.rowsBetween(-(n - 1) - back, -back)) * m
+    sums = {"__a": mean(fast, slow, 0), "__b": mean(slow, fast, 0), "__pa": mean(fast, slow, 1), "__pb": mean(slow, fast, 1)}
+    out = sliding(bars, SERIES, ["open_time_ns"], segment("open_time_ns"), slow + 1, sums, "__n")
     up, down = (F.col("__pa") <= F.col("__pb")) & (F.col("__a") > F.col("__b")), (F.col("__pa") >= F.col("__pb")) & (F.col("__a") < F.col("__b"))
     cross = F.when(F.col("__n") <= slow, 0).when(up, 1).when(down, -1).otherwise(0)
     return out.withColumn("cross", cross).drop("__a", "__b", "__pa", "__pb", "__n")
@@ -242,9 +243,9 @@ def shape() -> dict[str, Column]:
 
 def structure_levels(bars: DataFrame) -> DataFrame:
     """Levels that form where the color turns: up then down a high, down then up a low (the pair's extreme)."""
-    w = _series()
     color = F.signum(F.col("close_ticks") - F.col("open_ticks"))
-    out = bars.withColumns({"__c": color, "__pc": F.lag(color).over(w), "__ph": F.lag("high_ticks").over(w), "__pl": F.lag("low_ticks").over(w)})
+    near = {"__pc": ("lag", color), "__ph": ("lag", F.col("high_ticks")), "__pl": ("lag", F.col("low_ticks"))}
+    out = running(bars, SERIES, ["open_time_ns"], segment("open_time_ns"), near).withColumn("__c", color)
     high, low = (F.col("__pc") > 0) & (F.col("__c") < 0), (F.col("__pc") < 0) & (F.col("__c") > 0)
     out = out.withColumn("kind", F.when(high, "high").when(low, "low")).where("kind is not null")
     level = F.when(F.col("kind") == "high", F.greatest("high_ticks", "__ph")).otherwise(F.least("low_ticks", "__pl"))
@@ -254,14 +255,16 @@ def structure_levels(bars: DataFrame) -> DataFrame:
 def downsample(bars: DataFrame, points: int, value: str = "close_ticks") -> DataFrame:
     """At most ``points`` rows per series that keep its envelope: of each of (points - 2) / 2 index buckets the
     lowest and highest row, besides the first and the last row."""
-    w, n = _series(), F.count("*").over(Window.partitionBy("symbol", "timeframe"))
     buckets = max(1, (points - 2) // 2)
-    ranked = bars.withColumns({"__i": F.row_number().over(w) - 1, "__n": n})
+    numbers = {"__i": ("count", F.lit(1)), "__n": ("total", F.lit(1))}
+    ranked = running(bars, SERIES, ["open_time_ns"], segment("open_time_ns"), numbers).withColumn("__i", F.col("__i") - 1)
     inner = F.when((F.col("__i") > 0) & (F.col("__i") < F.col("__n") - 1), F.floor((F.col("__i") - 1) * buckets / F.greatest(F.col("__n") - 2, F.lit(1))))
-    ranked = ranked.withColumn("__b", F.when(F.col("__n") <= points, F.lit(-1) - F.col("__i")).when(F.col("__i") == 0, -1).when(F.col("__i") == F.col("__n") - 1, -2).otherwise(inner))
+    bucket = F.when(F.col("__n") <= points, F.lit(-1) - F.col("__i")).when(F.col("__i") == 0, -1).when(F.col("__i") == F.col("__n") - 1, -2).otherwise(inner)
+    ranked = ranked.withColumn("__b", bucket)
     row = F.struct("open_time_ns", F.col(value).alias("value"))
-    picked = ranked.groupBy("symbol", "timeframe", "__b").agg(F.min_by(row, F.struct(F.col(value), F.col("__i"))).alias("a"), F.max_by(row, F.struct(F.col(value), -F.col("__i"))).alias("b"))
-    return picked.select("symbol", "timeframe", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select("symbol", "timeframe", "x.open_time_ns", "x.value")
+    low, high = F.min_by(row, F.struct(F.col(value), F.col("__i"))), F.max_by(row, F.struct(F.col(value), -F.col("__i")))
+    picked = ranked.groupBy(*SERIES, "__b").agg(low.alias("a"), high.alias("b"))
+    return picked.select(*SERIES, F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select(*SERIES, "x.open_time_ns", "x.value")
 
 
 def extent(df: DataFrame, value: str) -> DataFrame:

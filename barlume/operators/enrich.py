@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from barlume.operators.bars import SEGMENT_NS
-from barlume.operators.joins import asof_join, interval_join
+from barlume.operators.bars import SEGMENT_NS, segment
+from barlume.operators.joins import BLOCK, asof_join, interval_join, running
 
 HORIZONS = (4, 16, 32, 96)
 
 
 def bounded(bars: DataFrame) -> DataFrame:
     """``bars`` with ``lower_ns``: the close before (the first: its open less 1), so gaps belong to the next bar."""
-    w = Window.partitionBy("symbol").orderBy("close_time_ns")
-    return bars.withColumn("lower_ns", F.coalesce(F.lag("close_time_ns").over(w), F.col("open_time_ns") - 1))
+    before = running(bars, ["symbol"], ["close_time_ns"], segment("close_time_ns"), {"lower_ns": ("lag", F.col("close_time_ns"))})
+    return before.withColumn("lower_ns", F.coalesce("lower_ns", F.col("open_time_ns") - 1))
 
 
 def overlaps(bars: DataFrame, trades: DataFrame, width_ns: int) -> DataFrame:
@@ -29,26 +29,85 @@ def event_bars(trades: DataFrame, bars: DataFrame, event: str, prefix: str) -> D
     return got.withColumns({c: F.when(inside, F.col(c)) for c in (f"{prefix}_close_ns", f"{prefix}_sequence")}).drop("__lo")
 
 
-def activity(bars: DataFrame, trades: DataFrame, width_ns: int) -> DataFrame:
-    """A row for every bar: active trades by side, entries, exits, profit realized and net lots."""
-    pairs = overlaps(bars.select("symbol", "sequence", "open_time_ns", "close_time_ns"), trades, width_ns)
-    enters = F.col("entry_time_ns") > F.col("lower_ns")
-    leaves = F.col("exit_time_ns") <= F.col("close_time_ns")
+COUNTS = ("active", "active_long", "active_short", "entries", "exits", "stop_exits", "target_exits", "realized_pnl", "net_lots")
+
+
+def ends(bars: DataFrame, trades: DataFrame) -> DataFrame:
+    """``trades`` that are active in some bar, with its first and last one (``first_sequence``; ``last_sequence`` is null where
+    the bars end before the trade) and whether it enters within the first (``enters``)."""
+    b = bounded(bars.select("symbol", "sequence", "open_time_ns", "close_time_ns"))
+
+    def first_close(df: DataFrame, time: str, name: str) -> DataFrame:
+        there = b.select("symbol", F.col("close_time_ns").alias("__c"), F.col("sequence").alias(f"{name}_sequence"), F.col("lower_ns").alias(f"__{name}"))
+        return asof_join(df, there, ["symbol"], time, "__c", [f"{name}_sequence", f"__{name}"], forward=True, segment_ns=SEGMENT_NS)
+
+    got = first_close(first_close(trades, "entry_time_ns", "first"), "exit_time_ns", "last")
+    # the bar that holds the exit is the last one; an exit before all bars is in none
+    lives = F.col("last_sequence").isNull() | ((F.col("last_sequence") >= F.col("first_sequence")) & (F.col("exit_time_ns") > F.col("__last")))
+    got = got.where(F.col("first_sequence").isNotNull() & lives)
+    return got.withColumn("enters", F.col("entry_time_ns") > F.col("__first")).drop("__first", "__last")
+
+
+def _changes(held: DataFrame) -> DataFrame:
+    """Two rows a trade at most: (symbol, sequence, opens, and the trade) where it begins and where it ends."""
+    sides = F.array(
+        F.struct(F.col("first_sequence").alias("sequence"), F.lit(True).alias("opens")),
+        F.struct(F.col("last_sequence").alias("sequence"), F.lit(False).alias("opens")),
+    )
+    return held.withColumn("__x", F.explode(sides)).where("__x.sequence is not null").select("*", "__x.sequence", "__x.opens").drop("__x")
+
+
+def activity(bars: DataFrame, trades: DataFrame, width_ns: int | None = None, ids: bool = False) -> DataFrame:
+    """A row for every bar: active trades by side, entries, exits, profit realized and net lots; with ``ids`` also the ids of
+    the active trades, by entry.
+
+    A trade is two rows, +1 where it begins and -1 behind its last bar, however long it lives; running sums over
+    stretches of bars tell how many are active. ``ids`` costs a row per bar and trade (in buckets of ``width_ns``);
+    ``active_changes`` tells the same in two."""
     long = F.col("side") == "LONG"
-    got = pairs.groupBy("symbol", "sequence").agg(
-        F.count("*").alias("active"),
-        F.count_if(long).alias("active_long"),
-        F.count_if(~long).alias("active_short"),
-        F.count_if(enters).alias("entries"),
+    lots = F.when(long, F.col("lots")).otherwise(-F.col("lots"))
+    opens, leaves = F.col("opens"), ~F.col("opens")
+    at = _changes(ends(bars, trades)).groupBy("symbol", "sequence").agg(
+        F.count_if(opens).alias("__in"),
+        F.count_if(opens & long).alias("__in_long"),
+        F.sum(F.when(opens, lots).otherwise(0)).alias("__in_lots"),
+        F.count_if(leaves & long).alias("__out_long"),
+        F.sum(F.when(leaves, lots).otherwise(0)).alias("__out_lots"),
+        F.count_if(opens & F.col("enters")).alias("entries"),
         F.count_if(leaves).alias("exits"),
         F.count_if(leaves & (F.col("exit_reason") == "stop_loss")).alias("stop_exits"),
         F.count_if(leaves & (F.col("exit_reason") == "take_profit")).alias("target_exits"),
         F.coalesce(F.sum(F.when(leaves, F.col("net_pnl"))), F.lit(0)).alias("realized_pnl"),
-        F.sum(F.when(long, F.col("lots")).otherwise(-F.col("lots"))).alias("net_lots"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_time_ns", "trade_id"))), lambda x: x["trade_id"].cast("string")), ",").alias("active_ids"),
     )
-    out = bars.select("symbol", "sequence", "close_time_ns").join(got, ["symbol", "sequence"], "left")
-    return out.fillna(0, ["active", "active_long", "active_short", "entries", "exits", "stop_exits", "target_exits", "realized_pnl", "net_lots"]).fillna("", ["active_ids"])
+    changed = [c for c in at.columns if c not in ("symbol", "sequence")]
+    out = bars.select("symbol", "sequence", "close_time_ns").join(at, ["symbol", "sequence"], "left").fillna(0, changed)
+    net = {
+        "active": ("sum", F.col("__in") - F.col("exits")),
+        "active_long": ("sum", F.col("__in_long") - F.col("__out_long")),
+        "net_lots": ("sum", F.col("__in_lots") - F.col("__out_lots")),
+    }
+    # what ends in a bar is active in it still
+    out = running(out, ["symbol"], ["sequence"], F.expr(f"sequence div {BLOCK}"), net).withColumns(
+        {"active": F.col("active") + F.col("exits"), "active_long": F.col("active_long") + F.col("__out_long"), "net_lots": F.col("net_lots") + F.col("__out_lots")}
+    )
+    out = out.withColumn("active_short", F.col("active") - F.col("active_long")).select("symbol", "sequence", "close_time_ns", *COUNTS)
+    if not ids:
+        return out
+    pairs = overlaps(bars.select("symbol", "sequence", "open_time_ns", "close_time_ns"), trades.select("symbol", "trade_id", "entry_time_ns", "exit_time_ns"), width_ns or SEGMENT_NS)
+    listed = pairs.groupBy("symbol", "sequence").agg(_by_entry(F.collect_list(F.struct("entry_time_ns", "trade_id"))).alias("active_ids"))
+    return out.join(listed, ["symbol", "sequence"], "left").fillna("", ["active_ids"])
+
+
+def _by_entry(found: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(found), lambda x: x["trade_id"].cast("string")), ",")
+
+
+def active_changes(bars: DataFrame, trades: DataFrame) -> DataFrame:
+    """The bars in which the set of active trades changes: (symbol, sequence, opened_ids, closed_ids), each by entry. A closed
+    trade is active in its bar still."""
+    each = _changes(ends(bars, trades.select("symbol", "trade_id", "entry_time_ns", "exit_time_ns")))
+    listed = lambda held: _by_entry(F.collect_list(F.when(held, F.struct("entry_time_ns", "trade_id"))))
+    return each.groupBy("symbol", "sequence").agg(listed(F.col("opens")).alias("opened_ids"), listed(~F.col("opens")).alias("closed_ids"))
 
 
 def candle_map(bars: DataFrame, trades: DataFrame, width_ns: int) -> DataFrame:

@@ -1,15 +1,13 @@
-"""Composition helpers that Spark's public API lacks: as-of and interval joins, islands, latest rows.
+"""Composition helpers that Spark's public API lacks: as-of and interval joins, running values, latest rows.
 
 None needs a theta join, which would plan as a nested loop over both sides.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], order: Sequence[str] = (), inclusive: bool = True, forward: bool = False, segment_ns: int | None = None) -> DataFrame:
@@ -81,36 +79,70 @@ def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+#: kind -> (a segment's part, what is carried into a segment from the parts before it, the value of a row)
+def _kinds(place: Column, before: WindowSpec, after: WindowSpec, every: WindowSpec, at: WindowSpec, upto: WindowSpec) -> dict[str, tuple]:
+    earlier = at.rowsBetween(Window.unboundedPreceding, -1)
+    return {
+        "count": (lambda c: F.count("*"), lambda p: F.sum(p).over(before), lambda c: F.sum(c).over(upto)),
+        "sum": (F.sum, lambda p: F.sum(p).over(before), lambda c: F.sum(c).over(upto)),
+        "max": (F.max, lambda p: F.max(p).over(before), lambda c: F.max(c).over(upto)),
+        "max_before": (F.max, lambda p: F.max(p).over(before), lambda c: F.max(c).over(earlier)),
+        "last": (lambda c: F.max_by(c, F.when(c.isNotNull(), place)), lambda p: F.last(p, ignorenulls=True).over(before), lambda c: F.last(c, ignorenulls=True).over(upto)),
+        "lag": (lambda c: F.max_by(c, place), lambda p: F.last(p).over(before), lambda c: F.lag(c).over(at)),
+        "lead": (lambda c: F.min_by(c, place), lambda p: F.first(p).over(after), lambda c: F.lead(c).over(at)),
+        "total": (lambda c: F.count("*"), lambda p: F.sum(p).over(every), lambda c: F.first(c).over(upto)),
+        "greatest": (F.max, lambda p: F.max(p).over(every), lambda c: F.first(c).over(upto)),
+    }
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Column, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
     """``df`` with running values of each key in ``order``, for keys of any size: no task has more than a ``segment``.
 
-    ``values``: name -> (kind, column). Kinds: ``count`` (rows so far, from 1), ``max``, ``last`` (that is not null),
-    ``lag`` (the row before). ``segment`` must not fall with ``order``. A window runs inside each segment; what
-    comes before it is added from a table of one row a segment.
+    ``values``: name -> (kind, column). Kinds: ``count`` (rows so far, from 1), ``sum``, ``max``, ``max_before`` (of the rows
+    before), ``last`` (that is not null), ``lag`` and ``lead`` (the row before and after), and of the whole key ``total`` (rows)
+    and ``greatest``. ``segment`` must not fall with ``order``.
+
+    A table of one row a segment is scanned first and tells what each segment starts from. That row then goes
+    into the segment's window, before its rows (for ``lead`` one after them), so the rows are shuffled once and no
+    join follows. A ``max`` of structs carries whatever belongs to the greatest row.
     """
-    keys = [*by, "__seg"]
-    cut = df.withColumn("__seg", segment)
-    at, place = Window.partitionBy(*keys).orderBy(*order), F.struct(*order)
-    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = {"count": lambda c: F.row_number().over(at), "max": lambda c: F.max(c).over(upto), "last": lambda c: F.last(c, ignorenulls=True).over(upto), "lag": lambda c: F.lag(c).over(at)}
-    whole = {"count": lambda c: F.count("*"), "max": F.max, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)), "lag": lambda c: F.max_by(c, place)}
-    carry = {"count": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True), "lag": F.last}
-    both = {
-        "count": lambda c, b: c + F.coalesce(b, F.lit(0)),
-        "max": lambda c, b: F.greatest(c, b),
-        "last": lambda c, b: F.coalesce(c, b),
-        "lag": lambda c, b: F.when(F.col("__first"), b).otherwise(c),
-    }
-    parts = cut.groupBy(*keys).agg(*(whole[k](c).alias(f"__{i}") for i, (k, c) in enumerate(values.values())))
-    earlier = Window.partitionBy(*by).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(carry[k](F.col(f"__{i}")).over(earlier).alias(f"__b{i}") for i, (k, _) in enumerate(values.values())))
-    marked = cut.withColumns({"__first": F.row_number().over(at) == 1} | {f"__i{i}": inside[k](c) for i, (k, c) in enumerate(values.values())})
-    meet = functools.reduce(operator.and_, (marked[k].eqNullSafe(before[f"__k{i}"]) for i, k in enumerate(keys)))
-    done = {name: both[k](F.col(f"__i{i}"), F.col(f"__b{i}")).alias(name) for i, (name, (k, _)) in enumerate(values.items())}
-    return marked.join(before, meet).select(*(c for c in df.columns if c not in done), *done.values())
-
-
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str = "island") -> DataFrame:
-    """Numbers runs: a row where ``starts`` holds opens a new one."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    keys, columns = [*by, "__seg"], list(values.values())
+    cut = df.withColumns({"__seg": segment} | {f"__v{i}": F.lit(1).cast("long") if k in ("count", "total") else c for i, (k, c) in enumerate(columns)})
+    of = Window.partitionBy(*by).orderBy("__seg")
+    before, after = of.rowsBetween(Window.unboundedPreceding, -1), of.rowsBetween(1, Window.unboundedFollowing)
+    at = Window.partitionBy(*keys).orderBy("__side", *order)
+    kinds = _kinds(F.struct(*order), before, after, Window.partitionBy(*by), at, at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = cut.groupBy(*keys).agg(*(kinds[k][0](F.col(f"__v{i}")).alias(f"__v{i}") for i, (k, _) in enumerate(columns)))
+    carried = parts.select(*keys, *(kinds[k][1](F.col(f"__v{i}")).alias(f"__v{i}") for i, (k, _) in enumerate(columns)))
+    late = [k == "lead" for k, _ in columns]
+    sides = F.explode(F.array(F.lit(0), F.lit(2))) if any(late) else F.lit(0)
+    # before the rows, and for ``lead`` behind them
+    edges = carried.withColumn("__side", sides)
+    edges = edges.withColumns({f"__v{i}": F.when(F.col("__side") == (2 if after_ else 0), F.col(f"__v{i}")) for i, after_ in enumerate(late)})
+    rows = cut.withColumn("__side", F.lit(1)).unionByName(edges, allowMissingColumns=True)
+    done = {name: kinds[k][2](F.col(f"__v{i}")).alias(name) for i, (name, (k, _)) in enumerate(values.items())}
+    kept = [c for c in df.columns if c not in done]
+    return rows.select(*kept, "__side", *done.values()).where("__side = 1").select(*kept, *done)
+
+
+#: Rows of a block of ``sliding``.
+BLOCK = 1 << 16
+
+
+def sliding(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Column, n: int, values: Mapping[str, Callable[[WindowSpec], Column]], index: str = "__i", block: int = BLOCK
+) -> DataFrame:
+    """``df`` with windows over the last ``n`` rows of each key, for keys of any size, and the row's number from 1 as ``index``.
+
+    Rows are numbered (``running``) and dealt into blocks of ``block`` rows; each block also gets the ``n`` - 1 rows before
+    it, wherever in time they are. ``values``: name -> column over the ordered window, which may look back at most
+    ``n`` - 1 rows and not ahead."""
+    block = max(block, n)
+    place = F.col(index) - 1
+    mine = F.expr(f"(`{index}` - 1) div {block}")
+    halo = F.when(place % block >= block - (n - 1), F.array(mine, mine + 1)).otherwise(F.array(mine))
+    dealt = running(df, by, order, segment, {index: ("count", F.lit(1))}).withColumn("__block", F.explode(halo))
+    w = Window.partitionBy(*by, "__block").orderBy(index)
+    out = dealt.withColumns({name: f(w) for name, f in values.items()})
+    return out.where(F.col("__block") == mine).drop("__block")
+

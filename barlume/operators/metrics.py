@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlume.operators.bars import SEGMENT_NS
-from barlume.operators.joins import islands, running
+from barlume.operators.joins import running
 from barlume.schema import DAY_NS
 
 MINUTE_NS = 60_000_000_000
@@ -166,7 +166,7 @@ def _order(by: Sequence[str], time: str = "time_ns") -> Window:
 
 def drawdowns(equity: DataFrame, by: Sequence[str]) -> DataFrame:
     """``equity`` with its running peak, and the distance from it as amount and percentage."""
-    peaks = running(equity, by, ["time_ns"], F.floor(F.col("time_ns") / SEGMENT_NS), {"peak": ("max", F.col("equity"))})
+    peaks = running(equity, by, ["time_ns"], _stretch("time_ns"), {"peak": ("max", F.col("equity"))})
     out = peaks.withColumn("drawdown_amount", F.col("peak") - F.col("equity"))
     return out.withColumn("drawdown_percent", _pct(F.col("drawdown_amount"), F.col("peak")))
 
@@ -229,20 +229,24 @@ def rolling(equity: DataFrame, by: Sequence[str], initial: float, days: int = 30
     return d.select(*by, "period", *(c.alias(k) for k, c in got.items()), F.when(top > 0, _pct(top - F.col("equity"), top)).otherwise(0.0).alias("drawdown_percent"))
 
 
+def _stretch(time: str) -> Column:
+    return F.floor(F.col(time) / SEGMENT_NS)
+
+
 def episodes(equity: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Drawdown episodes: from the last peak to the recovery (null while open), with the deepest point."""
-    order = _order(by)
-    peak = F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = islands(equity.withColumn("__peak", peak), by, ["time_ns"], F.col("equity") >= F.col("__peak"), "__isle")
-    marked = marked.withColumns({"__next": F.lead("time_ns").over(order), "__gap": F.col("__peak") - F.col("equity"), "__end": F.max("time_ns").over(Window.partitionBy(*by))})
-    got = marked.groupBy(*by, "__isle").agg(
-        F.min("time_ns").alias("start_time_ns"),
+    """Drawdown episodes: from the last peak to the recovery (null while open), with the deepest point.
+
+    An episode is known by the row it starts from, the latest with the greatest equity so far: a running
+    maximum of (equity, time), which stretches of time carry on to each other."""
+    state = {"__top": ("max", F.struct("equity", "time_ns")), "__next": ("lead", F.col("time_ns")), "__end": ("greatest", F.col("time_ns"))}
+    marked = running(equity, by, ["time_ns"], _stretch("time_ns"), state).withColumn("__gap", F.col("__top.equity") - F.col("equity"))
+    got = marked.groupBy(*by, "__top").agg(
         F.max_by("time_ns", F.struct(F.col("__gap"), -F.col("time_ns"))).alias("trough_time_ns"),
         F.max("__gap").alias("max_drawdown_amount"),
-        F.max("__peak").alias("peak"),
         F.max_by("__next", "time_ns").alias("recovery_time_ns"),
         F.max("__end").alias("__end"),
     )
+    got = got.withColumns({"start_time_ns": F.col("__top.time_ns"), "peak": F.col("__top.equity")})
     out = got.where("max_drawdown_amount > 0")
     return out.select(
         *by,
@@ -276,21 +280,26 @@ def month_matrix(months: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def streaks(trades: DataFrame, by: Sequence[str], order: Sequence[str] = ("exit_time_ns", "trade_id")) -> DataFrame:
-    """Longest runs of wins and of losses; a trade without profit or loss ends both."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Longest runs of wins and of losses; a trade without profit or loss ends both.
+
+    Wins in a row have the same number of other trades before them, so that number names their run."""
     sign = F.signum(F.col("net_pnl")).cast("int")
-    marked = islands(trades.withColumns({"__s": sign, "__p": F.lag(sign).over(w)}), by, order, F.col("__p").isNull() | (F.col("__p") != F.col("__s")), "__run")
-    runs = marked.groupBy(*by, "__run", "__s").agg(F.count("*").alias("__n"))
-    return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("__s") > 0, F.col("__n"))), F.lit(0)).alias("longest_wins"), F.coalesce(F.max(F.when(F.col("__s") < 0, F.col("__n"))), F.lit(0)).alias("longest_losses"))
+    others = {"__no_win": ("sum", F.when(sign > 0, 0).otherwise(1)), "__no_loss": ("sum", F.when(sign < 0, 0).otherwise(1))}
+    marked = running(trades.select(*dict.fromkeys([*by, *order, "net_pnl"])), by, order, _stretch(order[0]), others).withColumn("__s", sign)
+    run = F.when(F.col("__s") > 0, F.col("__no_win")).when(F.col("__s") < 0, F.col("__no_loss"))
+    runs = marked.groupBy(*by, "__s", run.alias("__run")).agg(F.count("*").alias("__n"))
+    longest = lambda held: F.coalesce(F.max(F.when(held, F.col("__n"))), F.lit(0))
+    return runs.groupBy(*by).agg(longest(F.col("__s") > 0).alias("longest_wins"), longest(F.col("__s") < 0).alias("longest_losses"))
 
 
 def exposure(trades: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Merged times in the market: stretches, minutes, and minutes without merging."""
-    order = Window.partitionBy(*by).orderBy("entry_time_ns", "exit_time_ns").rowsBetween(Window.unboundedPreceding, -1)
-    marked = trades.withColumn("__upto", F.max("exit_time_ns").over(order))
-    marked = islands(marked, by, ["entry_time_ns", "exit_time_ns"], F.col("__upto").isNull() | (F.col("entry_time_ns") > F.col("__upto")), "__isle")
-    merged = marked.groupBy(*by, "__isle").agg(F.min("entry_time_ns").alias("a"), F.max("exit_time_ns").alias("b"))
-    return merged.groupBy(*by).agg(F.count("*").alias("stretches"), (F.sum(F.col("b") - F.col("a")) / float(MINUTE_NS)).alias("exposure_minutes"))
+    """Merged times in the market: stretches, and minutes. A trade adds what lies beyond the latest exit of the trades before it."""
+    upto = {"__upto": ("max_before", F.col("exit_time_ns"))}
+    times = trades.select(*by, "entry_time_ns", "exit_time_ns")
+    marked = running(times, by, ["entry_time_ns", "exit_time_ns"], _stretch("entry_time_ns"), upto)
+    adds = F.greatest(F.lit(0), F.col("exit_time_ns") - F.greatest("entry_time_ns", "__upto"))
+    opens = F.col("__upto").isNull() | (F.col("entry_time_ns") > F.col("__upto"))
+    return marked.groupBy(*by).agg(F.count_if(opens).alias("stretches"), (F.sum(adds) / float(MINUTE_NS)).alias("exposure_minutes"))
 
 
 def run_totals(trades: DataFrame, by: Sequence[str], initial: float) -> DataFrame:
@@ -316,4 +325,7 @@ def nominal_r(primary: float, cover: float) -> Column:
 
 def nearest_rank(df: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]) -> DataFrame:
     """Nearest-rank percentiles: the smallest value with at least p percent of the rows at or below it."""
-    return df.groupBy(*by).agg(*(F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in percents))
+    from barlume.operators.quantiles import quantiles
+
+    found = quantiles(df, value, by, [p / 100 for p in percents], "rank")
+    return found.groupBy(*by).agg(*(F.first(F.when(F.col("share") == p / 100, F.col("value")), ignorenulls=True).alias(f"p{p}") for p in percents))

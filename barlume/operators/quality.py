@@ -97,29 +97,54 @@ def audit_base(series: DataFrame) -> DataFrame:
     return series.where("seconds is not null").groupBy("symbol").agg(F.min_by("timeframe", F.struct("seconds", "timeframe")).alias("base_timeframe"))
 
 
+def _whole(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """``spans`` (symbol, at_open, at_close) with ``whole``: none of ``others`` opens or closes strictly inside."""
+    from barlume.operators.bars import SEGMENT_NS
+    from barlume.operators.joins import asof_join
+
+    edges = others.select("symbol", F.explode(F.array("open_time_ns", "close_time_ns")).alias("edge")).distinct()
+    got = asof_join(spans, edges, ["symbol"], "at_open", "edge", ["edge"], inclusive=False, forward=True, segment_ns=SEGMENT_NS)
+    return got.withColumn("whole", F.col("edge").isNull() | (F.col("edge") >= F.col("at_close"))).drop("edge")
+
+
 def cross_audit(base: DataFrame, targets: DataFrame, tolerance: int = 0, volume: bool = True) -> DataFrame:
     """Every target bar against the base bars that open in [open, close), within the base's coverage.
 
-    All timeframes of ``targets`` meet one pass of the base. A base bar belongs to the target bar that opened
-    last at or before it, if that has not closed: an as-of join on the targets' own times, so intervals may
-    follow any zone's clock and calendar."""
+    A base bar belongs to the target bar that opened last at or before it, if that has not closed: an as-of join on
+    the targets' own times, so intervals may follow any zone's clock and calendar.
+
+    The base is shuffled once, whatever the number of timeframes: its bars are first merged within the bars of the
+    finest timeframe, and those partial bars then meet all timeframes. A bar of the finest timeframe that another one's
+    open or close cuts is not merged; nor are base bars outside all of them. They meet the timeframes one by one."""
     from barlume.operators.bars import OHLC, SEGMENT_NS
     from barlume.operators.joins import asof_join
 
-    # a row per timeframe: at most the 21 that exist
-    kinds = [r.timeframe for r in targets.select("timeframe").distinct().limit(len(TIMEFRAMES)).collect()]
+    kinds = sorted((r.timeframe for r in targets.select("timeframe").distinct().limit(len(TIMEFRAMES) + 1).collect()), key=str)  # a row per timeframe
+    unknown = [k for k in kinds if k not in TIMEFRAMES]
+    if unknown:
+        raise ValueError(f"unknown timeframes: {unknown}")
     cover = base.groupBy("symbol").agg(F.min("open_time_ns").alias("lo"), F.max("close_time_ns").alias("hi"))
     values = [*OHLC, "tick_volume"]
-    dealt = base.select("symbol", "open_time_ns", *values, F.explode(F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")).alias("timeframe"))
+    merge = [
+        F.min_by("open_ticks", F.col("at")).alias("open_ticks"),
+        F.max("high_ticks").alias("high_ticks"),
+        F.min("low_ticks").alias("low_ticks"),
+        F.max_by("close_ticks", F.col("at")).alias("close_ticks"),
+        F.sum("tick_volume").alias("tick_volume"),
+    ]
+    parts = base.select("symbol", F.col("open_time_ns").alias("at"), *values)
     spans = targets.select("symbol", "timeframe", F.col("open_time_ns").alias("at_open"), F.col("close_time_ns").alias("at_close"))
-    held = asof_join(dealt, spans, ["symbol", "timeframe"], "open_time_ns", "at_open", ["at_open", "at_close"], segment_ns=SEGMENT_NS)
-    made = held.where("open_time_ns < at_close").groupBy("symbol", "timeframe", F.col("at_open").alias("open_time_ns")).agg(
-        F.min_by("open_ticks", F.col("open_time_ns")).alias("b_open_ticks"),
-        F.max("high_ticks").alias("b_high_ticks"),
-        F.min("low_ticks").alias("b_low_ticks"),
-        F.max_by("close_ticks", F.col("open_time_ns")).alias("b_close_ticks"),
-        F.sum("tick_volume").alias("b_tick_volume"),
-    )
+    if len(kinds) > 1:
+        finest = min(kinds, key=lambda k: TIMEFRAMES[k] or float("inf"))
+        fine = _whole(spans.where(F.col("timeframe") == finest).drop("timeframe"), targets.where(F.col("timeframe") != finest))
+        held = asof_join(parts, fine, ["symbol"], "at", "at_open", ["at_open", "at_close", "whole"], segment_ns=SEGMENT_NS)
+        merged = F.coalesce(F.col("whole") & (F.col("at") < F.col("at_close")), F.lit(False))
+        group = held.withColumns({"merged": merged, "of": F.when(merged, F.col("at_open")).otherwise(F.col("at"))})
+        parts = group.groupBy("symbol", "merged", "of").agg(*merge, F.min("at").alias("first")).withColumnRenamed("first", "at").select("symbol", "at", *values)
+    dealt = parts.withColumn("timeframe", F.explode(F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")))
+    held = asof_join(dealt, spans, ["symbol", "timeframe"], "at", "at_open", ["at_open", "at_close"], segment_ns=SEGMENT_NS)
+    made = held.where("at < at_close").groupBy("symbol", "timeframe", F.col("at_open").alias("open_time_ns")).agg(*merge)
+    made = made.select("symbol", "timeframe", "open_time_ns", *(F.col(c).alias(f"b_{c}") for c in values))
     inside = targets.join(cover, "symbol").where((F.col("open_time_ns") >= F.col("lo")) & (F.col("close_time_ns") <= F.col("hi"))).drop("lo", "hi")
     pairs = inside.join(made, ["symbol", "timeframe", "open_time_ns"], "left")
     fields = [*OHLC, *(["tick_volume"] if volume else [])]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barlume.operators.joins import last_n, latest_by
+from barlume.operators.bars import segment
+from barlume.operators.joins import last_n, latest_by, running
 from barlume.schema import NS
 
 SIX_HOURS_NS = 6 * 3600 * NS
@@ -15,8 +16,8 @@ SIX_HOURS_NS = 6 * 3600 * NS
 
 def ordered(timeline: DataFrame, run: Sequence[str] = ("run_id",)) -> DataFrame:
     """``sequence`` from 1 per run by time, priority, source sequence."""
-    w = Window.partitionBy(*run).orderBy("time_ns", "priority", "source_sequence")
-    return timeline.withColumn("sequence", F.row_number().over(w).cast("bigint"))
+    order = ["time_ns", "priority", "source_sequence"]
+    return running(timeline, run, order, segment("time_ns"), {"sequence": ("count", F.lit(1))})
 
 
 def between(timeline: DataFrame, after_ns: int, until_ns: int) -> DataFrame:
@@ -72,8 +73,8 @@ def recent(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 def sample_equity(bars: DataFrame, every: int, event: str = "has_event") -> DataFrame:
     """The first row of each run, every k-th, and those with an event."""
-    w = Window.partitionBy("run_id").orderBy("time_ns")
-    return bars.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | (F.col("__n") % every == 0) | F.col(event)).drop("__n")
+    counted = running(bars, ["run_id"], ["time_ns"], segment("time_ns"), {"__n": ("count", F.lit(1))})
+    return counted.where((F.col("__n") == 1) | (F.col("__n") % every == 0) | F.col(event)).drop("__n")
 
 
 def time_bounds() -> tuple[Column, Column]:
@@ -95,6 +96,65 @@ def viewport(drawings: DataFrame, from_ns: int, to_ns: int, limit: int, margin:
     return seen.orderBy(F.desc("ordinal")).limit(limit)
 
 
+#: Buckets of an index level: each is so many times as wide as those of the level below.
+SPREAD = 8
+LONG = -1
+
+
+def viewport_rows(drawings: DataFrame, bucket_ns: int = SIX_HOURS_NS, most: int = 64) -> DataFrame:
+    """``drawings`` as rows of an interval index: (level, bucket, first_bucket, and the drawing).
+
+    A drawing's level is the first whose buckets are as wide as its span, so it touches two of them at most. Those too long
+    (or without end) to be bucketed are a level of their own, ``LONG``, with one row."""
+    a, b = F.floor(F.col("from_ns") / bucket_ns), F.floor(F.col("to_ns") / bucket_ns)
+    widths = _widths(most)
+    level = F.when(F.coalesce(b - a + 1 > most, F.lit(True)), F.lit(LONG))
+    for k, w in enumerate(widths):
+        level = level.when(b - a + 1 <= w, F.lit(k))
+    wide = F.lit(1).cast("bigint")
+    for k, w in enumerate(widths):
+        wide = F.when(F.col("level") == k, F.lit(w).cast("bigint")).otherwise(wide)
+    out = drawings.withColumn("level", level)
+    first, last = F.floor(a / wide), F.floor(b / wide)
+    held = F.when(F.col("level") == LONG, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, last))
+    return out.withColumn("first_bucket", F.when(F.col("level") == LONG, F.lit(0).cast("bigint")).otherwise(first)).withColumn("bucket", F.explode(held))
+
+
+def _widths(most: int) -> list[int]:
+    """Widths of the levels' buckets, in buckets of the first."""
+    out = [1]
+    while out[-1] < most:
+        out.append(min(most, out[-1] * SPREAD))
+    return out
+
+
+def write_viewport_index(drawings: DataFrame, path: str, bucket_ns: int = SIX_HOURS_NS, most: int = 64, group_bytes: int = 1 << 20):
+    """Publishes the index: a folder per level, sorted by bucket, in row groups that readers skip by it."""
+    from barlume.sources import snapshots
+
+    order = ("level", "bucket", "ordinal")
+    rows = viewport_rows(drawings, bucket_ns, most).repartitionByRange(*order).sortWithinPartitions(*order)
+    options = {"parquet.block.size": str(group_bytes), "parquet.page.size": str(min(group_bytes, 1 << 16))}
+    note = {"bucket_ns": bucket_ns, "most": most}
+    return snapshots.publish(drawings.sparkSession, path, {"drawings": snapshots.Table(rows, partition_by=("level",), options=options)}, note=note)
+
+
+def read_viewport(index, spark: SparkSession, from_ns: int, to_ns: int, limit: int, margin: float = 0.15) -> DataFrame:
+    """``viewport`` from a published index: of each level only the buckets in view are read, and the long ones."""
+    bucket_ns, most = index.note["bucket_ns"], index.note["most"]
+    wide = max(1, to_ns - from_ns) * margin
+    lo, hi = int((from_ns - wide) // bucket_ns), int((to_ns + wide) // bucket_ns)
+    rows = index.read(spark, "drawings")
+    seen = rows.where(F.col("level") == LONG)
+    a, b = F.floor(F.col("from_ns") / bucket_ns), F.floor(F.col("to_ns") / bucket_ns)
+    for k, w in enumerate(_widths(most)):
+        first, last = lo // w, hi // w
+        part = rows.where((F.col("level") == k) & (F.col("bucket") >= first) & (F.col("bucket") <= last))
+        # a drawing in two buckets is taken from the first of them in view
+        seen = seen.unionByName(part.where((F.col("bucket") == F.greatest(F.col("first_bucket"), F.lit(first))) & (a <= hi) & (b >= lo)))
+    return seen.drop("level", "bucket", "first_bucket").orderBy(F.desc("ordinal")).limit(limit)
+
+
 def progress(at: Column, start: Column, end: Column) -> Column:
     """Share of the run behind ``at``, within 0..1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((at - start).cast("double"), (end - start).cast("double")), F.lit(1.0))))

@@ -40,7 +40,36 @@ def candle_trade_map(spark, sf):
     ),
 )
 def candle_activity(spark, sf):
-    return E.activity(views(spark, sf), bar_trades(spark, sf), WIDTH)
+    return E.activity(views(spark, sf), bar_trades(spark, sf), WIDTH, ids=True)
+
+
+@query(
+    "g14_activity_by_ends",
+    sql(
+        _B
+        + """ SELECT symbol, sequence, count(*) AS active, count(*) FILTER (side = 'LONG') AS active_long, CAST(sum(CASE WHEN side = 'LONG' THEN lots ELSE -lots END) AS BIGINT) AS net_lots,
+            count(*) FILTER (exit_time_ns <= close_time_ns) AS exits FROM pairs GROUP BY symbol, sequence""",
+        *_ARGS,
+    ),
+)
+def activity_by_ends(spark, sf):
+    """Two rows a trade; bars without an active one are left out, as the pairs of the SQL have none."""
+    return E.activity(views(spark, sf), bar_trades(spark, sf)).where("active > 0").select("symbol", "sequence", "active", "active_long", "net_lots", "exits")
+
+
+@query(
+    "g14_active_changes",
+    sql(
+        _B
+        + """, ended AS (SELECT symbol, trade_id, entry_time_ns, min(sequence) AS f, max(sequence) AS l, bool_or(exit_time_ns <= close_time_ns) AS done FROM pairs GROUP BY ALL),
+        e AS (SELECT symbol, f AS sequence, trade_id, entry_time_ns, true AS opens FROM ended UNION ALL SELECT symbol, l, trade_id, entry_time_ns, false FROM ended WHERE done)
+        SELECT symbol, sequence, coalesce(string_agg(CAST(trade_id AS VARCHAR), ',' ORDER BY entry_time_ns, trade_id) FILTER (opens), '') AS opened_ids,
+            coalesce(string_agg(CAST(trade_id AS VARCHAR), ',' ORDER BY entry_time_ns, trade_id) FILTER (NOT opens), '') AS closed_ids FROM e GROUP BY symbol, sequence""",
+        *_ARGS,
+    ),
+)
+def active_changes(spark, sf):
+    return E.active_changes(views(spark, sf), bar_trades(spark, sf))
 
 
 def _event(name: str, event: str):

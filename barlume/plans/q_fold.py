@@ -6,7 +6,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from barlume.operators import bars as B, fold, signals
+from barlume.operators import bars as B, fold, governor, structure
 from barlume.operators.book import Profile, Rules
 from barlume.plans.adapters import bars, sql, trades
 from barlume.plans.registry import query
@@ -95,17 +95,39 @@ def chart_commands(spark, sf):
     return out.where("kind in ('chart', 'log')").select("run_id", "seq", "time_ns", F.get_json_object("payload", "$.command").alias("command"), "payload")
 
 
-@query("a15_structure_signals")
+_SIGNALS = """--cte own AS (SELECT *, nullif(sign(CASE WHEN close_ticks <> open_ticks THEN close_ticks - open_ticks ELSE close_ticks - lag(close_ticks) OVER (PARTITION BY symbol ORDER BY open_time_ns) END), 0) AS s FROM quarters),
+    directed AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY open_time_ns ROWS UNBOUNDED PRECEDING), 1) AS d FROM own),
+    delta AS (SELECT symbol, open_time_ns - open_time_ns % 3600000000000 AS open_time_ns, sum(d * tick_volume) AS delta FROM directed GROUP BY ALL),
+    b AS (SELECT bars.*, delta, row_number() OVER w AS i, lag(open_ticks) OVER w AS po, lag(high_ticks) OVER w AS ph, lag(low_ticks) OVER w AS pl, lag(close_ticks) OVER w AS pc,
+        max(high_ticks) OVER v AS sh, min(low_ticks) OVER v AS sl FROM bars JOIN delta USING (symbol, open_time_ns)
+        WINDOW w AS (PARTITION BY symbol ORDER BY close_time_ns), v AS (PARTITION BY symbol, open_time_ns // 86400000000000 ORDER BY open_time_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    levels AS (SELECT symbol, i, CASE WHEN pc > po THEN 1 ELSE -1 END AS k, CASE WHEN pc > po THEN greatest(ph, high_ticks) ELSE -least(pl, low_ticks) END AS wick,
+        CASE WHEN pc > po THEN greatest(po, pc, open_ticks, close_ticks) ELSE -least(po, pc, open_ticks, close_ticks) END AS body FROM b WHERE (pc > po AND close_ticks < open_ticks) OR (pc < po AND close_ticks > open_ticks)),
+    three AS (SELECT b.symbol, b.i, l.k, l.i AS f, l.wick, l.body, CASE WHEN l.k > 0 THEN b.high_ticks ELSE -b.low_ticks END AS reach FROM b JOIN levels l ON l.symbol = b.symbol AND l.i < b.i
+        QUALIFY row_number() OVER (PARTITION BY b.symbol, b.i, l.k ORDER BY l.i DESC) <= 3),
+    met AS (SELECT t.symbol, t.i, t.k, t.f, any_value(t.wick) AS wick, any_value(t.body) AS body, any_value(t.reach) AS reach, max(CASE WHEN t.k > 0 THEN x.high_ticks ELSE -x.low_ticks END) AS far, max(t.k * x.close_ticks) AS c
+        FROM three t LEFT JOIN b x ON x.symbol = t.symbol AND x.i > t.f AND x.i < t.i GROUP BY ALL),
+    hunted AS (SELECT symbol, i, arg_max(wick, f) FILTER (k > 0) AS hh, -arg_max(wick, f) FILTER (k < 0) AS hl FROM met WHERE reach > greatest(wick, coalesce(far, wick)) AND coalesce(c <= body, true) GROUP BY symbol, i),
+    m AS (SELECT b.*, hh, hl, greatest(open_ticks, close_ticks) AS t, least(open_ticks, close_ticks) AS u FROM b LEFT JOIN hunted USING (symbol, i)),
+    n AS (SELECT *, coalesce(delta < 0 AND hl IS NOT NULL AND u - low_ticks > t - u AND u - low_ticks > high_ticks - t AND high_ticks - t < 7 * (t - u), false) AS lr,
+        coalesce(delta > 0 AND hh IS NOT NULL AND high_ticks - t > t - u AND high_ticks - t > u - low_ticks AND u - low_ticks < 7 * (t - u), false) AS sr,
+        coalesce(delta < 0 AND pc < po AND close_ticks > open_ticks AND low_ticks < sl AND low_ticks < least(po, pc), false) AS le,
+        coalesce(delta > 0 AND pc > po AND close_ticks < open_ticks AND high_ticks > sh AND high_ticks > greatest(po, pc), false) AS se FROM m)
+    SELECT symbol, close_time_ns, CASE WHEN lr OR le THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN (lr AND le) OR (sr AND se) THEN 'LS_ENGULF' WHEN lr OR sr THEN 'LS' ELSE 'ENGULF' END AS setup,
+        CASE WHEN lr OR le THEN low_ticks ELSE high_ticks END AS stop_ticks, CASE WHEN lr OR le THEN t ELSE u END AS cover_stop_ticks, CASE WHEN lr THEN hl WHEN sr THEN hh END AS hunted_ticks FROM n WHERE (lr OR le) <> (sr OR se)"""
+
+
+@query("a15_structure_signals", sql(_SIGNALS, "bars:H1", "bars:M15:quarters"))
 def structure_signals(spark, sf):
     b = bars(spark, sf, "H1")
     half = B.direction(bars(spark, sf, "M15").withColumnRenamed("open_time_ns", "bucket_ns"), "bucket_ns")
     delta = B.volume_delta(half, b, 1).withColumnRenamed("parent_ns", "open_time_ns")
     session = B.session_extremes(b, 0, 1440).select("symbol", "open_time_ns", F.col("high_before").alias("session_high"), F.col("low_before").alias("session_low"))
     rows = b.join(delta, ["symbol", "open_time_ns"]).join(session, ["symbol", "open_time_ns"]).withColumn("parts", F.col("parts") + 6)
-    return signals.structure_signals(rows)
+    return structure.structure_signals(rows)
 
 
 @query("g18_risk_governor")
 def risk_governor(spark, sf):
     t = trades(spark, sf).withColumns({"leg": (F.col("trade_id") % 2 + 1).cast("int"), "r": F.round(F.col("net_pnl") / F.col("initial_risk"), 4).cast("string")})
-    return signals.governed(t)
+    return governor.governed(t)

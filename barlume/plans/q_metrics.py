@@ -296,4 +296,28 @@ def nearest_rank(spark, sf):
 
 @query("g8_quantiles", sql("SELECT symbol, round(quantile_cont(net_pnl, 0.05), 6) AS q05, round(quantile_cont(net_pnl, 0.5), 6) AS q50, round(quantile_cont(net_pnl, 0.95), 6) AS q95 FROM trades GROUP BY symbol", "trades"))
 def quantiles(spark, sf):
-    return trades(spark, sf).groupBy("symbol").agg(*(F.round(F.percentile("net_pnl", F.lit(q)), 6).alias(f"q{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)))
+    from barlume.operators.quantiles import quantiles as exact
+
+    found = exact(trades(spark, sf), "net_pnl", RUN, [0.05, 0.5, 0.95])
+    return found.groupBy(*RUN).agg(*(F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 6).alias(f"q{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)))
+
+
+_CURSOR = 804_556_800 * 10**9 + 12_345  # 1995-07-01, some time into a stretch
+
+
+@query(
+    "l13_prefix_cursor",
+    sql(
+        f"""--cte t AS (SELECT symbol, {_TOTALS} FROM trades WHERE exit_time_ns <= {_CURSOR} GROUP BY symbol),
+        d AS (SELECT symbol, time_ns, equity, max(equity) OVER (PARTITION BY symbol ORDER BY time_ns) - equity AS gap FROM equity WHERE time_ns <= {_CURSOR}),
+        e AS (SELECT symbol, arg_max(equity, time_ns) AS equity, CAST(max(gap) AS BIGINT) AS max_drawdown_amount FROM d GROUP BY symbol) SELECT * FROM t JOIN e USING (symbol)""",
+        "equity",
+    ),
+)
+def prefix_cursor(spark, sf):
+    """Figures at a cursor from stored prefixes of 30 days and the rows of the stretch that the cursor is in."""
+    from barlume.operators import prefixes
+    from barlume.sources.shared import shared_path
+
+    stored = prefixes.write(trades(spark, sf), equity(spark, sf), shared_path(spark, "prefixes"), RUN, 30 * 86_400 * 10**9)
+    return _rounded(prefixes.at_cursor(stored, spark, _CURSOR, INITIAL))

@@ -10,6 +10,7 @@ from barlume.plans.adapters import bar_trades, bars, equity, sql, table, ticks,
 from barlume.plans.q_series import T10, T15, T20
 from barlume.plans.registry import query
 from barlume.schema import NS
+from barlume.sources.shared import shared_path
 
 DAY = 86_400 * NS
 KEYS = ["run_id", "entity_id"]
@@ -135,6 +136,20 @@ def viewport_index(spark, sf):
     return R.viewport(_drawings(spark, sf), T15, T20, 1500).select("drawing_id")
 
 
+@query(
+    "a18_stored_viewport",
+    sql(
+        _DRAW.replace("--cte ", "WITH ", 1)
+        + f""" SELECT drawing_id, from_ns, to_ns FROM drawings WHERE coalesce(floor(to_ns / {_B6}) - floor(from_ns / {_B6}) + 1 > 64, true)
+        OR (floor(from_ns / {_B6}) <= {int((T20 + _WIDE) // _B6)} AND floor(to_ns / {_B6}) >= {int((T15 - _WIDE) // _B6)}) ORDER BY drawing_id DESC LIMIT 1500"""
+    ),
+)
+def stored_viewport(spark, sf):
+    """The same view from a published interval index."""
+    index = R.write_viewport_index(_drawings(spark, sf), shared_path(spark, "viewport"))
+    return R.read_viewport(index, spark, T15, T20, 1500).select("drawing_id", "from_ns", "to_ns")
+
+
 @query("j11_suppressed_drawings", sql("SELECT event_id AS drawing_id FROM events WHERE event_id % 10 < 7 AND event_id NOT IN (SELECT trade_id FROM bar_trades)", "bar_trades"))
 def suppressed_drawings(spark, sf):
     return _drawings(spark, sf).join(bar_trades(spark, sf).select(F.col("trade_id").alias("drawing_id")), "drawing_id", "left_anti").select("drawing_id")

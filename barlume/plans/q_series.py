@@ -284,6 +284,26 @@ def downsample(spark, sf):
     return B.downsample(bars(spark, sf), 202).drop("timeframe")
 
 
+@query(
+    "a16_pyramid_view",
+    sql(
+        f"""--cte i AS (SELECT symbol, timeframe, open_time_ns, close_ticks, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_time_ns) - 1 AS i FROM bars),
+        k AS (SELECT symbol, timeframe, i // 16 AS node, min(open_time_ns) AS first_ns, arg_min(close_ticks, open_time_ns) AS first_value, max(open_time_ns) AS last_ns, arg_max(close_ticks, open_time_ns) AS last_value,
+            arg_min(open_time_ns, (close_ticks, i)) AS low_ns, min(close_ticks) AS low_value, arg_max(open_time_ns, (close_ticks, -i)) AS high_ns, max(close_ticks) AS high_value FROM i GROUP BY ALL)
+        SELECT symbol, node, CAST(first_ns AS BIGINT) AS first_ns, CAST(first_value AS DOUBLE) AS first_value, last_ns, CAST(last_value AS DOUBLE) AS last_value, low_ns, CAST(low_value AS DOUBLE) AS low_value,
+            high_ns, CAST(high_value AS DOUBLE) AS high_value FROM k WHERE last_ns >= {T10} AND first_ns <= {T20}""",
+        "bars",
+    ),
+)
+def pyramid_view(spark, sf):
+    """The fourth level of a stored pyramid, built in blocks of eight, between two times."""
+    from barlume.operators import pyramid
+    from barlume.sources.shared import shared_path
+
+    stored = pyramid.write(bars(spark, sf), shared_path(spark, "pyramid"), levels=3)
+    return pyramid.nodes(stored, spark, 4, T10, T20).drop("timeframe", "level", "n")
+
+
 @query("a17_extent", "SELECT event_type AS symbol, min(value) AS low, max(value) AS high FROM events WHERE isfinite(value) GROUP BY event_type")
 def extent(spark, sf):
     return B.extent(table(spark, sf, "events").withColumnRenamed("event_type", "symbol"), "value")

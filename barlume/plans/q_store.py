@@ -38,7 +38,7 @@ def import_report(spark, sf):
     try:
         store.write_report({"codes": Q.code_counts(checked(spark, sf), ["symbol"])}, path, failed=True)
     except RuntimeError:
-        return spark.read.json(f"{path}/codes").select("symbol", "reject_code", "rows")
+        return store.read_table(spark, path, "codes").select("symbol", "reject_code", "rows")
     raise AssertionError("a failed import must raise")
 
 
@@ -57,7 +57,7 @@ def csv_rows(spark, sf):
 def trades_files(spark, sf):
     path = shared_path(spark, "trades")
     store.write_trades(trades(spark, sf), path)
-    csv = spark.read.option("header", True).csv(f"{path}/trades.csv")
+    csv = spark.read.option("header", True).csv(store.latest(spark, path).path("trades.csv"))
     return csv.groupBy("symbol").agg(F.count("*").alias("n"), F.sum(F.col("net_pnl").cast("bigint")).alias("net_pnl"))
 
 
@@ -65,7 +65,7 @@ def trades_files(spark, sf):
 def market_with_trades(spark, sf):
     path, b = shared_path(spark, "market"), views(spark, sf)
     store.market_with_trades(b, enrich.activity(b, bar_trades(spark, sf), WIDTH), path)
-    return spark.read.parquet(path).select("symbol", "timeframe", "sequence", "close_ticks", "active")
+    return store.read_table(spark, path, "market").select("symbol", "timeframe", "sequence", "close_ticks", "active")
 
 
 @query("k7_s14_bundle_catalog", sql("SELECT 'r1' AS run_id, 'trades' AS name, count(*) AS rows FROM trades UNION ALL SELECT 'r1', 'bars', count(*) FROM bars UNION ALL SELECT 'r2', 'bars', count(*) FROM bars WHERE symbol = 'view'", "trades", "bars:H1"))

@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barlume.functions import parsing as P
+from barlume.sources.manifest import list_files
 
 NAMES = {"<DATE>": "date", "<TIME>": "time", "<OPEN>": "open", "<HIGH>": "high", "<LOW>": "low", "<CLOSE>": "close", "<TICKVOL>": "tickvol", "<VOL>": "vol", "<SPREAD>": "spread"}
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, name, symbol, timeframe, declared_start, declared_end); nulls where the name is none of a bar file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
-    return named.select("path", "name", *(c.alias(k) for k, c in P.file_name(F.col("name")).items()))
+    """(path, name, size_bytes, symbol, timeframe, declared_start, declared_end); nulls where the name is none of a bar file."""
+    found = list_files(spark, folder, "*.csv", recursive)
+    return found.select("path", "name", "size_bytes", *(c.alias(k) for k, c in P.file_name(F.col("name")).items()))
 
 
 def read_all(spark: SparkSession, paths: Sequence[str], timeframe: str) -> DataFrame:

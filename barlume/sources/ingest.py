@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlume.functions import parsing as P
 from barlume.operators import quality as Q
-from barlume.sources import csv_bars, manifest, store
+from barlume.sources import csv_bars, manifest, snapshots, staging, store
 
 
 def import_folder(
@@ -25,33 +24,31 @@ def import_folder(
     recursive: bool = False,
     mode: str = "reuse",
 ) -> dict[str, DataFrame]:
-    """Imports every bar file of a folder; returns the report's tables after writing them and the bars.
+    """Imports every bar file of a folder; returns the report's tables after writing them, the bars, and ``files`` (whether
+    each was reused).
 
-    Parsed rows are stored under the hash of the files' contents and of what shapes them: the same import again
-    reads them back (``reuse``), parses anew (``refresh``), or must find them (``read_only``).
+    Parsed rows are kept by the content of each file and what shapes them (``staging``): an import parses only files that
+    were not parsed before (``reuse``), all of them (``refresh``), or must find all (``read_only``).
     Any rejected row, misnamed or repeated file is an error; then the report is written and RuntimeError raised."""
-    files = csv_bars.discover(spark, folder, recursive).collect()  # one entry a file, as the listing itself
-    if not files:
+    listing = csv_bars.discover(spark, folder, recursive)
+    kinds = listing.groupBy("symbol", "timeframe").agg(F.count("*").alias("files"), F.min("name").alias("name"))
+    wrong = kinds.where("symbol is null or files > 1").orderBy("symbol", "timeframe").collect()
+    if wrong:
+        names = [r.name for r in listing.where("symbol is null").orderBy("name").collect()]
+        raise ValueError(f"files with wrong names: {names}; repeated series: {[(r.symbol, r.timeframe) for r in wrong if r.symbol]}")
+    listed = snapshots.publish(spark, f"{out}/listing", {"files": manifest.hashed(listing)})  # hashed once
+    if not listed.tables["files"]["rows"]:
         raise FileNotFoundError(f"no bar files in {folder}")
-    wrong = [f.name for f in files if f.symbol is None]
-    times = Counter((f.symbol, f.timeframe) for f in files)
-    if wrong or len(times) < len(files):
-        raise ValueError(f"files with wrong names: {wrong}; repeated series: {sorted((k for k, n in times.items() if n > 1), key=str)}")
-    by_timeframe: dict[str, list[str]] = {}
-    for f in files:
-        by_timeframe.setdefault(f.timeframe, []).append(f.path)
 
-    def parsed() -> DataFrame:
-        parts = []
-        for timeframe, paths in sorted(by_timeframe.items()):  # one scan a timeframe, 21 at most
-            raw = csv_bars.read_all(spark, paths, timeframe)
-            told = P.file_name(F.element_at(F.split(F.col("path"), "/"), -1))
-            raw = raw.withColumns({"symbol": told["symbol"], "timeframe": F.lit(timeframe)}).drop("path")
-            parts.append(Q.parse_rows(raw, timeframe, zone, digits, tick_points))
-        return reduce(DataFrame.unionByName, parts)
+    def parse(timeframe: str, paths: list[str]) -> DataFrame:
+        raw = csv_bars.read_all(spark, paths, timeframe)
+        told = P.file_name(F.element_at(F.split(F.col("path"), "/"), -1))
+        raw = raw.withColumns({"symbol": told["symbol"], "timeframe": F.lit(timeframe)}).drop("path")
+        return Q.parse_rows(raw, timeframe, zone, digits, tick_points)
 
     shape = {"zone": zone, "digits": digits, "tick": tick_points}
-    everything = store.cached(spark, f"{out}/staged", store.content_key(_contents(spark, folder, recursive), shape), parsed, mode)
+    everything, entries = staging.stage(spark, f"{out}/staged", listed.read(spark, "files"), shape, parse, mode)
+    by_timeframe = [r.timeframe for r in kinds.select("timeframe").distinct().collect()]
     good = Q.accepted(everything)
     if watermark_ns is None:
         last = good.groupBy("symbol", "timeframe").agg(F.max_by("open_time_ns", "source_row").alias("last_open_ns"))
@@ -69,20 +66,17 @@ def import_folder(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [Q.time_checks(good.where(F.col("timeframe") == tf), ["symbol", "timeframe"], tf) for tf in sorted(by_timeframe)],
     )
-    errors = counts.select("symbol", F.lit("ERROR").alias("severity"))
-    warnings = audit.where("mismatching > 0").select("symbol", F.lit("WARNING").alias("severity"))
-    tables = {"reject_codes": counts, "time_checks": checks, "audit": audit, "severity": Q.severity(errors.unionByName(warnings), ["symbol"], fail_on_warnings)}
-    failed = not tables["severity"].where("not success").isEmpty()
-    store.write_report(tables, f"{out}/report", failed)
+    # written before they are summed up, so that no check runs twice
+    found = snapshots.publish(spark, f"{out}/findings", {"reject_codes": counts, "time_checks": checks, "audit": audit})
+    tables = {name: found.read(spark, name) for name in found.tables}
+    errors = tables["reject_codes"].select("symbol", F.lit("ERROR").alias("severity"))
+    warnings = tables["audit"].where("mismatching > 0").select("symbol", F.lit("WARNING").alias("severity"))
+    told = Q.severity(errors.unionByName(warnings), ["symbol"], fail_on_warnings)
+    tables |= {"files": entries.select("symbol", "timeframe", "name", "rows", "reused"), "severity": told}
+    store.write_report(tables, f"{out}/report", failed=not told.where("not success").isEmpty())
     return {"bars": stored} | tables
 
 
-def _contents(spark: SparkSession, folder: str, recursive: bool) -> str:
-    """A digest of the names and contents of all files."""
-    found = manifest.file_manifest(spark, folder, recursive=recursive)
-    return found.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "size_bytes", "sha256"))), "\n"), 256)).first()[0]
-
-
 def _seconds(spark: SparkSession) -> DataFrame:
     from barlume.schema import timeframes
 

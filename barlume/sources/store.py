@@ -1,27 +1,47 @@
-"""Bars, run outputs and reports at rest: partitioned Parquet, content keys, catalogues."""
+"""Bars, run outputs and reports at rest: published versions of Parquet, JSON and CSV, content keys, catalogues."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barlume.sources import snapshots
+from barlume.sources.snapshots import Table, Version
+from barlume.sources.staging import Missing
+
+__all__ = ["Missing"]
+
 RESERVED = ("active", "active_long", "active_short", "entries", "exits", "stop_exits", "target_exits", "realized_pnl", "net_lots", "active_ids")
 
 
+def latest(spark: SparkSession, path: str) -> Version:
+    found = snapshots.current(spark, path)
+    if not found:
+        raise Missing(f"nothing is published in {path}")
+    return found
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the version published last."""
+    return latest(spark, path).read(spark, name)
+
+
 # --- bars ---------------------------------------------------------------------------------------------------
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_bars(bars: DataFrame, path: str) -> Version:
     """One folder per symbol and timeframe (both prune scans), sorted by open time (row groups skip). Dealt by
     range, so a series of any length is written by many tasks and each file holds a stretch of time."""
-    bars.repartitionByRange("symbol", "timeframe", "open_time_ns").sortWithinPartitions("symbol", "timeframe", "open_time_ns").write.mode(mode).option("compression", "zstd").partitionBy("symbol", "timeframe").parquet(path)
+    order = ("symbol", "timeframe", "open_time_ns")
+    dealt = bars.repartitionByRange(*order).sortWithinPartitions(*order)
+    return snapshots.publish(bars.sparkSession, path, {"bars": Table(dealt, partition_by=("symbol", "timeframe"), options={"compression": "zstd"})})
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_table(spark, path, "bars")
 
 
 def content_key(source_hash: str, *settings: dict) -> str:
@@ -29,109 +49,88 @@ def content_key(source_hash: str, *settings: dict) -> str:
     return hashlib.sha256(json.dumps([source_hash, *settings], sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
-class Missing(LookupError):
-    """Read-only use of something that is not stored."""
-
-
-def cached(spark: SparkSession, root: str, key: str, make, mode: str = "reuse") -> DataFrame:
+def cached(spark: SparkSession, root: str, key: str, make: Callable[[], DataFrame], mode: str = "reuse") -> DataFrame:
     """The frame stored under ``key``, or made and stored. Modes: reuse, refresh (make again), read_only (never make).
 
-    Spark's job commit marks a folder complete; one without the mark, or whose recorded row count and hash no
-    longer hold, is made again (or is an error when read-only)."""
+    One whose rows are no longer those that were published is made again (or is an error when read-only)."""
     path = f"{root.rstrip('/')}/{key}"
     if mode != "refresh":
-        try:
-            found = spark.read.parquet(f"{path}/rows")
-            told = spark.read.json(f"{path}/seal").first()
-            if told and told.rows == found.count() and told.digest == seal(found):
-                return found
-            why = "was changed"
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            why = "is not stored"
+        found = snapshots.current(spark, path)
+        if found and not found.changed(spark):
+            return found.read(spark, "rows")
         if mode == "read_only":
-            raise Missing(f"{key} {why}")
-    make().write.mode("overwrite").parquet(f"{path}/rows")
-    found = spark.read.parquet(f"{path}/rows")
-    spark.createDataFrame([(found.count(), seal(found))], "rows long, digest string").write.mode("overwrite").json(f"{path}/seal")
-    return found
-
-
-def seal(df: DataFrame) -> str:
-    """An order-free digest of all rows: their number and the sum of their hashes."""
-    got = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-    return hashlib.sha256(f"{got[0]}/{got[1]}".encode()).hexdigest()
+            raise Missing(f"{key} {'was changed' if found else 'is not stored'}")
+    return snapshots.publish(spark, path, {"rows": make()}).read(spark, "rows")
 
 
 # --- reports and run outputs ----------------------------------------------------------------------------------
 
 
-def write_report(tables: dict[str, DataFrame], path: str, failed: bool, message: str = "") -> None:
-    """Writes every table of a report, and only then raises if the import failed."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+def write_report(tables: dict[str, DataFrame], path: str, failed: bool, message: str = "") -> Version:
+    """Publishes every table of a report, and only then raises if the import failed."""
+    spark = next(iter(tables.values())).sparkSession
+    out = snapshots.publish(spark, path, {name: Table(df, "json") for name, df in tables.items()}, note={"failed": failed})
     if failed:
         raise RuntimeError(message or f"import failed, see {path}")
+    return out
 
 
-def write_trades(trades: DataFrame, path: str) -> None:
-    """trades.parquet, and trades.csv as one file with a byte-order mark, both by entry time and id."""
+def write_trades(trades: DataFrame, path: str) -> Version:
+    """trades.parquet and trades.csv, both by entry time and id. Each part of the latter begins with a byte-order mark and
+    the header, and parts follow each other in order, so no task writes them all."""
     ordered = trades.orderBy("entry_time_ns", "trade_id")
-    ordered.write.mode("overwrite").parquet(f"{path}/trades.parquet")
     flat = ordered.select(*(F.to_json(c).alias(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in ordered.dtypes))
-    first = flat.columns[0]
-    flat.withColumnRenamed(first, "﻿" + first).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/trades.csv")
-
+    marked = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
+    return snapshots.publish(trades.sparkSession, path, {"trades.parquet": ordered, "trades.csv": Table(marked, "csv", options={"header": "true"})})
 
-def market_with_trades(bars: DataFrame, activity: DataFrame, path: str) -> None:
-    """Bars with their trade activity, per symbol and timeframe; every bar once, counted while it is written."""
-    from pyspark.sql import Observation
 
+def market_with_trades(bars: DataFrame, activity: DataFrame, path: str) -> Version:
+    """Bars with their trade activity, per symbol and timeframe; every bar once, or nothing is published."""
     clash = set(bars.columns) & set(RESERVED)
     if clash:
         raise ValueError(f"bars already have the columns {sorted(clash)}")
-    seen, expected = Observation(), bars.count()
-    joined = bars.join(activity.select("symbol", "sequence", *RESERVED), ["symbol", "sequence"], "left").observe(seen, F.count("*").alias("rows"))
-    joined.write.mode("overwrite").partitionBy("symbol", "timeframe").parquet(path)
-    if seen.get["rows"] != expected:
-        raise RuntimeError(f"wrote {seen.get['rows']} bars of {expected}")
+    expected, added = bars.count(), [c for c in RESERVED if c in activity.columns]
+    joined = bars.join(activity.select("symbol", "sequence", *added), ["symbol", "sequence"], "left")
+
+    def every_bar(told: dict[str, dict]) -> None:
+        if told["market"]["rows"] != expected:
+            raise RuntimeError(f"{told['market']['rows']} bars of {expected}")
+
+    return snapshots.publish(bars.sparkSession, path, {"market": Table(joined, partition_by=("symbol", "timeframe"))}, check=every_bar)
 
 
-def write_streams(out: DataFrame, path: str) -> None:
+def write_streams(out: DataFrame, path: str) -> Version:
     """A fold's output as JSON lines: actions, chart commands, logs."""
     kinds = {"actions": "kind like 'order.%' or kind like 'position.%' or kind = 'fill'", "chart": "kind = 'chart'", "logs": "kind = 'log'"}
-    for name, where in kinds.items():
-        out.where(where).sortWithinPartitions("run_id", "seq").write.mode("overwrite").json(f"{path}/{name}")
+    return snapshots.publish(out.sparkSession, path, {name: Table(out.where(where).sortWithinPartitions("run_id", "seq"), "json") for name, where in kinds.items()})
 
 
 def read_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema("run_id string, seq long, kind string, time_ns long, ref long, payload string").json(f"{path}/{name}")
+    return read_table(spark, path, name)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, run_id: str) -> DataFrame:
-    """A run's tables and a manifest with each table's rows and digest."""
+    """Publishes a run's tables; returns its manifest (run_id, table, rows, digest)."""
     spark = next(iter(tables.values())).sparkSession
-    rows = []
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        back = spark.read.parquet(f"{path}/{name}")
-        rows.append((run_id, name, back.count(), seal(back)))
-    manifest = spark.createDataFrame(rows, "run_id string, table string, rows long, digest string")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    told = snapshots.publish(spark, path, tables, note={"run_id": run_id}).tables
+    return spark.createDataFrame([(run_id, name, t["rows"], t["digest"]) for name, t in told.items()], "run_id string, table string, rows long, digest string")
 
 
 def run_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """(run_id, table, rows, digest, path) of all bundles below ``root``; broken manifests are left out."""
-    found = spark.read.schema("run_id string, table string, rows long, digest string").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.json").json(root)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "/manifest/[^/]*$", "")
-    return found.select("*", path.alias("path")).where("run_id is not null and path <> _metadata.file_path")
+    """(run_id, table, rows, digest, path) of all bundles below ``root``, the last version of each; broken commits are left out."""
+    schema = "version long, data string, note struct<run_id:string>, tables map<string,struct<rows:long,digest:string>>"
+    found = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "0*.json").json(root)
+    run = F.regexp_replace(F.col("_metadata.file_path"), "/commits/[^/]*$", "")
+    found = found.select("*", run.alias("run"), F.col("_metadata.file_path").alias("file")).where("note.run_id is not null and run <> file and version is not null")
+    last = found.groupBy("run").agg(F.max_by(F.struct("note.run_id", "data", "tables"), "version").alias("v"))
+    each = last.select("v.run_id", "run", "v.data", F.explode("v.tables").alias("table", "told"))
+    return each.select("run_id", "table", "told.rows", "told.digest", F.concat_ws("/", "run", "data", "table").alias("path"))
 
 
 def verify_bundle(spark: SparkSession, catalog: DataFrame, run_id: str) -> list[str]:
     """Tables of a run whose rows are not those of its manifest."""
-    return [r.table for r in catalog.where(F.col("run_id") == run_id).collect() if seal(spark.read.parquet(f"{r.path}/{r.table}")) != r.digest]
+    found = catalog.where(F.col("run_id") == run_id).collect()  # a row per table of one run
+    return [r.table for r in found if snapshots.seal(spark.read.parquet(r.path)) != (r.rows, r.digest)]
 
 
 def packages(entries: Sequence[dict], known: Sequence[str] = ()) -> tuple[list[dict], list[str]]:

@@ -5,7 +5,7 @@ from decimal import Decimal as D
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barlume.operators import enrich, fold, signals
+from barlume.operators import enrich, fold, governor, signals, structure
 from barlume.operators.book import Profile, Rules
 from barlume.plans import adapters
 from barlume.plans.q_fold import grid, profiles
@@ -64,7 +64,7 @@ def test_excursions_of_the_fold_equal_the_set_wise_ones(spark):
 
 
 def test_governor_limits():
-    g = signals.Governor()
+    g = governor.Governor()
     day = (2024, 1, 3)
     assert g.ask(day) == (True, True, "allowed")
     for _ in range(4):
@@ -74,25 +74,38 @@ def test_governor_limits():
     assert g.ask(day)[2] == "daily_halt"
     g.closed((2024, 1, 4), D(-4), 1, False)
     assert g.ask((2024, 1, 4))[2] == "daily_halt"
-    g.closed((2024, 1, 5), D(-3), 1, False)
-    assert g.ask((2024, 1, 5))[2] == "monthly_minus_seven_day_pause"
-    assert g.ask((2024, 1, 6)) == (True, False, "monthly_risk_reservation") or g.ask((2024, 1, 6))[0] is True
+    g.closed((2024, 1, 4), D(2), 1, False)
+    assert g.ask((2024, 1, 4))[2] == "daily_halt"  # once over budget, over for the day
+    g.closed((2024, 1, 5), D(-5), 1, False)
+    g.closed((2024, 1, 5), D(6), 2, False)
+    assert g.ask((2024, 1, 5))[2] == "daily_halt" and g.ask((2024, 1, 6))[2] == "allowed"
+    g.closed((2024, 1, 8), D("-3.5"), 1, False)
+    g.closed((2024, 1, 9), D("-2.5"), 1, False)
+    assert g.ask((2024, 1, 9))[2] == "monthly_minus_seven_day_pause" and g.ask((2024, 1, 10)) == (True, False, "allowed")
+    g.closed((2024, 1, 10), D("-0.5"), 1, False)
+    assert g.ask((2024, 1, 11)) == (False, False, "monthly_risk_reservation")
     g.closed((2024, 2, 1), D(6), 1, True)
     assert g.ask((2024, 2, 1))[2] == "monthly_plus_six_pause" and g.ask((2024, 2, 15))[0]
     g.closed((2024, 2, 15), D(2), 1, True)
     assert g.ask((2024, 2, 16))[2] == "monthly_halt"
-
-
-def test_structure_hunt():
-    h = signals.Hunter()
-    assert h.step(1, 100, 112, 99, 110, 0, 0, None, None) is None
-    h.step(2, 110, 115, 100, 101, 0, 0, None, None)  # up then down: a high at 115
-    assert [x.wick for x in h.levels[True]] == [115]
-    s = h.step(3, 101, 120, 100, 103, 5, 9, None, None)  # beyond the wick, long upper shadow, body inside
-    assert s["direction"] == "SHORT" and s["setup"] == "LS" and s["hunted"] == 115 and s["stop"] == 120
-    assert h.step(4, 103, 119, 102, 104, 5, 9, None, None) is None  # not beyond 120
-    h.step(5, 104, 125, 103, 124, 5, 9, None, None)
-    assert not h.levels[True][0].valid  # closed beyond the bodies
+    g.closed((2024, 3, 1), D(1), 1, True)
+    g.closed((2024, 3, 1), D(1), 1, True)
+    assert g.ask((2024, 3, 1))[2] == "daily_halt"
+    g.closed((2024, 4, 1), D("-3.5"), 1, False)
+    assert g.ask((2024, 4, 1))[2] == "daily_risk_reservation"
+
+
+def test_structure_hunt(spark):
+    """A high at 115 is hunted by the bar beyond it, not by one short of the reach since; a close beyond the bodies ends it."""
+    rows = [
+        (1, 100, 112, 99, 110, 0, 0), (2, 110, 115, 100, 101, 0, 0), (3, 101, 120, 100, 103, 5, 9), (4, 103, 119, 102, 104, 5, 9),
+        (5, 104, 125, 103, 124, 5, 9), (6, 124, 160, 123, 125, 5, 9), (7, 125, 126, 90, 124, 0, 9),
+    ]
+    bars = spark.createDataFrame([("X", *r, None, None) for r in rows], "symbol string, close_time_ns long, open_ticks long, high_ticks long, low_ticks long, close_ticks long, delta long, parts long, session_high long, session_low long")
+    got = [tuple(r)[1:] for r in structure.structure_signals(bars).orderBy("close_time_ns").collect()]
+    assert got == [(3, "SHORT", "LS", 120, 101, 115)]
+    # with four parts the delta is not known
+    assert structure.structure_signals(bars.withColumn("parts", F.lit(4))).count() == 0
 
 
 class Watcher(signals.Strategy):

@@ -1,6 +1,12 @@
 """Raw files, time zones, number texts, storage."""
 
+import hashlib
+import os
+import subprocess
+import sys
+import threading
 from datetime import datetime, timezone
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -8,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barlume.functions import parsing as P
 from barlume.operators import quality as Q
-from barlume.sources import csv_bars, ingest, manifest, store
+from barlume.sources import csv_bars, ingest, manifest, snapshots, staging, store
 
 HEAD = "<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<TICKVOL>\t<VOL>\t<SPREAD>\n"
 
@@ -79,9 +85,9 @@ def test_an_import_is_reused_by_content(spark, folder, tmp_path, monkeypatch):
         run(mode="read_only", digits=3)
     with (folder / "XAUUSD_M1_202501010000_202501010005.csv").open("a") as f:
         f.write("\n")
-    with pytest.raises(store.Missing):
+    with pytest.raises(store.Missing, match=r"\['XAUUSD_M1_202501010000_202501010005.csv'\]"):
         run(mode="read_only")
-    assert run() == 8 and len(parsed) == 6
+    assert run() == 8 and len(parsed) == 5  # the other file's rows are read back
 
 
 def test_many_files_in_one_scan(spark, tmp_path):
@@ -103,7 +109,7 @@ def test_bad_row_fails_after_the_report(spark, folder, tmp_path):
     (folder / "XAUUSD_M1_202501010000_202501010005.csv").write_text(m1(bad=2))
     with pytest.raises(RuntimeError):
         ingest.import_folder(spark, str(folder), str(tmp_path / "out"))
-    codes = spark.read.json(f"{tmp_path}/out/report/reject_codes").collect()
+    codes = store.read_table(spark, f"{tmp_path}/out/report", "reject_codes").collect()
     assert [(r.reject_code, r.rows, r.sample_rows) for r in codes] == [("INVALID_OHLC", 1, [4])]
 
 
@@ -167,21 +173,151 @@ def test_manifest_cache_and_bundle(spark, folder, tmp_path):
     for mode in ("reuse", "reuse", "read_only", "refresh"):
         assert store.cached(spark, str(tmp_path / "c"), key, make, mode).count() == 10
     assert len(made) == 2
-    spark.range(9).write.mode("overwrite").parquet(f"{tmp_path}/c/{key}/rows")
+    spark.range(9).write.mode("overwrite").parquet(store.latest(spark, f"{tmp_path}/c/{key}").path("rows"))
     with pytest.raises(store.Missing):
         store.cached(spark, str(tmp_path / "c"), key, make, "read_only")
     store.write_bundle({"a": spark.range(3), "b": spark.range(4)}, str(tmp_path / "runs/r1"), "r1")
     cat = store.run_catalog(spark, str(tmp_path / "runs"))
     assert {(r.table, r.rows) for r in cat.collect()} == {("a", 3), ("b", 4)} and store.verify_bundle(spark, cat, "r1") == []
-    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/runs/r1/b")
+    spark.range(5).write.mode("overwrite").parquet(store.latest(spark, f"{tmp_path}/runs/r1").path("b"))
     assert store.verify_bundle(spark, cat, "r1") == ["b"]
+    store.write_bundle({"a": spark.range(7)}, str(tmp_path / "runs/r1"), "r1")
+    (tmp_path / "runs/r2/commits").mkdir(parents=True)
+    (tmp_path / "runs/r2/commits/000000000001.json").write_text('{"version": 1, "da')
+    assert [(r.run_id, r.table, r.rows) for r in store.run_catalog(spark, str(tmp_path / "runs")).collect()] == [("r1", "a", 7)]
 
 
 def test_trades_files_and_packages(spark, tmp_path):
     t = spark.createDataFrame([(2, 20, {"k": "v"}), (1, 10, None)], "trade_id long, entry_time_ns long, tags map<string,string>")
-    store.write_trades(t, str(tmp_path))
-    (csv,) = (tmp_path / "trades.csv").glob("part-*.csv")
-    assert csv.read_bytes()[:3] == b"\xef\xbb\xbf"
-    assert [line.split(",")[0] for line in csv.read_text(encoding="utf-8-sig").splitlines()] == ["trade_id", "1", "2"]
+    at = Path(store.write_trades(t, str(tmp_path)).path("trades.csv").removeprefix("file:"))
+    parts = sorted(p for p in at.glob("part-*.csv") if p.stat().st_size)
+    assert all(p.read_bytes()[:3] == b"\xef\xbb\xbf" for p in parts)
+    lines = [line.split(",")[0] for p in parts for line in p.read_text(encoding="utf-8-sig").splitlines()]
+    assert [x for x in lines if x != "trade_id"] == ["1", "2"] and lines[0] == "trade_id"
     ok, problems = store.packages([{"id": "a", "entry": "m:o"}, {"id": "a", "entry": "m:o"}, {"id": "b", "entry": "m", "path": "x"}, {"id": "c", "entry": "m:o", "path": "../x"}, {"id": "d", "enabled": False}])
     assert [p["id"] for p in ok] == ["a"] and len(problems) == 3
+
+
+def test_only_changed_files_are_read(spark, tmp_path, monkeypatch):
+    """Of many files those are parsed whose content is new, told by the lines that the parser gets."""
+    d, out, lines = tmp_path / "in", str(tmp_path / "out"), []
+    d.mkdir()
+    name = "S{:02d}_M1_202501010000_202501010005.csv"
+    for i in range(12):
+        (d / name.format(i)).write_text(m1(3 + i % 4))
+    plain = csv_bars.read_all
+    monkeypatch.setattr(csv_bars, "read_all", lambda *a: (r := plain(*a), lines.append(r.count()))[0])
+    got = ingest.import_folder(spark, str(d), out)
+    assert lines == [sum(3 + i % 4 for i in range(12))] and got["files"].where("reused").count() == 0
+    (d / name.format(3)).write_text(m1(5))
+    (d / name.format(12)).write_text(m1(4))
+    got = ingest.import_folder(spark, str(d), out)
+    assert lines[1:] == [9] and {r.name for r in got["files"].where("not reused").collect()} == {name.format(3), name.format(12)}
+    assert {r.symbol: r["count"] for r in got["bars"].groupBy("symbol").count().collect()} == {f"S{i:02d}": {3: 5, 12: 4}.get(i, 3 + i % 4) for i in range(13)}
+    # a file that is as it was before is known still, and one that is gone is no longer imported
+    (d / name.format(3)).write_text(m1(6))
+    (d / name.format(0)).unlink()
+    got = ingest.import_folder(spark, str(d), out)
+    assert len(lines) == 2 and got["bars"].select("symbol").distinct().count() == 12
+    assert staging.vacuum(spark, f"{out}/staged", grace_seconds=3600) == []
+
+
+def test_rows_that_were_changed_are_parsed_again(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    ingest.import_folder(spark, str(folder), out)
+    (some,) = [p for p in Path(f"{out}/staged/rows").rglob("*.parquet") if spark.read.parquet(str(p)).first().timeframe == "M5"]
+    rows = spark.read.parquet(str(some)).withColumn("close_ticks", F.lit(1).cast("long")).collect()
+    schema = spark.read.parquet(str(some)).schema
+    some.unlink()
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(some.parent))
+    with pytest.raises(store.Missing, match="m5"):
+        ingest.import_folder(spark, str(folder), out, mode="read_only")
+    got = ingest.import_folder(spark, str(folder), out)
+    assert got["bars"].where("timeframe = 'M5'").agg(F.max("close_ticks")).first()[0] > 1
+    assert {(r.timeframe, r.reused) for r in got["files"].collect()} == {("M1", True), ("M5", False)}
+
+
+def test_a_killed_write_leaves_the_last_version(spark, tmp_path):
+    root = str(tmp_path / "t")
+    snapshots.publish(spark, root, {"a": spark.range(5), "b": spark.range(2)})
+    reader = snapshots.current(spark, root)
+    fails = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="boom"):
+        snapshots.publish(spark, root, {"b": spark.range(50), "a": fails})
+    assert len(list((tmp_path / "t/data").iterdir())) == 1  # the abort took its folder along
+    # a process that died after writing data, and one that died before its commit file got its name
+    spark.range(9).write.parquet(f"{root}/data/dead/a")
+    (tmp_path / "t/commits/_half").write_text('{"version": 2')
+    now = snapshots.current(spark, root)
+    assert now.number == 1 and now.read(spark, "a").count() == 5 and now.changed(spark) == []
+    two = snapshots.publish(spark, root, {"a": spark.range(7)})
+    assert (two.number, two.read(spark, "a").count(), reader.read(spark, "a").count()) == (2, 7, 5)
+    with pytest.raises(RuntimeError, match="no"):
+        snapshots.publish(spark, root, {"a": spark.range(8)}, check=lambda told: (_ for _ in ()).throw(RuntimeError(f"no {told['a']['rows']}")))
+    assert snapshots.vacuum(spark, root) == []  # nothing is old enough
+    gone = snapshots.vacuum(spark, root, keep=1, grace_seconds=-1)
+    assert set(gone) == {"commits/_half", "commits/000000000001.json", "data/dead", reader.data}
+    assert snapshots.current(spark, root).read(spark, "a").count() == 7
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    root, out = str(tmp_path / "t"), []
+
+    def write(n):
+        try:
+            out.append(snapshots.publish(spark, root, {"a": spark.range(n)}, expect=0).read(spark, "a").count())
+        except snapshots.Conflict:
+            out.append("conflict")
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in (3, 4, 5, 6)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    (won,) = [x for x in out if x != "conflict"]
+    assert out.count("conflict") == 3 and snapshots.current(spark, root).read(spark, "a").count() == won
+    assert len(list((tmp_path / "t/data").iterdir())) == 1
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish(spark, root, {"a": spark.range(1)}, expect=0)
+
+
+def test_versions_keep_folders_formats_and_digests(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1, 1.5, {"a": 1}), ("y", 2, None, None)], "k string, n long, v double, m map<string,int>")
+    tables = {"p": snapshots.Table(df, partition_by=("k",)), "j": snapshots.Table(df, "json"), "e": df.limit(0)}
+    v = snapshots.publish(spark, str(tmp_path / "t"), tables, note={"by": "me"})
+    back = snapshots.current(spark, str(tmp_path / "t"))
+    assert back.note == {"by": "me"} and back.read(spark, "p").columns == ["n", "v", "m", "k"]
+    assert sorted(map(str, back.read(spark, "j").collect())) == sorted(map(str, df.collect())) and back.read(spark, "e").count() == 0
+    assert v.changed(spark) == []
+    spark.range(0).write.mode("overwrite").parquet(v.path("e"))
+    df.limit(1).write.mode("overwrite").json(v.path("j"))
+    assert back.changed(spark) == ["j"]
+
+
+def test_files_of_any_size_are_hashed_in_little_memory(spark, tmp_path):
+    """A sparse file of 3 GB, in a process of its own whose peak memory is measured; and through Spark."""
+    big = tmp_path / "big.csv"
+    with big.open("wb") as f:
+        f.write(b"head")
+        f.truncate(3 << 30)
+    code = "import resource, sys; from barlume.sources.manifest import digest; a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; print(digest(sys.argv[1])[1], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    out = subprocess.run([sys.executable, "-c", code, str(big)], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[1])
+    n, mb = map(int, out.stdout.split())
+    assert n == 3 << 30 and mb < 200, out
+    for i in range(9):
+        (tmp_path / f"s{i}.csv").write_bytes(os.urandom(i * 1000))
+    got = {r.name: (r.sha256, r.size_bytes) for r in manifest.file_manifest(spark, str(tmp_path)).collect()}
+    assert len(got) == 10 and got["big.csv"][1] == 3 << 30
+    assert all(got[f"s{i}.csv"] == (hashlib.sha256((tmp_path / f"s{i}.csv").read_bytes()).hexdigest(), i * 1000) for i in range(9))
+
+
+def test_files_that_only_spark_reads_are_hashed_by_lines(spark, tmp_path):
+    texts = {"a.csv": b"x\ny\n", "b.csv": b"x\ny", "c.csv": b"", "d.csv": b"\n", "e.csv": b"\r\n\n\xff\xfe z\r", "f.csv": b"line of text\n" * 50_000, "g.csv": b"one"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = {r.name: r.sha256 for r in manifest.hashed(manifest.list_files(spark, str(tmp_path)), by_lines=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: hashlib.sha256(text).hexdigest() for name, text in texts.items()}
