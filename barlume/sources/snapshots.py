@@ -139,7 +139,8 @@ def seal(df: DataFrame) -> tuple[int, str]:
 
 
 def _seal(df: DataFrame) -> list:
-    hashed = [F.to_json(f.name) if f.dataType.simpleString().startswith("map") else F.col(f"`{f.name}`") for f in df.schema.fields]
+    fields = sorted(df.schema.fields, key=lambda f: f.name)  # folders' columns change places when they are read
+    hashed = [F.to_json(f.name) if f.dataType.simpleString().startswith("map") else F.col(f"`{f.name}`") for f in fields]
     total = F.sum(F.xxhash64(*hashed).cast("decimal(38,0)"))
     return [F.count("*").alias("rows"), F.coalesce(total, F.lit(0).cast("decimal(38,0)")).alias("digest")]
 
