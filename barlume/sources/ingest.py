@@ -31,14 +31,13 @@ def import_folder(
     were not parsed before (``reuse``), all of them (``refresh``), or must find all (``read_only``).
     Any rejected row, misnamed or repeated file is an error; then the report is written and RuntimeError raised."""
     listing = csv_bars.discover(spark, folder, recursive)
-    kinds = listing.groupBy("symbol", "timeframe").agg(F.count("*").alias("files"), F.min("name").alias("name"))
-    wrong = kinds.where("symbol is null or files > 1").orderBy("symbol", "timeframe").collect()
-    if wrong:
-        names = [r.name for r in listing.where("symbol is null").orderBy("name").collect()]
-        raise ValueError(f"files with wrong names: {names}; repeated series: {[(r.symbol, r.timeframe) for r in wrong if r.symbol]}")
-    listed = snapshots.publish(spark, f"{out}/listing", {"files": manifest.hashed(listing)})  # hashed once
-    if not listed.tables["files"]["rows"]:
+    kinds = listing.groupBy("symbol", "timeframe").agg(F.count("*").alias("files"), F.count_if(F.col("size_bytes") == 0).alias("empty")).collect()  # a row per series
+    if not kinds:
         raise FileNotFoundError(f"no bar files in {folder}")
+    if any(r.symbol is None or r.files > 1 or r.empty for r in kinds):
+        names = [r.name for r in listing.where("symbol is null or size_bytes = 0").orderBy("name").collect()]
+        raise ValueError(f"files with wrong names or nothing in them: {names}; repeated series: {sorted((r.symbol, r.timeframe) for r in kinds if r.symbol and r.files > 1)}")
+    listed = snapshots.publish(spark, f"{out}/listing", {"files": manifest.hashed(listing)})  # hashed once
 
     def parse(timeframe: str, paths: list[str]) -> DataFrame:
         raw = csv_bars.read_all(spark, paths, timeframe)
@@ -48,7 +47,7 @@ def import_folder(
 
     shape = {"zone": zone, "digits": digits, "tick": tick_points}
     everything, entries = staging.stage(spark, f"{out}/staged", listed.read(spark, "files"), shape, parse, mode)
-    by_timeframe = [r.timeframe for r in kinds.select("timeframe").distinct().collect()]
+    by_timeframe = {r.timeframe for r in kinds}
     good = Q.accepted(everything)
     if watermark_ns is None:
         last = good.groupBy("symbol", "timeframe").agg(F.max_by("open_time_ns", "source_row").alias("last_open_ns"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -33,9 +34,12 @@ def build_manifest(bars: DataFrame, size: Column, block: int = 10_000) -> DataFr
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
-    """(path, name, size_bytes) of files; only the listing is read."""
+    """(path, name, size_bytes) of files; only the listing is read. Spark's reader skips files without a byte, so those are
+    added from its index (a path per file, as the driver holds it anyway)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
+    paths = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    found = spark.createDataFrame(paths, "path string").join(files.select("path", "length"), "path", "left")
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.coalesce("length", F.lit(0)).alias("size_bytes"))
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
