@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal as D
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from barlume.operators import fold
@@ -13,7 +14,7 @@ from barlume.plans.q_fold import profiles
 from barlume.plans.q_series import T10, T20
 from barlume.plans.registry import query
 from barlume.sources.shared import shared_path
-from barlume.streaming import live
+from barlume.streaming import journal, live
 
 
 def _ticks_files(spark, sf, parts: int = 4) -> str:
@@ -60,3 +61,23 @@ def seek(spark, sf):
     rows = fold.bar_rows(bars(spark, sf, "H1").withColumn("run_id", F.col("symbol")))
     out = live.seek(rows, 1_705_276_800_000_000_000, rules=Rules(), profiles=profiles(spark, sf))
     return fold.reports(out).select("run_id", "bars")
+
+
+@query("l10_journal", sql("SELECT symbol, count(*) AS rows, CAST(sum(tick_id) AS BIGINT) AS ids, CAST(sum(volume) AS BIGINT) AS volume FROM ticks GROUP BY symbol", "ticks"))
+def journalled(spark, sf):
+    """Ticks journalled file by file; the writer dies between a batch's rows and its commit, and is started again."""
+    path, root = _ticks_files(spark, sf), shared_path(spark, "journal")
+    stream = lambda: live.read_ticks(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+
+    def die(batch: int) -> None:
+        if batch == 2:
+            raise InterruptedError("stopped in batch 2")
+
+    try:
+        journal.write(stream(), root, die)
+    except StreamingQueryException as e:
+        if "stopped in batch 2" not in str(e):
+            raise
+    assert journal.batches(spark, root) == [0, 1]
+    journal.write(stream(), root)
+    return journal.read(spark, root).groupBy("symbol").agg(F.count("*").alias("rows"), F.sum("tick_id").alias("ids"), F.sum("volume").alias("volume"))
