@@ -205,6 +205,6 @@ def test_op10(spark, folder, docs):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path_factory, name):
     at = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "labels", "pages", "benchmark", "conversations"):
+    for t in ("documents", "labels", "pages", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     assert queries.QUERIES[name](spark, at).count() == (1 if name == "op9_chat" else 0)
