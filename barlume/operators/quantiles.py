@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlume.sources.shared import written
+
 #: Rows of a bracket that are sorted in one task.
 MOST = 10_000
 ACCURACY = 10_000
@@ -35,10 +37,10 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[flo
         ranks = F.array(F.greatest(F.lit(0).cast("bigint"), F.ceil(share * n).cast("bigint") - 1))
     none = F.lit(None).cast(rows.schema["__v"].dataType)
     state = groups.select(*by, "share", "n", F.posexplode(ranks).alias("which", "rank"))
-    state = _kept(state.withColumns({"below": F.lit(0).cast("bigint"), "size": n, "lo": none, "hi": none, "value": none}), "quantile-state")
+    state = written(state.withColumns({"below": F.lit(0).cast("bigint"), "size": n, "lo": none, "hi": none, "value": none}), "quantile-state")
     wide = F.col("value").isNull() & (F.col("size") > most)
     while not state.where(wide).isEmpty():
-        state = _kept(state.where(~wide).unionByName(_narrowed(rows, state.where(wide), by, accuracy)), "quantile-state")
+        state = written(state.where(~wide).unionByName(_narrowed(rows, state.where(wide), by, accuracy)), "quantile-state")
     small = _inside(rows, state.where("value is null"), by).groupBy(*state.columns).agg(F.sort_array(F.collect_list("__v")).alias("__all"))
     found = small.withColumn("value", F.get("__all", (F.col("rank") - F.col("below")).cast("int"))).drop("__all").unionByName(state.where("value is not null"))
     at = lambda i: F.max(F.when(F.col("which") == i, F.col("value")))
@@ -49,14 +51,6 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[flo
     return out.select(*by, "share", (F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias("value"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    from barlume.sources.shared import shared_path
-
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _inside(rows: DataFrame, state: DataFrame, by: Sequence[str]) -> DataFrame:
     """Each bracket of ``state`` with the rows of its group strictly inside it."""
     names = [f"__by{i}" for i in range(len(by))]
@@ -77,7 +71,7 @@ def _narrowed(rows: DataFrame, wide: DataFrame, by: Sequence[str], accuracy: int
     low = F.greatest(F.lit(0), F.floor(rel / F.col("size") * steps) - 1).cast("int")
     high = F.least(F.lit(steps), F.ceil((rel + 1) / F.col("size") * steps) + 1).cast("int")
     tried = grid.withColumns({"__x": F.get("__grid", low), "__y": F.get("__grid", high)}).drop("__grid")
-    tried = _kept(tried, "quantile-tried")
+    tried = written(tried, "quantile-tried")
     v, x, y = F.col("__v"), F.col("__x"), F.col("__y")
     counted = _inside(rows, tried, by).groupBy(*tried.columns).agg(
         F.count_if(v < x).alias("__a"), F.count_if(v == x).alias("__b"), F.count_if((v > x) & (v < y)).alias("__c"), F.count_if((v == y) & (y > x)).alias("__d")

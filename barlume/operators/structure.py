@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barlume.operators.bars import segment
 from barlume.operators.joins import running
+from barlume.sources.shared import written
 
 AGE = 3
 LEAST_PARTS = 7
@@ -70,7 +71,9 @@ def structure_signals(bars: DataFrame, age: int = AGE, least_parts: int = LEAST_
     A reversal needs a one-sided shadow and a hunted level, an engulfing bar a break of the session's extreme and of the
     body before; both need the volume delta against the move, from ``least_parts`` parts or more. A bar with a setup on
     both sides gives none."""
-    turns = _turns(bars)
+    # both are read several times: written once
+    columns = ["symbol", "close_time_ns", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "delta", "parts", "session_high", "session_low"]
+    turns = written(_turns(written(bars.select(*columns), "signal-bars")), "signal-turns")
     known = hunts(turns, age).groupBy("symbol", "close_time_ns").pivot("kind", ["high", "low"]).agg(F.first("hunted_ticks"))
     at = turns.join(known.withColumnsRenamed({"high": "hunted_high", "low": "hunted_low"}), ["symbol", "close_time_ns"], "left")
     o, h, low, c = (F.col(f"{x}_ticks") for x in ("open", "high", "low", "close"))
