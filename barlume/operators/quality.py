@@ -118,7 +118,9 @@ def cross_audit(base: DataFrame, targets: DataFrame, tolerance: int = 0, volume:
     open or close cuts is not merged; nor are base bars outside all of them. They meet the timeframes one by one."""
     from barlume.operators.bars import OHLC, SEGMENT_NS
     from barlume.operators.joins import asof_join
+    from barlume.sources.shared import written
 
+    targets = written(targets, "audit-targets")  # read five times, and small beside the base
     kinds = sorted((r.timeframe for r in targets.select("timeframe").distinct().limit(len(TIMEFRAMES) + 1).collect()), key=str)  # a row per timeframe
     unknown = [k for k in kinds if k not in TIMEFRAMES]
     if unknown:
