@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 import barlume
 
-_sent: set[str] = set()
+#: The folder of each context's zip: executors fetch it when their first task starts, so it stays as long as this process.
+_sent: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,12 +22,12 @@ def ship(spark: SparkSession) -> None:
     if root not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = root + (os.pathsep + path if path else "")
     if not sc.master.startswith("local") and sc.applicationId not in _sent:
-        with tempfile.TemporaryDirectory() as folder:
-            name = os.path.join(folder, "barlume.zip")
-            with zipfile.ZipFile(name, "w") as z:
-                for at, _, files in os.walk(os.path.join(root, "barlume")):
-                    for f in files:
-                        if f.endswith(".py"):
-                            z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), root))
-            sc.addPyFile(name)
-        _sent.add(sc.applicationId)
+        folder = tempfile.TemporaryDirectory(prefix="barlume-")
+        name = os.path.join(folder.name, "barlume.zip")
+        with zipfile.ZipFile(name, "w") as z:
+            for at, _, files in os.walk(os.path.join(root, "barlume")):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), root))
+        sc.addPyFile(name)
+        _sent[sc.applicationId] = folder
