@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -12,17 +13,24 @@ import barlume
 
 #: The folder of each context's zip: executors fetch it when their first task starts, so it stays as long as this process.
 _sent: dict[str, tempfile.TemporaryDirectory] = {}
+#: Queries may start in several threads of one context, which takes a file of one name once only.
+_lock = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
-    """Local masters get the package's folder on the workers' path; others the package itself, as a zip, once a context."""
+    """Workers get the package's folder on their path; those of executors in processes of their own the package itself, as a zip, once a context."""
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(barlume.__file__)))
     path = sc.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = root + (os.pathsep + path if path else "")
-    if not sc.master.startswith("local") and sc.applicationId not in _sent:
-        folder = tempfile.TemporaryDirectory(prefix="barlume-")
+    if sc.master == "local" or sc.master.startswith("local["):
+        return
+    with _lock:
+        if sc.applicationId in _sent:
+            return
+        # one path for every process: TMPDIR may name a process's own folder
+        folder = tempfile.TemporaryDirectory(prefix="barlume-", dir=os.path.realpath(tempfile.gettempdir()))
         name = os.path.join(folder.name, "barlume.zip")
         with zipfile.ZipFile(name, "w") as z:
             for at, _, files in os.walk(os.path.join(root, "barlume")):

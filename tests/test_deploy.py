@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+import time
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 from barlume.plans.deploy import ship
@@ -18,3 +23,47 @@ def test_zip_is_there_when_executors_fetch_it():
     with zipfile.ZipFile(name) as z:
         held = z.namelist()
     assert "barlume/plans/deploy.py" in held and "barlume/llm/simhash.py" in held
+
+
+def test_threads_of_one_context_add_the_zip_once():
+    """A context refuses a second file of the same name, so queries that start together must not each bring one."""
+    added = []
+
+    def add(name):
+        time.sleep(0.05)
+        added.append(name)
+
+    sc = SimpleNamespace(master="spark://host:7077", applicationId="app-of-test-threads", environment={}, addPyFile=add)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(ship, [SimpleNamespace(sparkContext=sc)] * 8))
+    assert len(added) == 1
+
+
+FAR = """
+from concurrent.futures import ThreadPoolExecutor
+from pyspark.sql import SparkSession, functions as F
+import __spark_entry__ as e
+
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.config(map=conf | {"spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "2"}).getOrCreate()
+names = ["a1_latest_closed", "a2_last_window", "a4_forming_at", "a19_keep_days"]
+with ThreadPoolExecutor(4) as pool:
+    rows = list(pool.map(lambda n: e.queries()[n](spark, "/root/testdata/sf0.001").count(), names))
+
+@F.udf
+def where(x):
+    import barlume
+    return barlume.__file__
+
+print("ROWS", *(n > 0 for n in rows), spark.range(2).select(where("id")).first()[0])
+spark.stop()
+"""
+
+
+def test_executors_of_a_cluster_run_the_zip():
+    """Executors in processes of their own fetch the package and import it from there, whichever query comes first."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", FAR], cwd=root, env=env, capture_output=True, text=True, timeout=300)
+    (said,) = [x for x in done.stdout.splitlines() if x.startswith("ROWS")] or [done.stderr[-2000:]]
+    assert said.startswith("ROWS True True True True ") and "barlume.zip" in said, said
