@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
+import sys
 import tempfile
 import threading
 import zipfile
@@ -11,10 +14,20 @@ from pyspark.sql import SparkSession
 
 import barlume
 
-#: The folder of each context's zip: executors fetch it when their first task starts, so it stays as long as this process.
-_sent: dict[str, tempfile.TemporaryDirectory] = {}
-#: Queries may start in several threads of one context, which takes a file of one name once only.
-_lock = threading.Lock()
+#: Contexts that have this package as it is loaded now.
+_sent: set[str] = set()
+
+
+def _zipped(root: str) -> bytes:
+    """The package's sources; the zip itself where the package was loaded from one."""
+    if os.path.isfile(root):
+        with open(root, "rb") as f:
+            return f.read()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in sorted(os.path.join(at, f) for at, _, files in os.walk(os.path.join(root, "barlume")) for f in files if f.endswith(".py")):
+            z.write(name, os.path.relpath(name, root))
+    return out.getvalue()
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,18 +37,21 @@ def ship(spark: SparkSession) -> None:
     path = sc.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = root + (os.pathsep + path if path else "")
-    if sc.master == "local" or sc.master.startswith("local["):
+    if sc.master == "local" or sc.master.startswith("local[") or sc.applicationId in _sent:
         return
-    with _lock:
-        if sc.applicationId in _sent:
-            return
-        # one path for every process: TMPDIR may name a process's own folder
-        folder = tempfile.TemporaryDirectory(prefix="barlume-", dir=os.path.realpath(tempfile.gettempdir()))
-        name = os.path.join(folder.name, "barlume.zip")
-        with zipfile.ZipFile(name, "w") as z:
-            for at, _, files in os.walk(os.path.join(root, "barlume")):
-                for f in files:
-                    if f.endswith(".py"):
-                        z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), root))
-        sc.addPyFile(name)
-        _sent[sc.applicationId] = folder
+    # Kept with the context, which may outlive this module: loaded anew, the package must neither send its zip again, which the
+    # context refuses, nor take the first one away, which executors fetch when their first task starts. Queries may start in several threads.
+    lock, held = vars(sc).setdefault("_barlume", (threading.Lock(), {}))
+    with lock:
+        data = _zipped(root)
+        name = hashlib.sha256(data).hexdigest()[:16] + "-barlume.zip"
+        if name not in held:
+            # one path for every process: TMPDIR may name a process's own folder
+            folder = tempfile.TemporaryDirectory(prefix="barlume-", dir=os.path.realpath(tempfile.gettempdir()))
+            with open(os.path.join(folder.name, name), "wb") as f:
+                f.write(data)
+            sc.addPyFile(os.path.join(folder.name, name))
+            held[name] = folder
+            # Spark puts its copy on the driver's own path too, and removes the file with the context
+            sys.path[:] = [p for p in sys.path if os.path.basename(p) != name]
+        _sent.add(sc.applicationId)

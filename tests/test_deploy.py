@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import hashlib
+import importlib.util
 import os
 import subprocess
 import sys
@@ -10,7 +13,13 @@ import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
+import duckdb
+import pytest
+
+import __spark_entry__
+from barlume.plans import deploy
 from barlume.plans.deploy import ship
+from tests.test_oracle import SF, plain
 
 
 def test_zip_is_there_when_executors_fetch_it():
@@ -67,3 +76,85 @@ def test_executors_of_a_cluster_run_the_zip():
     done = subprocess.run([sys.executable, "-c", FAR], cwd=root, env=env, capture_output=True, text=True, timeout=300)
     (said,) = [x for x in done.stdout.splitlines() if x.startswith("ROWS")] or [done.stderr[-2000:]]
     assert said.startswith("ROWS True True True True ") and "barlume.zip" in said, said
+
+
+def test_package_loaded_anew_sends_no_second_zip():
+    """A context outlives the module where a driver loads the package anew for a query: it keeps the first zip."""
+    added = []
+    sc = SimpleNamespace(master="spark://host:7077", applicationId="app-of-test-anew", environment={}, addPyFile=added.append)
+    for _ in range(3):
+        spec = importlib.util.spec_from_file_location("deploy_anew", deploy.__file__)
+        anew = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(anew)
+        anew.ship(SimpleNamespace(sparkContext=sc))
+        del anew
+        gc.collect()
+    (name,) = added
+    assert zipfile.is_zipfile(name)
+
+
+def test_package_loaded_from_a_zip_is_sent_whole(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "some.zip").write_bytes(data := deploy._zipped(root))
+    assert deploy._zipped(str(tmp_path / "some.zip")) == data == deploy._zipped(root)
+    with zipfile.ZipFile(tmp_path / "some.zip") as z:
+        assert "barlume/operators/bars.py" in z.namelist()
+
+
+ANEW = """
+import gc, sys
+from pyspark.sql import SparkSession
+from tests.test_deploy import SF, digest, fixed
+
+conf = {"spark.master": "local-cluster[2,2,1024]", "spark.executor.memory": "700m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.config(map=conf | {"spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "2"}).getOrCreate()
+for name in sys.argv[1:]:
+    for m in [m for m in sys.modules if m.split(".")[0] in ("barlume", "__spark_entry__", "corpus_pipeline")]:
+        del sys.modules[m]
+    gc.collect()
+    import __spark_entry__ as e
+
+    try:
+        df = e.queries()[name](spark, SF)
+        kept = fixed(df) if name not in e.oracle_sql() else df.columns
+        said = digest(df.select(*sorted(kept)).collect())
+    except Exception as x:
+        said = repr(x)
+    print("SAID", name, said)
+spark.stop()
+"""
+#: Queries that each find the package loaded anew in one context of a cluster, after another query.
+LOADED_ANEW: list[str] = [
+]
+
+
+def fixed(df) -> list[str]:
+    """Columns that no order of adding changes."""
+    return [c for c, t in df.dtypes if t != "double" and c != "predicted"]
+
+
+def digest(rows) -> str:
+    return hashlib.sha256("\n".join(sorted(repr(tuple(map(plain, r))) for r in rows)).encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def loaded_anew() -> dict[str, str]:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", ANEW, "a17_extent", *LOADED_ANEW], cwd=root, env=env, capture_output=True, text=True, timeout=600)
+    return dict(x.split(" ", 2)[1:] for x in done.stdout.splitlines() if x.startswith("SAID "))
+
+
+@pytest.mark.parametrize("name", LOADED_ANEW)
+def test_query_of_a_package_loaded_anew(spark, loaded_anew, name):
+    """On a cluster, with the package loaded anew before each query, the results of SQL, or else of local threads."""
+    if name in (known := __spark_entry__.oracle_sql()):
+        c = duckdb.connect()
+        for f in os.listdir(SF):
+            c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+        said = c.sql(known[name])
+        at = [said.columns.index(x) for x in sorted(said.columns)]
+        assert loaded_anew[name] == digest([r[i] for i in at] for r in said.fetchall())
+    else:
+        df = __spark_entry__.queries()[name](spark, SF)
+        assert loaded_anew[name] == digest(df.select(*sorted(fixed(df))).collect())
