@@ -128,6 +128,7 @@ LOADED_ANEW: list[str] = [
     "a11_sma_cross",
     "a14_structure_levels",
     "a13_session_extremes",
+    "a16_pyramid_view",
 ]
 
 
