@@ -129,6 +129,7 @@ LOADED_ANEW: list[str] = [
     "a14_structure_levels",
     "a13_session_extremes",
     "a16_pyramid_view",
+    "a16_downsample",
 ]
 
 
