@@ -133,6 +133,7 @@ LOADED_ANEW: list[str] = [
     "a18_viewport_index",
     "a18_stored_viewport",
     "a19_box_on_or_before",
+    "a5_forming_bars",
 ]
 
 
