@@ -134,6 +134,7 @@ LOADED_ANEW: list[str] = [
     "a18_stored_viewport",
     "a19_box_on_or_before",
     "a5_forming_bars",
+    "a6_boundaries",
 ]
 
 
