@@ -135,6 +135,7 @@ LOADED_ANEW: list[str] = [
     "a19_box_on_or_before",
     "a5_forming_bars",
     "a6_boundaries",
+    "a7_history",
 ]
 
 
