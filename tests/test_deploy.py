@@ -136,6 +136,7 @@ LOADED_ANEW: list[str] = [
     "a5_forming_bars",
     "a6_boundaries",
     "a7_history",
+    "a8_clock_aligned",
 ]
 
 
