@@ -137,6 +137,7 @@ LOADED_ANEW: list[str] = [
     "a6_boundaries",
     "a7_history",
     "a8_clock_aligned",
+    "a9_direction",
 ]
 
 
