@@ -138,6 +138,7 @@ LOADED_ANEW: list[str] = [
     "a7_history",
     "a8_clock_aligned",
     "a9_direction",
+    "op7_simhash",
 ]
 
 
