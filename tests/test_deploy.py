@@ -139,6 +139,7 @@ LOADED_ANEW: list[str] = [
     "a8_clock_aligned",
     "a9_direction",
     "op7_simhash",
+    "op11_whitening",
 ]
 
 
