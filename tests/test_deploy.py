@@ -140,6 +140,7 @@ LOADED_ANEW: list[str] = [
     "a9_direction",
     "op7_simhash",
     "op11_whitening",
+    "op12_rff_quality",
 ]
 
 
