@@ -141,6 +141,7 @@ LOADED_ANEW: list[str] = [
     "op7_simhash",
     "op11_whitening",
     "op12_rff_quality",
+    "op13_vector_codes",
 ]
 
 
