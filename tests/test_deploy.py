@@ -6,6 +6,7 @@ import gc
 import hashlib
 import importlib.util
 import os
+import shutil
 import subprocess
 import sys
 import time
@@ -175,3 +176,78 @@ def test_query_of_a_package_loaded_anew(spark, loaded_anew, name):
     else:
         df = __spark_entry__.queries()[name](spark, SF)
         assert loaded_anew[name] == digest(df.select(*sorted(fixed(df))).collect())
+
+
+def test_zip_comes_back_where_the_temp_folder_was_cleared():
+    """The next query puts the zip where the context serves it from, as executors that start later fetch it there."""
+    added = []
+    sc = SimpleNamespace(master="spark://host:7077", applicationId="app-of-test-cleared", environment={}, addPyFile=added.append)
+    ship(SimpleNamespace(sparkContext=sc))
+    with open(added[0], "rb") as f:
+        before = f.read()
+    shutil.rmtree(os.path.dirname(added[0]))
+    ship(SimpleNamespace(sparkContext=sc))
+    (name,) = added
+    with open(name, "rb") as f:
+        assert f.read() == before
+    assert os.listdir(os.path.dirname(name)) == [os.path.basename(name)]
+
+
+CLEARED = """
+import glob, os, shutil, sys, tempfile, time
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+from tests.test_deploy import SF, digest, fixed
+
+conf = {"spark.master": "local-cluster[2,2,1024]", "spark.executor.memory": "700m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.config(map=conf | {"spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": "file://" + sys.argv[1]}).getOrCreate()
+sc = spark.sparkContext._jsc.sc()
+ids = lambda: set(sc.getExecutorIds().mkString(" ").split())
+for k, name in enumerate(sys.argv[2:]):
+    if k:
+        for folder in glob.glob(tempfile.gettempdir() + "/barlume-*"):
+            shutil.rmtree(folder)
+        for x in (old := ids()):
+            sc.killAndReplaceExecutor(x)
+        until = time.time() + 60
+        while (ids() & old or len(ids()) < len(old)) and time.time() < until:
+            time.sleep(0.2)
+        assert not ids() & old
+    try:
+        df = e.queries()[name](spark, SF)
+        kept = fixed(df) if name not in e.oracle_sql() else df.columns
+        said = digest(df.select(*sorted(kept)).collect())
+    except Exception as x:
+        said = repr(x)
+    print("SAID", name, said)
+spark.stop()
+"""
+#: Queries before each of which the temp folder is cleared and all executors are replaced.
+AFTER_CLEARING: list[str] = ["op11_whitening"]
+
+
+@pytest.fixture(scope="module")
+def cleared(tmp_path_factory) -> dict[str, str]:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "TMPDIR": str(tmp_path_factory.mktemp("own"))}
+    shared = str(tmp_path_factory.mktemp("shared"))
+    done = subprocess.run([sys.executable, "-c", CLEARED, shared, "a17_extent", *AFTER_CLEARING], cwd=root, env=env, capture_output=True, text=True, timeout=600)
+    return dict(x.split(" ", 2)[1:] for x in done.stdout.splitlines() if x.startswith("SAID "))
+
+
+@pytest.mark.parametrize("name", AFTER_CLEARING)
+def test_query_after_the_temp_folder_was_cleared(spark, cleared, name):
+    """On executors that started after the driver's temp folder was cleared, the results of SQL, or else of local threads."""
+    assert cleared[name] == expected(spark, name)
+
+
+def expected(spark, name: str) -> str:
+    if name not in (known := __spark_entry__.oracle_sql()):
+        df = __spark_entry__.queries()[name](spark, SF)
+        return digest(df.select(*sorted(fixed(df))).collect())
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    c.execute(known[name])
+    at = sorted(range(len(c.description)), key=lambda i: c.description[i][0])
+    return digest([r[i] for i in at] for r in c.fetchall())
