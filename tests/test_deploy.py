@@ -223,7 +223,7 @@ for k, name in enumerate(sys.argv[2:]):
 spark.stop()
 """
 #: Queries before each of which the temp folder is cleared and all executors are replaced.
-AFTER_CLEARING: list[str] = ["op11_whitening", "op12_rff_quality", "a14_structure_levels", "a16_downsample", "a18_viewport_index"]
+AFTER_CLEARING: list[str] = ["op11_whitening", "op12_rff_quality", "a14_structure_levels", "a16_downsample", "a18_viewport_index", "a18_stored_viewport"]
 
 
 @pytest.fixture(scope="module")
